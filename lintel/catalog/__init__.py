@@ -1,4 +1,4 @@
 """Registered queries over the driver tables, with their DuckDB oracles."""
 
-from lintel.catalog import permits, reviews  # noqa: F401
+from lintel.catalog import companies, permits, reviews  # noqa: F401
 from lintel.catalog.registry import ORACLES, QUERIES  # noqa: F401

@@ -274,17 +274,22 @@ def pacing_audit(t):
 
 
 @query("source_coverage", """
-with seen as (select jurisdiction_id, count(*) as n, max(applied_date) as newest
-  from b_permit where jurisdiction_id % 7 <> 5 group by jurisdiction_id)
-select slug as source, coalesce(n, 0) as rows, newest,
+with expected as (
+  select slug as source, source_verified from b_jurisdiction
+  union all select distinct concat('registry ', county), true from b_jurisdiction),
+seen as (select slug as source, count(*) as n, max(applied_date) as newest
+  from b_permit join b_jurisdiction using (jurisdiction_id) group by slug)
+select source, coalesce(n, 0) as rows, newest,
   cast(date_diff('day', newest, date '2001-08-01') as int) as age_days,
   case when coalesce(n, 0) = 0 then 'no rows' when date_diff('day', newest, date '2001-08-01') > 5 then 'stale'
     when not source_verified then 'unverified' else 'ok' end as coverage
-from b_jurisdiction left join seen using (jurisdiction_id)""")
+from expected left join seen using (source)""")
 def source_coverage(t):
-    landed = (filters.with_county(t.b_permit, t.b_jurisdiction)
-              .join(t.b_jurisdiction.filter("jurisdiction_id % 7 <> 5").select("jurisdiction_id", "slug"), "jurisdiction_id")
-              .select(F.col("slug").alias("source"), F.col("applied_date").alias("landed_on")))
-    expected = t.b_jurisdiction.select(F.col("slug").alias("source"), "source_verified")
+    jurisdictions = t.b_jurisdiction
+    landed = (t.b_permit.select("jurisdiction_id", F.col("applied_date").alias("landed_on"))
+              .join(jurisdictions.select("jurisdiction_id", F.col("slug").alias("source")), "jurisdiction_id"))
+    expected = jurisdictions.select(F.col("slug").alias("source"), "source_verified").unionByName(
+        jurisdictions.select(F.concat(F.lit("registry "), "county").alias("source")).distinct()
+        .withColumn("source_verified", F.lit(True)))
     return (history.source_coverage(expected, landed, AS_OF, max_age_days=5)
             .select("source", "rows", "newest", "age_days", "coverage"))

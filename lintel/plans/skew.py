@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -42,10 +42,10 @@ def heaviest(counts: DataFrame, keys: Sequence[str], rows: str = "_rows",
     )
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """Count rows per key (combined map-side) and keep the hot keys."""
-    counts = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return heaviest(counts, keys, min_rows=min_rows)
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> list[Row]:
+    """Count rows per key (combined map-side) and fetch the hot keys, at most ``HOT_KEYS``."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return heaviest(counts, keys, min_rows=min_rows).collect()
 
 
 def _spread(df: DataFrame) -> Column:
@@ -54,17 +54,29 @@ def _spread(df: DataFrame) -> Column:
     return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cols]), F.lit(SALTS)).cast("int")
 
 
+def _marked(df: DataFrame, keys: Sequence[str], hot: DataFrame | list[Row]) -> DataFrame:
+    """The hot keys as a broadcast table with a flag."""
+    if not isinstance(hot, DataFrame):
+        complete = [tuple(r) for r in hot if None not in tuple(r)]
+        hot = df.sparkSession.createDataFrame(complete, df.select(*keys).schema)
+    return F.broadcast(hot.withColumn("_hot", F.lit(True)))
+
+
 def salted_lookup(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left",
-                  hot: DataFrame | None = None, min_rows: int = HOT_ROWS) -> DataFrame:
+                  hot: DataFrame | list[Row] | None = None, min_rows: int = HOT_ROWS) -> DataFrame:
     """Equi-join ``big`` to a table with few rows per key.
 
     Rows of hot keys are spread over ``SALTS`` tasks and the few lookup rows of
     those keys are repeated once per salt.  Rows whose key is null match
-    nothing; they are spread too instead of piling up in one task.
+    nothing; they are spread too instead of piling up in one task.  Without a
+    hot key this is a plain join.  ``hot`` may be handed in when the counts are
+    at hand: as rows, or as a ``heaviest`` table to be found within the job.
     """
     keys = list(keys)
     hot = hot_keys(big, keys, min_rows) if hot is None else hot
-    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    if not isinstance(hot, DataFrame) and not hot:
+        return big.join(lookup, keys, how)
+    marked = _marked(big, keys, hot)
     missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     left = (
         big.withColumn("_spread", _spread(big))
@@ -93,9 +105,12 @@ def split_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], values:
     next slice of the same key.
     """
     keys, order = list(keys), list(order)
-    hot = F.broadcast(hot_keys(df, keys, min_rows).withColumn("_hot", F.lit(True)))
+    hot = hot_keys(df, keys, min_rows)
+    if not hot:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn("_prev", F.lag(F.struct(*values)).over(whole))
     sliced = (
-        df.join(hot, keys, "left")
+        df.join(_marked(df, keys, hot), keys, "left")
         .withColumn("_slice", F.when(
             F.col("_hot"), F.struct(*[s.alias(f"s{i}") for i, s in enumerate(slices)])))
         .drop("_hot")
