@@ -55,7 +55,7 @@ VIEWS: dict[str, str] = {
         from lineitem""",
     "b_party": f"""
         select distinct {_JUR.format('l_orderkey')} as jurisdiction_id, l_orderkey as record_number,
-          l_suppkey as company_id,
+          l_partkey + l_suppkey as company_id,
           case l_linenumber when 1 then 'applicant' when 2 then 'owner' when 3 then 'contractor'
             when 4 then 'engineer' when 5 then 'architect' else 'agent' end as role
         from lineitem""",
