@@ -12,6 +12,7 @@ from lintel.catalog.reviews import _ALL
 from lintel.config import load_weights
 from lintel.operators import capability, reports, reviews, scoring, seals
 from lintel.operators.filters import niche_match as with_niches
+from lintel.session import stored
 
 WEIGHTS = load_weights()
 _DAY = "date '2001-08-01'"
@@ -79,7 +80,7 @@ scored_leads as (select *, cast({' + '.join(_P)} as decimal(9,4)) as score from
 
 
 def _listed(t):
-    return capability.target_lists(cap.flagged(t))
+    return stored(capability.target_lists(cap.flagged(t)), "targets")
 
 
 def _hot(t):
@@ -87,7 +88,7 @@ def _hot(t):
 
 
 def _facts(t):
-    return scoring.permit_facts(t.b_permit, reviews.permit_review_status(t.b_review), _hot(t))
+    return stored(scoring.permit_facts(t.b_permit, reviews.permit_review_status(t.b_review), _hot(t)), "facts")
 
 
 def _reliance(t):
@@ -100,7 +101,7 @@ def leads(t):
     listed = _listed(t)
     companies = scoring.company_facts(listed, _reliance(t), scoring.last_contacts(t.b_contact, AS_OF))
     candidates = scoring.lead_candidates(_facts(t), t.b_party, listed)
-    return scoring.score_leads(candidates, companies, WEIGHTS, AS_OF)
+    return stored(scoring.score_leads(candidates, companies, WEIGHTS, AS_OF, counted_on=t.b_party), "leads")
 
 
 @query("points_rejection", f"""with {_STATUS}

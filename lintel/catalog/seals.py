@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lintel.catalog.bindings import AS_OF
 from lintel.catalog.registry import query
 from lintel.operators import filters, seals
+from lintel.session import stored
 
 # Words of the documents laid out on pages of 60 lines and 10 columns.
 _WORDS = """words as (
@@ -145,12 +146,14 @@ dated as (
 
 
 def checked(t):
-    return seals.validate_seal(seals.best_method(t.b_seal_candidate), t.b_license)
+    candidates = t.b_seal_candidate
+    return seals.validate_seal(seals.best_method(candidates), t.b_license, counted_on=candidates)
 
 
 def dated(t):
     documents = t.b_document.withColumn("sealed_on", F.col("downloaded_on"))
-    return filters.with_county(seals.with_permit(checked(t).filter("validated"), documents), t.b_jurisdiction)
+    known = seals.with_permit(checked(t).filter("validated"), documents, counted_on=t.b_seal_candidate)
+    return stored(filters.with_county(known, t.b_jurisdiction), "seals")
 
 
 @query("validate_seal", f"""with {_DATED} select document_id, page_number, license_key, validated, name_disagrees,

@@ -63,7 +63,7 @@ def permit_volume_12mo(parties: DataFrame, permits: DataFrame, as_of: date,
                                              & (day <= F.lit(as_of))))
               .select(*PERMIT_KEY, *by))
     named = parties.dropna(subset=["company_id"]).select("company_id", *PERMIT_KEY).distinct()
-    return (salted_lookup(named, recent, PERMIT_KEY, "inner")
+    return (salted_lookup(named, recent, PERMIT_KEY, "inner", counted_on=parties)
             .groupBy("company_id", *by).agg(F.count(F.lit(1)).alias("permit_volume_12mo")))
 
 

@@ -96,7 +96,7 @@ def merge_edges(members: DataFrame, merges: DataFrame) -> DataFrame:
     left = first.select(F.col("normalized_key").alias("left_key"), F.col("first_id").alias("left_id"))
     right = first.select(F.col("normalized_key").alias("right_key"), F.col("first_id").alias("right_id"))
     found = salted_lookup(merges.select("left_key", "right_key"), left, ["left_key"], "inner")
-    found = salted_lookup(found, right, ["right_key"], "inner")
+    found = salted_lookup(found, right, ["right_key"], "inner", counted_on=merges)
     return found.select("left_id", "right_id", F.lit("similar").alias("basis"))
 
 
@@ -169,7 +169,7 @@ def link_parties(parties: DataFrame, clustered: DataFrame) -> DataFrame:
     keyed = parties.withColumns({"license_key": N.license_key(F.col("license_number")),
                                  "normalized_key": N.normalize_company(F.col("raw_name"))})
     found = salted_lookup(keyed, by_license, ["license_key"], "left")
-    found = salted_lookup(found, by_name, ["normalized_key"], "left")
+    found = salted_lookup(found, by_name, ["normalized_key"], "left", counted_on=keyed)
     known = [F.col("company_id")] if "company_id" in parties.columns else []
     return (found.withColumn("link_basis", F.when(F.col("_by_license").isNotNull(), F.lit("license"))
                              .when(F.col("_by_name").isNotNull(), F.lit("name")))

@@ -115,15 +115,16 @@ def lead_candidates(facts: DataFrame, parties: DataFrame, listed: DataFrame) ->
     """
     worth = facts.filter(F.col("is_hot") | F.col("is_commercial"))
     named = parties.dropna(subset=["company_id"]).select("company_id", *PERMIT_KEY).distinct()
-    on_permit = salted_lookup(named, worth, PERMIT_KEY, "inner")
+    on_permit = salted_lookup(named, worth, PERMIT_KEY, "inner", counted_on=parties)
     alone = listed.select("company_id").distinct().join(
         on_permit.select("company_id").distinct(), "company_id", "left_anti")
     return on_permit.unionByName(alone, allowMissingColumns=True)
 
 
-def score_leads(candidates: DataFrame, companies: DataFrame, weights: Weights, as_of: date) -> DataFrame:
+def score_leads(candidates: DataFrame, companies: DataFrame, weights: Weights, as_of: date,
+                counted_on: DataFrame | None = None) -> DataFrame:
     """Points per signal, their sum, and a breakdown that explains the sum."""
-    facts = salted_lookup(candidates, companies, ["company_id"], "left")
+    facts = salted_lookup(candidates, companies, ["company_id"], "left", counted_on=counted_on)
     pointed = facts.withColumns({
         "pts_rejection": pts_rejection(weights, as_of), "pts_repeat": pts_repeat(weights),
         "pts_target": pts_target(weights), "pts_niche": pts_niche(weights),

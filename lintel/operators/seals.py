@@ -106,7 +106,7 @@ def best_method(candidates: DataFrame) -> DataFrame:
     page = ["document_id", "page_number"]
     ranked = candidates.withColumn("_rank", _method_rank(F.col("extraction_method")))
     best = ranked.groupBy(*page).agg(F.min("_rank").alias("_best"))
-    return (salted_lookup(ranked, best, page, "inner").filter("_rank = _best")
+    return (salted_lookup(ranked, best, page, "inner", counted_on=candidates).filter("_rank = _best")
             .drop("_rank", "_best"))
 
 
@@ -118,7 +118,8 @@ def seal_confidence(method: Column, ocr_confidence: Column) -> Column:
 
 
 def validate_seal(seals: DataFrame, licenses: DataFrame,
-                  pe_types: Sequence[str] = ("PE_FP", "PE_OTHER")) -> DataFrame:
+                  pe_types: Sequence[str] = ("PE_FP", "PE_OTHER"),
+                  counted_on: DataFrame | None = None) -> DataFrame:
     """Check each number against the board; missing particulars come from the licence.
 
     Unknown numbers stay, marked ``validated = false``.
@@ -129,8 +130,11 @@ def validate_seal(seals: DataFrame, licenses: DataFrame,
         licenses.filter(F.col("license_type").isin(*pe_types))
         .groupBy(N.license_key(F.col("license_number")).alias("license_key"))
         .agg(holder.alias("_holder")))
-    keyed = seals.withColumn("license_key", N.license_key(F.col("license_number")))
-    found = salted_lookup(keyed, registry, ["license_key"], "left")
+    def keyed(df):
+        return df.withColumn("license_key", N.license_key(F.col("license_number")))
+
+    found = salted_lookup(keyed(seals), registry, ["license_key"], "left",
+                          counted_on=keyed(seals if counted_on is None else counted_on))
     read = F.col("engineer_name")
     return (
         found.withColumn("validated", F.col("_holder").isNotNull())
@@ -143,10 +147,11 @@ def validate_seal(seals: DataFrame, licenses: DataFrame,
     )
 
 
-def with_permit(seals: DataFrame, documents: DataFrame) -> DataFrame:
+def with_permit(seals: DataFrame, documents: DataFrame,
+                counted_on: DataFrame | None = None) -> DataFrame:
     """Attach permit and date of the document a seal sits on."""
     return salted_lookup(seals, documents.select("document_id", *PERMIT_KEY, "sealed_on"),
-                         ["document_id"], "inner")
+                         ["document_id"], "inner", counted_on=counted_on)
 
 
 def top_engineers(dated: DataFrame, k: int = 20) -> DataFrame:

@@ -63,7 +63,8 @@ def _marked(df: DataFrame, keys: Sequence[str], hot: DataFrame | list[Row]) -> D
 
 
 def salted_lookup(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left",
-                  hot: DataFrame | list[Row] | None = None, min_rows: int = HOT_ROWS) -> DataFrame:
+                  hot: DataFrame | list[Row] | None = None, counted_on: DataFrame | None = None,
+                  min_rows: int = HOT_ROWS) -> DataFrame:
     """Equi-join ``big`` to a table with few rows per key.
 
     Rows of hot keys are spread over ``SALTS`` tasks and the few lookup rows of
@@ -71,9 +72,12 @@ def salted_lookup(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: s
     nothing; they are spread too instead of piling up in one task.  Without a
     hot key this is a plain join.  ``hot`` may be handed in when the counts are
     at hand: as rows, or as a ``heaviest`` table to be found within the job.
+    ``counted_on`` is a cheaper table to count on: one that has at least the
+    rows of ``big`` under every key, such as the table ``big`` was filtered from.
     """
     keys = list(keys)
-    hot = hot_keys(big, keys, min_rows) if hot is None else hot
+    if hot is None:
+        hot = hot_keys(big if counted_on is None else counted_on, keys, min_rows)
     if not isinstance(hot, DataFrame) and not hot:
         return big.join(lookup, keys, how)
     marked = _marked(big, keys, hot)

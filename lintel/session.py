@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -45,6 +45,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a stage to the shared folder and go on from the written table.
+
+    Later steps then read columns of a finished table instead of computing the
+    stage again, and a lost executor costs no more than its own tasks.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path in the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
