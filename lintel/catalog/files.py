@@ -91,16 +91,19 @@ def list_documents(t):
     return extracts.list_documents(extracts.parse_detail_pages(t.pages)).select("page_id", "position", "portal_url")
 
 
-@query("document_manifest", """
-select doc_id as document_id, strlen(concat(text, chr(10))) as length,
-  case when strlen(concat(text, chr(10))) <= 20000 then sha256(concat(text, chr(10))) end as sha256,
-  strlen(concat(text, chr(10))) > 20000 as oversize from documents""")
+_FILES = "select doc_id // 25 as folder, string_agg(concat(text, chr(10)), '' order by doc_id) as body from documents group by all"
+
+
+@query("document_manifest", f"""
+select folder, strlen(body) as length, case when strlen(body) <= 80000 then sha256(body) end as sha256,
+  strlen(body) > 80000 as oversize from ({_FILES})""")
 def document_manifest(t):
     path = scratch_path(t.spark, "documents")
-    (t.documents.select("doc_id", "text").repartitionByRange("doc_id")
-     .write.partitionBy("doc_id").text(path))
-    found = extracts.document_manifest(t.spark, path, max_bytes=20_000, glob="*.txt")
-    return found.select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("document_id"),
+    (t.documents.select(F.expr("doc_id div 25").alias("folder"), "doc_id", "text")
+     .repartition("folder").sortWithinPartitions("folder", "doc_id").drop("doc_id")
+     .write.partitionBy("folder").text(path))
+    found = extracts.document_manifest(t.spark, path, max_bytes=80_000, glob="*.txt")
+    return found.select(F.regexp_extract("path", r"folder=(\d+)", 1).cast("long").alias("folder"),
                         "length", "sha256", "oversize")
 
 

@@ -19,11 +19,10 @@ from lintel.schemas import PERMIT_KEY
 # Workers get this code with the task, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CYCLE_KEY = [*PERMIT_KEY, "cycle_number"]
-ROW_ORDER = ["status_date", "observed_at", "department", "comment_text", "status"]
+COLUMNS = ["status_date", "observed_at", "department", "comment_text", "status", "cycle_number"]
 SIGNAL = ("jurisdiction_id int, record_number bigint, cycle_number int, reason string, "
           "department string, status string, signal_date date, comment_text string")
-STATE = "alerted boolean, departments string"
+STATE = "cycles string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,30 +30,33 @@ def _adverse(status: str | None) -> bool:
     return bool(status) and re.search(ADVERSE_STATUS, status, re.IGNORECASE) is not None
 
 
-def watch_cycle(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Follow one permit cycle: last status per department, and whether it has alerted.
+def watch_permit(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Follow one permit: per cycle whether it has alerted, per department its last status.
 
     A row older than the department's stored status is late: it never alerts
     and does not replace the newer status.
     """
-    alerted, departments = state.get if state.exists else (False, "{}")
-    last = json.loads(departments)
-    rows = pd.concat(list(batches)).sort_values(ROW_ORDER, kind="stable")
-    found = []
-    for row in rows.itertuples(index=False):
-        day = str(row.status_date)
-        before = last.get(row.department)
-        if before and day < before[1]:
+    cycles = json.loads(state.get[0]) if state.exists else {}
+    rows = sorted(row for batch in batches for row in zip(*(batch[c].tolist() for c in COLUMNS)))
+    found: dict[str, tuple] = {}
+    for day, _, department, comment, status, cycle in rows:
+        seen = cycles.setdefault(str(cycle), {"alerted": False, "last": {}})
+        before = seen["last"].get(department)
+        if before and str(day) < before[1]:
             continue
-        if _adverse(row.status) and not (before and _adverse(before[0])):
-            found.append((row.status_date, row.department, row.comment_text, row.status))
-        last[row.department] = [row.status, day]
-    first = min(found, key=lambda f: (str(f[0]), *f[1:])) if found and not alerted else None
-    state.update((bool(alerted or first), json.dumps(last)))
-    if first:
-        day, department, comment, status = first
-        yield pd.DataFrame([[*key, "rejection", department, status, day, comment]],
-                           columns=[*CYCLE_KEY, "reason", "department", "status", "signal_date", "comment_text"])
+        if _adverse(status) and not (before and _adverse(before[0])) and not seen["alerted"]:
+            signal = (day, department, comment, status)
+            found[str(cycle)] = min(found.get(str(cycle), signal), signal)
+        seen["last"][department] = [status, str(day)]
+    for cycle in found:
+        cycles[cycle]["alerted"] = True
+    state.update((json.dumps(cycles),))
+    if found:
+        yield pd.DataFrame({
+            "jurisdiction_id": key[0], "record_number": key[1],
+            "cycle_number": [int(c) for c in found], "reason": "rejection",
+            "department": [f[1] for f in found.values()], "status": [f[3] for f in found.values()],
+            "signal_date": [f[0] for f in found.values()], "comment_text": [f[2] for f in found.values()]})
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -66,11 +68,13 @@ def use_rocksdb(spark: SparkSession) -> None:
 def hot_stream(reviews: DataFrame) -> DataFrame:
     """New rejection alerts of a review stream.
 
-    Only fire departments reach the state.  State per permit cycle is two
-    values, never expires, and a task sees at most one trigger's rows of a key;
-    bound the trigger at the source with ``maxFilesPerTrigger``.
+    Only fire departments reach the state.  State is a few values per permit
+    and cycle and never expires.  A task sees at most one trigger's rows of a
+    permit; bound the trigger at the source with ``maxFilesPerTrigger``.
     """
-    fire = (reviews.filter(is_fire_department(F.col("department")))
-            .select(*CYCLE_KEY, "department", "status", "status_date", "observed_at", "comment_text"))
-    return fire.groupBy(*CYCLE_KEY).applyInPandasWithState(
-        watch_cycle, SIGNAL, STATE, "append", "NoTimeout")
+    text = ["department", "status", "comment_text"]
+    fire = reviews.filter(is_fire_department(F.col("department"))).select(
+        *PERMIT_KEY, "cycle_number", "status_date", "observed_at",
+        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in text])
+    return fire.groupBy(*PERMIT_KEY).applyInPandasWithState(
+        watch_permit, SIGNAL, STATE, "append", "NoTimeout")
