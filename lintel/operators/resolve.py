@@ -11,7 +11,7 @@ from lintel.functions import names as N
 from lintel.functions.similarity import token_set_ratio
 from lintel.plans.components import connected_components
 from lintel.plans.similar import FLOOR, SMALL_BLOCK, block_pairs
-from lintel.plans.skew import heaviest, salted_lookup
+from lintel.plans.skew import salted_lookup
 
 # Score bands of the merge decision.
 MERGE_SCORE = 92.0
@@ -41,7 +41,7 @@ def star_edges(members: DataFrame, keys: Sequence[str], basis: str) -> DataFrame
     keyed = members.dropna(subset=keys).select("member_id", *keys).distinct()
     groups = keyed.groupBy(*keys).agg(F.min("member_id").alias("left_id"), F.count(F.lit(1)).alias("_rows"))
     linked = salted_lookup(keyed, groups.filter("_rows > 1").drop("_rows"), keys, "inner",
-                           hot=heaviest(groups, keys))
+                           counted_on=members)
     return (linked.filter("member_id <> left_id")
             .select("left_id", F.col("member_id").alias("right_id"), F.lit(basis).alias("basis")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.plans.skew import HOT_ROWS, heaviest, salted_lookup
+from lintel.plans.skew import HOT_ROWS, salted_lookup
 from lintel.session import ensure_checkpoint_dir
 
 
@@ -14,10 +14,9 @@ def _lowest(edges: DataFrame, rows: int) -> DataFrame:
 
     Fewer edges than a hot key needs prove that there is none to look for.
     """
-    stats = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"),
-                                   F.count(F.lit(1)).alias("_rows"))
-    hot = heaviest(stats, ["u"]) if rows >= HOT_ROWS else []
-    return salted_lookup(edges, stats.drop("_rows"), ["u"], "inner", hot=hot)
+    lowest = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return salted_lookup(edges, lowest, ["u"], "inner", hot=None if rows >= HOT_ROWS else [],
+                         min_rows=HOT_ROWS)
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintel.plans.skew import heaviest, salted_lookup
+from lintel.plans.skew import salted_lookup
 from lintel.session import ensure_checkpoint_dir
 
 FLOOR = 85.0
@@ -55,7 +55,7 @@ def _ranked(names: DataFrame, parts: str) -> DataFrame:
     """``parts`` of each name from rare to frequent; a name is short, so its list is too."""
     single = names.select("name", F.explode(parts).alias("part"))
     counts = single.groupBy("part").agg(F.count(F.lit(1)).alias("_rows"))
-    weighed = salted_lookup(single, counts, ["part"], "inner", hot=heaviest(counts, ["part"]))
+    weighed = salted_lookup(single, counts, ["part"], "inner")
     order = F.array_sort(F.collect_list(F.struct("_rows", "part")))
     return weighed.groupBy("name").agg(F.transform(order, lambda s: s["part"]).alias(parts))
 
@@ -107,7 +107,7 @@ def block_pairs(contacts: DataFrame, small_block: int = SMALL_BLOCK) -> DataFram
             contacts.withColumnRenamed("name", "b"), block)
         return _merged(_directed(direct.filter("a < b")))
 
-    sized = salted_lookup(contacts, counts, block, "inner", hot=heaviest(counts, block))
+    sized = salted_lookup(contacts, counts, block, "inner")
     small = sized.filter(F.col("_rows") <= small_block).drop("_rows")
     large = sized.filter(F.col("_rows") > small_block).drop("_rows")
     direct = (small.withColumnRenamed("name", "a")

@@ -1,28 +1,32 @@
 """Joins and ordered look-backs that stay spread out when one key is hot.
 
-A key is treated as hot when it is among the ``HOT_KEYS`` heaviest keys and
-holds at least ``HOT_ROWS`` rows.  The list of hot keys is therefore never
-longer than ``HOT_KEYS``, which is what makes it safe to broadcast; any key
-outside the list holds less than a thousandth of all rows.
+Hot keys are found with a frequent-items sketch over the hashed key: one scan
+of the key columns, no shuffle of keys, and every key that holds more than a
+few thousandths of the rows is found.  Only keys with at least ``HOT_ROWS``
+rows count, and never more than ``HOT_KEYS`` of them, so the list is safe to
+broadcast.  The sketch only chooses which keys to spread; results never depend
+on it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 HOT_ROWS = 1_000_000
 HOT_KEYS = 1_000
-SALTS = 64
+TRACKED_ITEMS = 4_096
+MERGERS = 64
 BROADCAST_ROWS = 100_000
 
 _UNHASHABLE = (T.MapType, T.VariantType)
 
+HotKeys = list[tuple[int, int]]
+
 
 def checked_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that the table is small."""
@@ -31,69 +35,62 @@ def checked_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
     return table
 
 
-def heaviest(counts: DataFrame, keys: Sequence[str], rows: str = "_rows",
-             min_rows: int = HOT_ROWS) -> DataFrame:
-    """The hot keys out of a table of row counts per key."""
-    return (
-        counts.filter(F.col(rows) >= min_rows)
-        .orderBy(F.desc(rows), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys)
-    )
+def _code(df: DataFrame, keys: Sequence[str], like: DataFrame | None = None) -> Column:
+    """Hash of the key, computed with the key types of ``like``."""
+    types = {f.name: f.dataType for f in (like or df).schema.fields}
+    return F.xxhash64(*[F.col(k).cast(types[k]) for k in keys])
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> list[Row]:
-    """Count rows per key (combined map-side) and fetch the hot keys, at most ``HOT_KEYS``."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return heaviest(counts, keys, min_rows=min_rows).collect()
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> HotKeys:
+    """``(hash of key, salts)`` of the hot keys; a salt is worth about ``min_rows`` rows."""
+    codes = df.select(_code(df, keys).alias("code"),
+                      (F.spark_partition_id() % MERGERS).alias("merger"))
+    sketches = codes.groupBy("merger").agg(
+        F.expr(f"approx_top_k_accumulate(code, {TRACKED_ITEMS})").alias("sketch"))
+    top = sketches.agg(F.expr(
+        f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED_ITEMS}), {HOT_KEYS})")).first()[0]
+    return [(t["item"], -(-t["count"] // min_rows) + 1) for t in top or [] if t["count"] >= min_rows]
 
 
 def _spread(df: DataFrame) -> Column:
-    """A salt that depends on the row alone, so a re-run task repeats it."""
+    """A number that depends on the row alone, so a re-run task repeats it."""
     cols = [f.name for f in df.schema.fields if not isinstance(f.dataType, _UNHASHABLE)]
-    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cols]), F.lit(SALTS)).cast("int")
+    return F.xxhash64(*[F.col(f"`{c}`") for c in cols])
 
 
-def _marked(df: DataFrame, keys: Sequence[str], hot: DataFrame | list[Row]) -> DataFrame:
-    """The hot keys as a broadcast table with a flag."""
-    if not isinstance(hot, DataFrame):
-        complete = [tuple(r) for r in hot if None not in tuple(r)]
-        hot = df.sparkSession.createDataFrame(complete, df.select(*keys).schema)
-    return F.broadcast(hot.withColumn("_hot", F.lit(True)))
+def _with_salts(df: DataFrame, code: Column, hot: HotKeys) -> DataFrame:
+    """Add ``_salts``: how many tasks the row's key is spread over, null unless hot."""
+    table = df.sparkSession.createDataFrame(hot, "_code long, _salts long")
+    return df.withColumn("_code", code).join(F.broadcast(table), "_code", "left").drop("_code")
 
 
 def salted_lookup(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left",
-                  hot: DataFrame | list[Row] | None = None, counted_on: DataFrame | None = None,
+                  hot: HotKeys | None = None, counted_on: DataFrame | None = None,
                   min_rows: int = HOT_ROWS) -> DataFrame:
     """Equi-join ``big`` to a table with few rows per key.
 
-    Rows of hot keys are spread over ``SALTS`` tasks and the few lookup rows of
-    those keys are repeated once per salt.  Rows whose key is null match
-    nothing; they are spread too instead of piling up in one task.  Without a
-    hot key this is a plain join.  ``hot`` may be handed in when the counts are
-    at hand: as rows, or as a ``heaviest`` table to be found within the job.
-    ``counted_on`` is a cheaper table to count on: one that has at least the
-    rows of ``big`` under every key, such as the table ``big`` was filtered from.
+    Rows of a hot key are spread over as many tasks as its size asks for, and
+    the few lookup rows of that key are repeated once per salt.  Null keys
+    match nothing but are spread the same way instead of piling up in one task.
+    Without a hot key this is a plain join.  ``counted_on`` is a cheaper table
+    to look for hot keys in: one that has at least the rows of ``big`` under
+    every key, such as the table ``big`` was filtered from.
     """
     keys = list(keys)
     if hot is None:
         hot = hot_keys(big if counted_on is None else counted_on, keys, min_rows)
-    if not isinstance(hot, DataFrame) and not hot:
+    if not hot:
         return big.join(lookup, keys, how)
-    marked = _marked(big, keys, hot)
-    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    seen = big if counted_on is None else counted_on
     left = (
-        big.withColumn("_spread", _spread(big))
-        .join(marked, keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot") | missing, F.col("_spread")).otherwise(0))
-        .drop("_hot", "_spread")
+        _with_salts(big, _code(big, keys, seen), hot)
+        .withColumn("_salt", F.coalesce(F.pmod(_spread(big), F.col("_salts")), F.lit(0)))
+        .drop("_salts")
     )
     right = (
-        lookup.dropna(subset=keys)
-        .join(marked, keys, "left")
-        .withColumn("_salt", F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
+        _with_salts(lookup.dropna(subset=keys), _code(lookup, keys, seen), hot)
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts") - 1, F.lit(0)))))
+        .drop("_salts")
     )
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
@@ -114,10 +111,10 @@ def split_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], values:
         whole = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn("_prev", F.lag(F.struct(*values)).over(whole))
     sliced = (
-        df.join(_marked(df, keys, hot), keys, "left")
+        _with_salts(df, _code(df, keys), hot)
         .withColumn("_slice", F.when(
-            F.col("_hot"), F.struct(*[s.alias(f"s{i}") for i, s in enumerate(slices)])))
-        .drop("_hot")
+            F.col("_salts").isNotNull(), F.struct(*[s.alias(f"s{i}") for i, s in enumerate(slices)])))
+        .drop("_salts")
     )
     kept = F.struct(*values)
     within = Window.partitionBy(*keys, "_slice").orderBy(*order)

@@ -26,14 +26,18 @@ def test_salted_lookup(spark, how):
     hot = skew.salted_lookup(big, lookup, ["k"], how, min_rows=50)
     assert rows(hot) == rows(big.join(lookup, ["k"], how))
     assert skew.hot_keys(big, ["k"], 50)
-    lazy = skew.heaviest(big.dropna().groupBy("k").agg(F.count(F.lit(1)).alias("_rows")), ["k"], min_rows=50)
-    assert rows(skew.salted_lookup(big, lookup, ["k"], how, hot=lazy)) == rows(big.join(lookup, ["k"], how))
+    wide = lookup.withColumn("k", F.col("k").cast("long"))
+    assert rows(skew.salted_lookup(big, wide, ["k"], how, min_rows=50)) == rows(big.join(wide, ["k"], how))
 
 
-def test_salt_spreads_a_hot_key(spark):
-    big = spark.range(6400).select(F.lit(1).alias("k"), "id")
-    salts = big.select(skew._spread(big).alias("s")).groupBy("s").count().collect()
-    assert len(salts) == skew.SALTS and max(r["count"] for r in salts) < 400
+def test_hot_keys(spark):
+    third = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    (code, salts), = skew.hot_keys(third, ["k"], min_rows=1_000)
+    assert salts == 22 and code == third.filter("k = 7").select(F.xxhash64("k")).first()[0]
+    assert skew.hot_keys(third, ["k"]) == []
+    spread = third.withColumn("id", F.monotonically_increasing_id()).filter("k = 7")
+    sizes = [r["count"] for r in spread.groupBy(F.pmod(skew._spread(spread), F.lit(salts))).count().collect()]
+    assert len(sizes) == salts and max(sizes) < 1_300
 
 
 def test_split_lag(spark):
@@ -82,8 +86,6 @@ def test_components(spark, monkeypatch, hot_rows):
     rng.shuffle(edges)
     flipped = [(b, a) if rng.random() < 0.5 else (a, b) for a, b in edges]
     monkeypatch.setattr(components, "HOT_ROWS", hot_rows)
-    monkeypatch.setattr(components, "heaviest",
-                        lambda counts, keys: skew.heaviest(counts, keys, min_rows=hot_rows))
     found = components.connected_components(spark.createDataFrame(flipped, "left_id long, right_id long"))
     assert rows(found) == roots(edges)
 
