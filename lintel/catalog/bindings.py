@@ -32,9 +32,9 @@ VIEWS: dict[str, str] = {
           cast(o_orderdate as date) + cast(o_custkey % 400 as int) as touched_on,
           cast(o_totalprice * 10 as decimal(14,2)) as valuation,
           cast((o_orderkey * 37) % 200000 as int) as square_footage,
-          case o_orderkey % 5 when 0 then 'New Construction' when 1 then 'Tenant Improvement'
+          case o_custkey % 5 when 0 then 'New Construction' when 1 then 'Tenant Improvement'
             when 2 then 'Single Family Residential' when 3 then 'Roofing' else 'Sign' end as record_type,
-          case o_orderkey % 7 when 0 then 'Warehouse shell' when 1 then 'Neighborhood sign'
+          case (o_custkey + o_orderkey) % 7 when 0 then 'Warehouse shell' when 1 then 'Neighborhood sign'
             when 2 then 'Fire sprinkler retrofit' when 3 then 'Data center build-out'
             when 4 then 'Battery ESS room' when 5 then 'Re-roof' else 'Kitchen hood' end as description
         from orders""",

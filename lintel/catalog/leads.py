@@ -10,9 +10,9 @@ from lintel.catalog.bindings import AS_OF
 from lintel.catalog.registry import query
 from lintel.catalog.reviews import _ALL
 from lintel.config import load_weights
-from lintel.operators import capability, reports, reviews, scoring, seals
+from lintel.operators import reports, reviews, scoring, seals
 from lintel.operators.filters import niche_match as with_niches
-from lintel.session import stored
+from lintel.plans import jobs
 
 WEIGHTS = load_weights()
 _DAY = "date '2001-08-01'"
@@ -80,28 +80,27 @@ scored_leads as (select *, cast({' + '.join(_P)} as decimal(9,4)) as score from
 
 
 def _listed(t):
-    return stored(capability.target_lists(cap.flagged(t)), "targets")
+    return jobs.target_firms(t.b_company, t.b_license, t.b_party, t.b_permit, AS_OF)
 
 
 def _hot(t):
-    return reviews.hot_signals(t.b_review, AS_OF)
+    return jobs.monitor(t.b_review, AS_OF)
 
 
 def _facts(t):
-    return stored(scoring.permit_facts(t.b_permit, reviews.permit_review_status(t.b_review), _hot(t)), "facts")
+    return jobs.lead_facts(t.b_permit, t.b_review, _hot(t))
 
 
 def _reliance(t):
-    dated = sl.dated(t)
-    sole = seals.sole_engineer_contractors(seals.engineer_client_map(dated, t.b_party, ["contractor"]))
-    return scoring.overloaded_reliance(sole, seals.overloaded_engineers(dated, AS_OF, limit=4))
+    return jobs.reliance(sl.dated(t), t.b_party, AS_OF, limit=4)
 
 
-def leads(t):
-    listed = _listed(t)
-    companies = scoring.company_facts(listed, _reliance(t), scoring.last_contacts(t.b_contact, AS_OF))
-    candidates = scoring.lead_candidates(_facts(t), t.b_party, listed)
-    return stored(scoring.score_leads(candidates, companies, WEIGHTS, AS_OF, counted_on=t.b_party), "leads")
+def leads(t, hot=None, listed=None, index=None):
+    hot = _hot(t) if hot is None else hot
+    listed = _listed(t) if listed is None else listed
+    index = sl.dated(t) if index is None else index
+    return jobs.score(jobs.lead_facts(t.b_permit, t.b_review, hot), t.b_party, listed,
+                      jobs.reliance(index, t.b_party, AS_OF, limit=4), t.b_contact, WEIGHTS, AS_OF)
 
 
 @query("points_rejection", f"""with {_STATUS}
@@ -266,10 +265,9 @@ union all select 3, place, line from (
   select cast(row_number() over (order by list, company_id) as int) as place,
     concat('- Company ', company_id, ' now on list ', list) as line from new_targets) where place <= 100""")
 def digest_lines(t):
-    return reports.digest_lines(
-        AS_OF, reports.digest_hot(_hot(t), t.b_permit),
-        reports.digest_new_leads(leads(t), _earlier(t), min_score=40),
-        reports.digest_new_targets(_listed(t), _earlier_targets(t)))
+    hot, listed = _hot(t), _listed(t)
+    return jobs.digest(AS_OF, hot, t.b_permit, leads(t, hot, listed), listed, _earlier(t),
+                       _earlier_targets(t), min_score=40)
 
 
 @query("company_dossier", f"""with {_LEADS}, dossier_edges as (
@@ -288,9 +286,10 @@ union all select company_id, 'sealing engineer', license_key, cast(seals as varc
 union all select company_id, 'leads', cast(count(*) as varchar), cast(max(score) as varchar)
   from scored_leads join b_company using (company_id) group by company_id""")
 def company_dossier(t):
-    edges = seals.engineer_client_map(sl.dated(t), t.b_party)
-    return reports.company_dossier(t.b_company.select(F.col("canonical_name").alias("name")), t.b_company,
-                                   t.b_license, t.b_party, t.b_review, edges, leads(t))
+    index = sl.dated(t)
+    return reports.company_dossier(
+        t.b_company.select(F.col("canonical_name").alias("name")), t.b_company, t.b_license, t.b_party,
+        t.b_review, seals.engineer_client_map(index, t.b_party), leads(t, index=index))
 
 
 @query("export_flat", f"""with {_ALL}

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from lintel.catalog.bindings import AS_OF
 from lintel.catalog.registry import query
-from lintel.operators import filters, seals
-from lintel.session import stored
+from lintel.operators import seals
+from lintel.plans import jobs
 
 # Words of the documents laid out on pages of 60 lines and 10 columns.
 _WORDS = """words as (
@@ -152,8 +152,7 @@ def checked(t):
 
 def dated(t):
     documents = t.b_document.withColumn("sealed_on", F.col("downloaded_on"))
-    known = seals.with_permit(checked(t).filter("validated"), documents, counted_on=t.b_seal_candidate)
-    return stored(filters.with_county(known, t.b_jurisdiction), "seals")
+    return jobs.seal_index(t.b_seal_candidate, t.b_license, documents, t.b_jurisdiction)
 
 
 @query("validate_seal", f"""with {_DATED} select document_id, page_number, license_key, validated, name_disagrees,

@@ -74,21 +74,41 @@ def is_open_review(status: Column) -> Column:
     return F.coalesce(status.rlike(any_case(OPEN_REVIEW)), F.lit(False))
 
 
+def _named(text: Column, rules: list[tuple[str, str]], verdict: str, strict: bool) -> Column:
+    """Name of the first rule that matches a text known to match one of them."""
+    named = F.when(text.rlike(rule(rules[0][1], strict)), F.lit(f"{verdict}:{rules[0][0]}"))
+    for name, pattern in rules[1:]:
+        named = named.when(text.rlike(rule(pattern, strict)), F.lit(f"{verdict}:{name}"))
+    return named
+
+
+def _any_of(text: Column, rules: list[tuple[str, str]], strict: bool) -> Column:
+    return text.rlike(rule("|".join(pattern for _, pattern in rules), strict))
+
+
 def commercial_rule(record_type: Column, description: Column, strict: bool = True) -> Column:
     """Name of the rule that keeps or drops a permit.
 
     A single-family record is always dropped; a fire-system keyword keeps
-    anything else; other exclusions beat the work-type list.
+    anything else; other exclusions beat the work-type list.  Each list is one
+    pattern first, so a text is scanned four times however long the lists are.
     """
     text = F.concat_ws(" ", record_type, description)
-    single, single_pattern = EXCLUDED_WORK[0]
-    decided = F.when(text.rlike(rule(single_pattern, strict)), F.lit(f"exclude:{single}"))
-    decided = decided.when(text.rlike(rule(FIRE_SYSTEM, strict)), F.lit("include:fire_system"))
-    for name, pattern in EXCLUDED_WORK[1:]:
-        decided = decided.when(text.rlike(rule(pattern, strict)), F.lit(f"exclude:{name}"))
-    for name, pattern in WORK_TYPES:
-        decided = decided.when(text.rlike(rule(pattern, strict)), F.lit(f"include:{name}"))
-    return decided.otherwise(F.lit("exclude:no_match"))
+    return (
+        F.when(_any_of(text, EXCLUDED_WORK[:1], strict), F.lit(f"exclude:{EXCLUDED_WORK[0][0]}"))
+        .when(text.rlike(rule(FIRE_SYSTEM, strict)), F.lit("include:fire_system"))
+        .when(_any_of(text, EXCLUDED_WORK[1:], strict), _named(text, EXCLUDED_WORK[1:], "exclude", strict))
+        .when(_any_of(text, WORK_TYPES, strict), _named(text, WORK_TYPES, "include", strict))
+        .otherwise(F.lit("exclude:no_match"))
+    )
+
+
+def is_commercial(record_type: Column, description: Column, strict: bool = True) -> Column:
+    """The verdict alone, where the name of the rule is not wanted."""
+    text = F.concat_ws(" ", record_type, description)
+    return ~_any_of(text, EXCLUDED_WORK[:1], strict) & (
+        text.rlike(rule(FIRE_SYSTEM, strict))
+        | (_any_of(text, WORK_TYPES, strict) & ~_any_of(text, EXCLUDED_WORK[1:], strict)))
 
 
 def niche_hits(text: Column, square_footage: Column) -> Column:

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintel.operators.filters import commercial_only
+from lintel.functions.patterns import is_commercial
 from lintel.plans.skew import salted_lookup
 from lintel.schemas import PERMIT_KEY
 
@@ -59,8 +59,8 @@ def permit_volume_12mo(parties: DataFrame, permits: DataFrame, as_of: date,
                        by: Sequence[str] = ()) -> DataFrame:
     """Distinct commercial permits of the last twelve months per company."""
     day = F.col("applied_date")
-    recent = (commercial_only(permits.filter((day > F.add_months(F.lit(as_of), -12))
-                                             & (day <= F.lit(as_of))))
+    recent = (permits.filter((day > F.add_months(F.lit(as_of), -12)) & (day <= F.lit(as_of)))
+              .filter(is_commercial(F.col("record_type"), F.col("description")))
               .select(*PERMIT_KEY, *by))
     named = parties.dropna(subset=["company_id"]).select("company_id", *PERMIT_KEY).distinct()
     return (salted_lookup(named, recent, PERMIT_KEY, "inner", counted_on=parties)

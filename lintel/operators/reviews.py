@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lintel.functions import patterns as P
 from lintel.plans.skew import checked_broadcast, latest, salted_lookup, split_lag
 from lintel.schemas import PERMIT_KEY, REVIEW_KEY
+from lintel.session import stored
 
 CYCLE_KEY = [*PERMIT_KEY, "cycle_number"]
 REVIEW_ORDER = ["status_date", "observed_at"]
@@ -191,9 +192,11 @@ def update_history(history: DataFrame, picked: DataFrame) -> DataFrame:
 
 def hot_signals(reviews: DataFrame, as_of: date, history: DataFrame | None = None) -> DataFrame:
     """The whole monitor over one set of review snapshots."""
-    rejected = hot_rejections(status_transitions(reviews))
-    stalled = stalled_signals(stalled_reviews(reviews, turnaround_baseline(reviews), as_of), as_of)
-    return emit_hot([rejected, repeat_cycle(reviews), stalled], history)
+    fire = reviews.filter(P.is_fire_department(F.col("department")))
+    rejected = hot_rejections(status_transitions(fire))
+    baseline = stored(turnaround_baseline(fire), "baseline")
+    stalled = stalled_signals(stalled_reviews(fire, baseline, as_of), as_of)
+    return emit_hot([rejected, repeat_cycle(fire), stalled], history)
 
 
 def permit_review_status(reviews: DataFrame) -> DataFrame:

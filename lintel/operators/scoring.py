@@ -16,7 +16,6 @@ from pyspark.sql.window import Window
 
 from lintel.functions import patterns as P
 from lintel.functions import points as S
-from lintel.operators.filters import classify_commercial
 from lintel.plans.skew import salted_lookup
 from lintel.schemas import PERMIT_KEY
 
@@ -88,10 +87,10 @@ def permit_facts(permits: DataFrame, review_status: DataFrame, hot: DataFrame) -
                               if c in permits.columns])
     alerted = hot.select(*PERMIT_KEY).distinct().withColumn("is_hot", F.lit(True))
     return (
-        classify_commercial(permits)
-        .withColumn("niches", P.niche_hits(text, F.col("square_footage")))
-        .select(*PERMIT_KEY, "applied_date", "valuation", "niches",
-                F.col("matched_rule").startswith("include:").alias("is_commercial"))
+        permits.select(
+            *PERMIT_KEY, "applied_date", "valuation",
+            P.niche_hits(text, F.col("square_footage")).alias("niches"),
+            P.is_commercial(F.col("record_type"), F.col("description")).alias("is_commercial"))
         .join(review_status.select(*PERMIT_KEY, "fire_cycles", "last_adverse_on"), PERMIT_KEY, "left")
         .join(alerted, PERMIT_KEY, "left")
         .withColumn("is_hot", F.coalesce("is_hot", F.lit(False)))
