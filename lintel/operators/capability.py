@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintel.functions.patterns import is_commercial
+from lintel.operators.validate import guarded
 from lintel.plans.skew import salted_lookup
 from lintel.schemas import PERMIT_KEY
 
@@ -114,8 +115,7 @@ def coverage_guard(flagged: DataFrame, coverage: DataFrame, registries: Sequence
                        F.lit(f" of {', '.join(registries)}"))
     guard = needed.agg(F.when(usable < len(set(registries)), F.raise_error(message))
                        .otherwise(F.lit(True)).cast("boolean").alias("covered"))
-    return flagged.sparkSession.sql(
-        "select * from {rows} where (select covered from {guard})", rows=flagged, guard=guard)
+    return guarded(flagged, guard)
 
 
 REASONS = {

@@ -130,9 +130,13 @@ def source_coverage(expected: DataFrame, landed: DataFrame, as_of: date, max_age
     )
 
 
-def write_snapshot(df: DataFrame, path: str, observed: str = "observed_at") -> None:
-    """Append-only snapshots by jurisdiction and day; a re-run replaces its own days."""
-    dated = df.withColumn("observed_on", F.to_date(observed))
+def write_snapshot(df: DataFrame, path: str, batch: str, observed: str = "observed_at") -> None:
+    """Append a batch to the snapshots by jurisdiction and day.
+
+    A re-run of the same batch replaces what it wrote before and nothing else,
+    so two batches of one day stand side by side.
+    """
+    dated = df.withColumns({"observed_on": F.to_date(observed), "batch": F.lit(batch)})
     (spread_write(dated, "jurisdiction_id", "observed_on")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("jurisdiction_id", "observed_on").parquet(path))
+     .partitionBy("jurisdiction_id", "observed_on", "batch").parquet(path))

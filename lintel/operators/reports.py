@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from lintel.functions.names import normalize_company
 from lintel.functions.patterns import is_fire_department
 from lintel.operators.scoring import top_leads
-from lintel.plans.skew import salted_lookup
+from lintel.plans.skew import checked_broadcast, salted_lookup
 from lintel.schemas import PERMIT_KEY
 
 OPENINGS = {
@@ -91,7 +91,7 @@ def company_dossier(names: DataFrame, company: DataFrame, licenses: DataFrame, p
     """
     asked = names.select(normalize_company(F.col("name")).alias("normalized_key")).dropna().distinct()
     found = company.join(asked, "normalized_key", "left_semi")
-    ids = found.select("company_id")
+    ids = checked_broadcast(found.select("company_id"))
 
     def rows(df, section, item, detail):
         return df.select("company_id", F.lit(section).alias("section"),

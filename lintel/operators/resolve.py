@@ -12,6 +12,7 @@ from lintel.functions.similarity import token_set_ratio
 from lintel.plans.components import connected_components
 from lintel.plans.similar import FLOOR, SMALL_BLOCK, block_pairs
 from lintel.plans.skew import salted_lookup
+from lintel.session import stored
 
 # Score bands of the merge decision.
 MERGE_SCORE = 92.0
@@ -110,10 +111,10 @@ def cluster(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 def resolve_members(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members with keys and company id, and the review queue."""
-    keyed = normalize_members(members)
+    keyed = stored(normalize_members(members), "keyed")
     merges, queue = resolve_pairs(score_pairs(candidate_pairs(keyed)))
     edges = match_license(keyed).unionByName(match_name(keyed)).unionByName(merge_edges(keyed, merges))
-    return keyed.join(cluster(keyed, edges), "member_id"), queue
+    return salted_lookup(keyed, cluster(keyed, edges), ["member_id"], "inner"), queue
 
 
 def company_values(clustered: DataFrame) -> DataFrame:

@@ -70,22 +70,20 @@ def context_of(text: Column, matched: Column, around: int = CONTEXT) -> Column:
 def extract_numbers(pages: DataFrame, pattern: str, strict: bool = True, text: str = "page_text") -> DataFrame:
     """Every licence number found in a page, in order, with its context.
 
-    All spellings are one pattern, so the text is scanned once and a spelling
-    inside another is not counted twice.  Contexts are cut out before the rows
-    multiply; the text itself is never copied per hit.
+    All spellings are one pattern, so a spelling inside another is not counted
+    twice.  Pages without a hit are dropped at their first scan; the outer
+    explode keeps the optimizer from scanning the text again to look for empty
+    lists.
     """
     found = P.number_rule(pattern, strict)
-    body = F.col(text)
-    hits = (
-        pages.withColumn("_matched", F.regexp_extract_all(body, F.lit(found), F.lit(0)))
-        .filter(F.size("_matched") > 0)
-        .withColumn("_numbers", F.regexp_extract_all(body, F.lit(found), F.lit(1)))
-        .withColumn("_hits", F.transform("_matched", lambda m, i: F.struct(
-            (i + 1).alias("ordinal"), F.get(F.col("_numbers"), i).alias("license_number"),
-            m.alias("matched"), context_of(body, m).alias("raw_text"))))
-    )
     kept = [c for c in pages.columns if c != text]
-    return hits.select(*kept, F.explode("_hits").alias("_hit")).select(*kept, "_hit.*")
+    hits = pages.filter(F.col(text).rlike(found)).select(
+        *kept, text, F.posexplode_outer(F.regexp_extract_all(F.col(text), F.lit(found), F.lit(0)))
+        .alias("_at", "matched"))
+    return hits.select(
+        *kept, (F.col("_at") + 1).alias("ordinal"),
+        F.regexp_extract("matched", r"(\d+)$", 1).alias("license_number"), "matched",
+        context_of(F.col(text), F.col("matched")).alias("raw_text"))
 
 
 def extract_pe(pages: DataFrame, strict: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -58,13 +59,20 @@ class RowCountCheck:
         return rows
 
 
-def assert_nonempty(df: DataFrame, label: str) -> DataFrame:
-    """The same rows; the job itself fails when there are none.
+def guarded(rows: DataFrame, guard: DataFrame) -> DataFrame:
+    """``rows``, in a job that also evaluates the one-row ``guard``.
 
-    The count sits in a scalar subquery of the same job, so the check happens
-    with the action and not when the plan is built.
+    The guard is a leading branch that yields no row but has to run first, so
+    it fails with the action even when the rows are empty.  Observing the
+    branch keeps later filters from being pushed into it and folding it away.
     """
+    nothing = guard.filter(~F.col(guard.columns[0])).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+    return nothing.observe(f"guard-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows")).unionAll(rows)
+
+
+def assert_nonempty(df: DataFrame, label: str) -> DataFrame:
+    """The same rows; the job itself fails when there are none."""
     guard = df.agg(F.when(F.count(F.lit(1)) == 0, F.raise_error(F.lit(f"{label}: zero rows")))
                    .otherwise(F.lit(True)).cast("boolean").alias("some_rows"))
-    return df.sparkSession.sql(
-        "select * from {rows} where (select some_rows from {guard})", rows=df, guard=guard)
+    return guarded(df, guard)

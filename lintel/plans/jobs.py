@@ -13,16 +13,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.operators import capability, filters, history, reports, resolve, reviews, scoring, seals
-from lintel.operators.validate import assert_nonempty, validate
+from lintel.operators.validate import RowCountCheck, validate
 from lintel.schemas import PERMIT_RULES, FieldRule
 from lintel.session import stored
 
 
-def harvest(landed: DataFrame, path: str, rules: Sequence[FieldRule] = PERMIT_RULES,
+def harvest(landed: DataFrame, path: str, batch: str, rules: Sequence[FieldRule] = PERMIT_RULES,
             label: str = "harvest") -> DataFrame:
-    """Validate landed permits, keep commercial work, append the snapshot; returns the rejects."""
+    """Validate landed permits, keep commercial work, append the snapshot; returns the rejects.
+
+    Fails when nothing valid has landed: an empty harvest never looks like a good one.
+    """
     accepted, rejects = validate(landed, rules)
-    history.write_snapshot(filters.commercial_only(assert_nonempty(accepted, label)), path)
+    checked = RowCountCheck(accepted, label)
+    history.write_snapshot(filters.commercial_only(checked.df), path, batch)
+    checked.verify()
     return rejects
 
 

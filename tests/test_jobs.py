@@ -92,7 +92,10 @@ def test_zero_rows_are_loud(spark):
     empty = spark.range(0)
     with pytest.raises(Exception, match="permits: zero rows"):
         assert_nonempty(empty, "permits").collect()
+    with pytest.raises(Exception, match="permits: zero rows"):
+        assert_nonempty(spark.range(3).limit(0), "permits").filter("id = 1").count()
     assert assert_nonempty(spark.range(3), "permits").count() == 3
+    assert assert_nonempty(spark.range(3), "permits").filter("id = 1").count() == 1
     check = RowCountCheck(empty, "permits")
     check.df.collect()
     with pytest.raises(ValueError, match="zero rows"):
@@ -344,3 +347,31 @@ def test_ingest_stream_in_two_runs(spark):
     assert spark.read.parquet(f"{table}/rejected").count() == 1
     ingest.compact(spark, table, f"{table}/base")
     assert spark.read.parquet(f"{table}/base").count() == 2
+
+
+def test_snapshot_batches_stand_side_by_side(spark):
+    path = scratch_path(spark, "snapshots")
+    at = datetime(2026, 7, 1, 9)
+    one = spark.createDataFrame([(1, "A", at), (2, "B", at)], "jurisdiction_id int, record_number string, observed_at timestamp")
+    two = spark.createDataFrame([(1, "C", at)], one.schema)
+    for df, batch in ((one, "b1"), (two, "b2"), (one, "b1")):
+        history.write_snapshot(df, path, batch)
+    assert tuples(spark.read.parquet(path), "record_number", "batch") == [("A", "b1"), ("B", "b1"), ("C", "b2")]
+
+
+def test_harvest_keeps_commercial_and_refuses_nothing(spark):
+    from lintel.plans.jobs import harvest
+
+    at = datetime(2026, 7, 1, 9)
+    schema = ("jurisdiction_id string, record_number string, record_type string, description string, status string, "
+              "applied_date string, observed_at timestamp")
+    rules = [FieldRule("jurisdiction_id", "int", True), FieldRule("applied_date", "date", True)]
+    path = scratch_path(spark, "harvest")
+    landed = spark.createDataFrame([("1", "A", "New Construction", "shop", "Open", "2026-06-30", at),
+                                    ("1", "B", "Roofing", "roof", "Open", "2026-06-30", at),
+                                    ("1", "C", "Alteration", "x", "Open", "someday", at)], schema)
+    rejects = harvest(landed, path, "b1", rules)
+    assert tuples(rejects, "record_number", "reject_reasons") == [("C", ["applied_date:not_date"])]
+    assert tuples(spark.read.parquet(path), "record_number") == [("A",)]
+    with pytest.raises(Exception, match="orange: zero rows"):
+        harvest(landed.limit(0), path, "b2", rules, label="orange")
