@@ -12,12 +12,17 @@ distinct words joined by single blanks) and a floor of 85, so that at most
 * Letters.  With a blank at both ends the multiset of two-letter pieces does not
   depend on word order.  A deletion removes at most two pieces of x and an
   insertion one, so both names keep at least 1 + 0.478 * |x| pieces in common.
-  Order pieces from rare to frequent; then the first (pieces - common + 2) of
-  either name share at least two, and any two of them make a signature.
+  Order pieces from rare to frequent; then the first (pieces - common + 3) of
+  either name share at least three, and any three of them make a signature.
+  (Names too short to have three common pieces allow no edit at all.)  The
+  lengths may differ by no more than the edits, which drops pairs at the join.
 * Shared words.  Shared words of length i against x with a leftover of length a
   reach the floor only if i >= (0.85 / 0.30) * (1 + a).  Take words of x from
-  rare to frequent until the rest alone is too short for that; one of the taken
-  words must be shared, so x looks for them among all words of the others.
+  rare to frequent until what is left, even with the longest taken word, is too
+  short for that; then two of the taken words must be shared, and x looks for
+  each two of them among all word pairs of the others.  Where one word alone is
+  long enough, x looks for single words instead, taken until the rest is too
+  short.
 """
 
 from __future__ import annotations
@@ -64,22 +69,52 @@ def _piece_signatures(names: DataFrame) -> DataFrame:
     ranked = _ranked(_with_pieces(names), "pieces")
     total = F.size("pieces")
     common = F.ceil(F.lit(1.0) + F.lit(_PIECE_SHARE) * (total - 1)).cast("int")
-    first = F.slice("pieces", F.lit(1), F.least(total, total - common + 2))
-    paired = F.flatten(F.transform(first, lambda p, i: F.transform(
-        F.slice(first, i + 2, F.size(first)), lambda q: F.concat_ws("|", p, q))))
-    return ranked.select("name", F.explode(paired).alias("sign"))
+    picked = ranked.select("name", (total - 1).alias("letters"), F.slice("pieces", F.lit(1), F.least(total, total - common + 3)).alias("first"))
+    rest = F.size("first")
+    threes = F.flatten(F.transform("first", lambda p, i: F.flatten(F.transform(
+        F.slice("first", i + 2, rest), lambda q, j: F.transform(
+            F.slice("first", i + j + 3, rest), lambda r: F.xxhash64(p, q, r))))))
+    return picked.select("name", "letters", F.explode(threes).alias("sign"))
+
+
+def _two_of(words: str) -> Column:
+    """Every two of the words as one value, whatever their order."""
+    return F.flatten(F.transform(words, lambda p, i: F.transform(
+        F.slice(words, i + 2, F.size(words)), lambda q: F.xxhash64(F.least(p, q), F.greatest(p, q)))))
 
 
 def _probe_words(names: DataFrame) -> DataFrame:
-    ranked = _ranked(names, "words")
-    whole = F.length(F.array_join("words", " "))
+    ranked = _ranked(names, "words").withColumn("whole", F.length(F.array_join("words", " ")))
+
+    def taken(i):
+        return F.slice("words", F.lit(1), i + 1)
+
+    def length(i):
+        return F.length(F.array_join(taken(i), " "))
+
+    def longest(i):
+        return F.array_max(F.transform(taken(i), lambda w: F.length(w)))
+
+    def two_needed(_, i):
+        short = F.col("whole") - length(i) + longest(i)
+        return (i >= 1) & (short.cast("double") < F.lit(_WORD_FACTOR) * (length(i) - longest(i)))
+
+    def one_needed(_, i):
+        return (F.col("whole") - length(i) - 1).cast("double") < F.lit(_WORD_FACTOR) * (length(i) + 1)
+
+    sized = ranked.select(
+        "name", "words",
+        F.array_position(F.transform("words", two_needed), True).cast("int").alias("two"),
+        F.array_position(F.transform("words", one_needed), True).cast("int").alias("one"))
+    probes = sized.select("name", "two", F.slice("words", F.lit(1), F.when(F.col("two") > 0, F.col("two"))
+                                                 .otherwise(F.col("one"))).alias("probe"))
+    signs = F.when(F.col("two") > 0, _two_of("probe")).otherwise(F.transform("probe", lambda w: F.xxhash64(w)))
+    return probes.select("name", F.explode(signs).alias("sign"))
 
-    def enough(_, i):
-        taken = F.length(F.array_join(F.slice("words", F.lit(1), i + 1), " "))
-        return (whole - taken - 1).cast("double") < F.lit(_WORD_FACTOR) * (taken + 1)
 
-    take = F.array_position(F.transform("words", enough), True).cast("int")
-    return ranked.select("name", F.explode(F.slice("words", F.lit(1), take)).alias("word"))
+def _index_words(names: DataFrame) -> DataFrame:
+    return names.select("name", F.explode(F.concat(
+        F.transform("words", lambda w: F.xxhash64(w)), _two_of("words"))).alias("sign"))
 
 
 def _directed(pairs: DataFrame) -> DataFrame:
@@ -115,10 +150,12 @@ def block_pairs(contacts: DataFrame, small_block: int = SMALL_BLOCK) -> DataFram
 
     names = large.select("name").distinct().withColumn("words", _words(F.col("name")))
     signed = large.join(_piece_signatures(names), "name")
-    by_piece = _meet(signed, signed, [*block, "sign"]).filter("a < b")
+    by_piece = (_meet(signed, signed.withColumnRenamed("letters", "letters_b"), [*block, "sign"])
+                .filter("a < b").filter(F.abs(F.col("letters") - F.col("letters_b"))
+                                        <= F.lit(_LOSS) * (F.col("letters") + F.col("letters_b"))))
     probes = large.join(_probe_words(names), "name")
-    index = large.join(names.select("name", F.explode("words").alias("word")), "name")
-    by_word = _meet(probes, index, [*block, "word"])
+    index = large.join(_index_words(names), "name")
+    by_word = _meet(probes, index, [*block, "sign"])
 
     return _merged(_directed(direct).unionByName(_directed(by_piece)).unionByName(_directed(by_word)))
 
