@@ -47,7 +47,7 @@ def read_permit_features(t):
     return validate(landed, _RULES)[0].select("record_number", "status", "applied_date", "valuation")
 
 
-_BULK = """case when company_id % 40 = 7 then concat(license_number, ',', license_type) else
+_BULK = """case when status = 'Inactive' then concat(license_number, ',', license_type) else
   concat_ws(',', license_number, license_type, status, holder_name, state) end"""
 
 
@@ -60,13 +60,13 @@ def _bulk(t):
 
 @query("read_license_bulk", """
 select cast(license_number as int) as license_number, license_type, status, holder_name, state from b_license
-where company_id % 40 <> 7""")
+where status <> 'Inactive'""")
 def read_license_bulk(t):
     return _bulk(t)[0].drop("raw_payload")
 
 
 @query("license_bulk_rejects", """
-select concat(license_number, ',', license_type) as malformed_line from b_license where company_id % 40 = 7""")
+select concat(license_number, ',', license_type) as malformed_line from b_license where status = 'Inactive'""")
 def license_bulk_rejects(t):
     return _bulk(t)[1]
 

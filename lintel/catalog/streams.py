@@ -14,10 +14,10 @@ _CYCLE = "jurisdiction_id, record_number, cycle_number"
 
 
 @query("permit_ingest_stream", """
-select jurisdiction_id, record_number, status, applied_date from b_permit where record_number % 89 <> 0""")
+select jurisdiction_id, record_number, status, applied_date from b_permit where square_footage >= 2000""")
 def permit_ingest_stream(t):
     landing, table = scratch_path(t.spark, "landing"), scratch_path(t.spark, "snapshots")
-    applied = F.when(F.col("record_number") % 89 == 0, F.lit("13/45/2001")).otherwise(
+    applied = F.when(F.col("square_footage") < 2000, F.lit("13/45/2001")).otherwise(
         F.date_format("applied_date", "yyyy-MM-dd"))
     t.b_permit.select("jurisdiction_id", "record_number", "status", applied.alias("applied_date")).write.json(landing)
     rules = [FieldRule("jurisdiction_id", "int", True), FieldRule("record_number", "bigint", True),
