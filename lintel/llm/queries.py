@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lintel.llm import license_scan, mixing
+from lintel.llm import bpe, license_scan, mixing, toxicity
 
 QUERIES = {
     "op4_license_scan": license_scan.op4_license_scan,
+    "op7_bpe": bpe.op7_bpe,
     "op8_mixing": mixing.op8_mixing,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLES = {
     "op4_license_scan": license_scan.ORACLE,
