@@ -16,6 +16,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Words whose ids a task remembers at least, twice as many at most.  Affects speed only.
@@ -158,7 +159,7 @@ class TrieBpe:
 def _chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces whose column has about ``size`` bytes, one row at least."""
     for batch in batches:
-        widths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        widths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(widths)
         start = 0
         while start < batch.num_rows:

@@ -18,18 +18,25 @@ from pyspark.sql import functions as F
 
 from lintel.llm.bpe import _chunks
 from lintel.llm.common import table
+from lintel.session import stored
 
 #: The model is fitted on about so many labelled documents at most, drawn by a hash of their text.
 FIT_ROWS = 12_000
 #: Entries of the lexicon, those of most evidence first: the size of the model.
 LEXICON = 1_500
 #: Standard deviations by which an entry's toxic documents must exceed what chance gives.
-MIN_Z = 5.0
+MIN_Z = 4.0
 MIN_LOG_ODDS = 1.5
+#: Evidence for one entry counts so much at most.
+MAX_LOG_ODDS = 4.0
+#: An entry must follow so many different words: words of one much-copied document do not.
+MIN_CONTEXTS, CONTEXT_SHARE, MANY_CONTEXTS = 3, 0.2, 20
+#: An entry must stand in so much of the toxic documents of the fit.
+MIN_SHARE = 0.01
 STEMS = (4, 5, 6)
 #: Shorter entries must be met letter by letter.
 FUZZY_WORD, FUZZY_STEM = 5, 6
-MISSPELLED = 0.8
+MISSPELLED = 0.95
 THRESHOLD = 0.7
 #: Words of context before a hit.
 WINDOW = 6
@@ -134,12 +141,12 @@ class Reader:
         return found
 
     def features(self, text: str) -> tuple[float, float, float, float]:
-        """Weight of all hits in context, the same per 100 words, the heaviest hit, the quoted share."""
+        """Weight of all hits in context, the same per 100 words, how many different hits, the quoted share."""
         tokens = text.lower().split()
         weights = self.weights(tokens)
         if not weights:
             return 0.0, 0.0, 0.0, 0.0
-        total = heaviest = quoted = 0.0
+        total = quoted = 0.0
         hits = 0
         for i, token in enumerate(tokens):
             weight = weights.get(token)
@@ -156,8 +163,7 @@ class Reader:
                 weight *= ADDRESSED
             hits += 1
             total += weight
-            heaviest = max(heaviest, weight)
-        return math.log1p(total), math.log1p(100 * total / len(tokens)), heaviest, quoted / hits
+        return math.log1p(total), math.log1p(100 * total / len(tokens)), math.log1p(len(weights)), quoted / hits
 
 
 def held_out(parts: int, rest: int):
@@ -181,26 +187,66 @@ def fit_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
 
 def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> Lexicon:
     """The ``size`` entries with most evidence among those far more frequent in toxic documents."""
-    token = lambda w: F.regexp_replace(w, EDGES, "")
-    words = F.array_distinct(F.transform(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), token))
-    words = F.filter(words, lambda w: F.length(w) >= 3)
-    stem = lambda w: F.array(F.concat(w, F.lit("$")), *(
-        F.when(F.length(w) >= n, F.substring(w, 1, n)) for n in STEMS))
-    entries = F.array_distinct(F.flatten(F.transform("words", stem)))
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
     n, bad = totals.n, totals.bad
     if not bad or bad == n:
         return Lexicon({}, {})
     share = F.lit(bad / n)
     expected = (F.col("t") + F.col("f")) * share
-    best = (rows.select("toxic", words.alias("words")).select("toxic", F.explode(entries).alias("entry"))
-            .filter("entry is not null")
-            .groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("f"))
+    best = (rows.mapInArrow(_entry_counts, "entry string, t long, f long")
+            .groupBy("entry").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
+            .filter(F.col("t") >= max(2, MIN_SHARE * bad))
             .withColumn("z", (F.col("t") - expected) / F.sqrt(expected))
             .withColumn("odds", F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("f") + 0.5) / (n - bad + 1)))
             .filter((F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_LOG_ODDS))
             .orderBy(F.desc(F.col("odds") * F.col("t")), "entry").limit(size).collect())
-    return Lexicon(*concise({r.entry: (r.odds, r.t) for r in best}))
+    entries = {r.entry for r in best}
+    contexts = {r.entry: r.n for r in (
+        rows.filter("toxic = 1").mapInArrow(_contexts(entries), "entry string, before string")
+        .distinct().groupBy("entry").agg(F.count(F.lit(1)).alias("n")).collect())}  # ``size`` rows at most
+    needed = lambda t: max(MIN_CONTEXTS, min(CONTEXT_SHARE * t, MANY_CONTEXTS))
+    return Lexicon(*concise({r.entry: (min(r.odds, MAX_LOG_ODDS), r.t) for r in best
+                             if contexts.get(r.entry, 0) >= needed(r.t)}))
+
+
+def _contexts(entries: set[str]):
+    """``(entry, before)``: the words that stand before the entries' words, once per chunk."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        strip = regex.compile(EDGES).sub
+        for batch in _chunks(batches, "text"):
+            found = set()
+            for text in batch.column("text").to_pylist():
+                before = ""
+                for token in text.lower().split():
+                    word = token if token.isalpha() else strip("", token)
+                    for entry in (word + "$", *(word[:n] for n in STEMS)):
+                        if entry in entries:
+                            found.add((entry, before))
+                    before = word
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)],
+                                             names=["entry", "before"])
+
+    return read
+
+
+def _entry_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(entry, t, f)``: toxic and other documents with each word (marked ``$``) or stem, summed per chunk."""
+    import regex
+
+    strip = regex.compile(EDGES).sub
+    for batch in _chunks(batches, "text"):
+        counts: dict[str, list[int]] = {}
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            words = {w if w.isalpha() else strip("", w) for w in text.lower().split()}
+            entries = {w[:n] for n in STEMS for w in words if len(w) >= n}
+            entries.update(w + "$" for w in words if len(w) > 2)
+            for entry in entries:
+                counts.setdefault(entry, [0, 0])[1 - toxic] += 1
+        tf = np.array(list(counts.values()), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *map(pa.array, tf.T.copy())],
+                                         names=["entry", "t", "f"])
 
 
 def concise(found: dict[str, tuple[float, int]]) -> tuple[dict[str, float], dict[str, float]]:
@@ -218,7 +264,7 @@ def concise(found: dict[str, tuple[float, int]]) -> tuple[dict[str, float], dict
     return words, stems
 
 
-def fit_logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
+def fit_logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Weights of a ridge logistic regression by Newton steps, the constant last."""
     x = np.column_stack([features, np.ones(len(features))])
     w = np.zeros(x.shape[1])
@@ -253,7 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, size: int = LE
 
     Without a label of either kind the model is a constant: the smoothed share of toxic labels.
     """
-    sample = fit_rows(docs, labels, rows)
+    sample = stored(fit_rows(docs, labels, rows), "labelled")
     lexicon = learn_lexicon(sample, size)
     found = _featured(sample, lexicon).toPandas()  # at most about ``rows`` rows of five numbers
     y = found["toxic"].to_numpy(float)
