@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from lintel.llm import bpe, license_scan, mixing, toxicity
+from lintel.llm import ann, bpe, license_scan, mixing, simhash, toxicity, vafile
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
+    "op3_ann": ann.op3_ann,
     "op4_license_scan": license_scan.op4_license_scan,
+    "op6_topk": vafile.op6_topk,
     "op7_bpe": bpe.op7_bpe,
     "op8_mixing": mixing.op8_mixing,
     "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLES = {
     "op4_license_scan": license_scan.ORACLE,
+    "op6_topk": vafile.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
