@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from lintel.llm import ann, bpe, license_scan, mixing, simhash, toxicity, vafile
+from lintel.llm import anchors, ann, bpe, katz, license_scan, mixing, simhash, suffixes, toxicity, vafile
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_substring_dedup": anchors.op2_substring_dedup,
     "op3_ann": ann.op3_ann,
     "op4_license_scan": license_scan.op4_license_scan,
+    "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_topk": vafile.op6_topk,
     "op7_bpe": bpe.op7_bpe,
     "op8_mixing": mixing.op8_mixing,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_katz": katz.op10_katz,
 }
 ORACLES = {
     "op4_license_scan": license_scan.ORACLE,
