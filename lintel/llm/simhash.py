@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.llm.bpe import _chunks
-from lintel.llm.common import table, union
+from lintel.llm.common import NO_ID, table, union
 from lintel.plans.components import connected_components
 from lintel.session import stored
 
@@ -67,14 +67,15 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)``: the fingerprint as a signed long.  A null text counts as empty."""
+    """``(doc_id, text_hash, fp)``: the fingerprint as a signed long.  A null text counts as empty."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches, "text"):
             found = [signed(simhash((t or "").encode(), shingle)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())],
-                                             names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found, pa.int64())],
+                                             names=["doc_id", "text_hash", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        read, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
 
 
 def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -136,13 +137,8 @@ def links(prints: DataFrame, radius: int = RADIUS, list_size: int = LIST) -> Dat
     return union(found).distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, list_size: int = LIST) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, fp, component_id``.
-
-    Components are those of all links; the id is the smallest doc_id in it, null only if every
-    doc_id in it is null.  Repeated rows are rows of their own.  Texts without words have fingerprint
-    0 and link like any other.
-    """
+def components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, list_size: int = LIST) -> DataFrame:
+    """``(doc_id, text_hash, fp, root, component_id)`` per row; ``root`` names a component by a fingerprint."""
     found = stored(fingerprints(docs, shingle), "fingerprints")
     prints = stored(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     edges = stored(links(prints, radius, list_size), "links")
@@ -150,20 +146,30 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     roots = stored(prints.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
                    .select("fp", "first", F.coalesce("component", "fp").alias("root")), "roots")
     ids = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    return found.join(roots.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return (found.join(roots.join(ids, "root").select("fp", "root", "component_id"), "fp")
+            .select("doc_id", "text_hash", "fp", "root", "component_id"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, list_size: int = LIST) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, fp, component_id``.
+
+    Components are those of all links; the id is the smallest doc_id in it, null only if every
+    doc_id in it is null.  Repeated rows are rows of their own.  Texts without words have fingerprint
+    0 and link like any other.
+    """
+    return components(docs, radius, shingle, list_size).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without near-duplicates: of each component the one with the smallest doc_id.
+    """Of each component the row with the smallest doc_id (nulls last), all columns as they were.
 
-    Of repeated rows with that doc_id one stays; a component of null doc_ids keeps one row.  All
-    columns stay as they were.
+    Of repeated rows one stays.
     """
-    named = near_duplicates(docs)
-    keep = (named.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own"))
-            .agg(F.min("doc_id").alias("__keep")).select("__keep"))
-    rows = docs.join(keep.distinct(), F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
-    return rows.dropDuplicates(["doc_id"]) if "doc_id" in rows.columns else rows
+    last = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
+    keep = (components(docs).groupBy("root").agg(F.min(F.struct(last.alias("o"), "text_hash")).alias("k"))
+            .select(F.col("k.o").alias("__o"), F.col("k.text_hash").alias("__text")))
+    rows = docs.withColumns({"__o": last, "__text": F.xxhash64("text")})
+    return rows.join(keep, ["__o", "__text"], "left_semi").dropDuplicates(["__o", "__text"]).select(*docs.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
