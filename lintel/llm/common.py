@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,14 @@ NO_ID = (1 << 63) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables.
+
+    Tasks import this package.  A local session is told where it lies; on a cluster it is installed
+    or sent with ``--py-files``, like any other.
+    """
+    context = spark.sparkContext
+    if re.match(r"local(\[[^-]*\])?$", context.master):
+        context.addFile(str(Path(__file__).resolve().parent.parent), recursive=True)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lintel.llm.common import ascii_lower, whole_text
+from lintel.llm.common import ascii_lower, table, whole_text
 
 K = 3
 #: Diagonals at most so many words apart belong to one span.
@@ -133,7 +133,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int =
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
-    return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return license_scan(table(spark, sf_dir, "documents"))
 
 
 def _oracle() -> str:
