@@ -320,30 +320,31 @@ def repeated(packed: DataFrame, length: int, gram: int, homes: int) -> DataFrame
 
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET,
                           cut_text: bool = False) -> DataFrame:
-    """All columns of ``docs``, each row with ``__n_bytes, __n_removed, __spans, __kept``.
+    """All columns of ``docs``, each row with ``n_bytes, n_removed, spans, kept``.
 
     A byte of the UTF-8 text goes if ``length`` bytes that cover it also start in a document with a
     smaller doc_id; all strings are judged on the texts as given and lie within one document.
-    ``__spans`` are the removed stretches as byte ranges, ``__kept`` the other bytes.  A null text
+    ``spans`` are the removed stretches as byte ranges, ``kept`` the other bytes; columns of ``docs``
+    with these names are replaced.  A null text
     has no bytes; a null doc_id comes after all others; rows with equal doc_id do not remove each
-    other's bytes, repeated rows get equal results.  With ``cut_text`` the column ``text`` holds what
-    is left, without characters that a cut broke, and ``__kept`` is null.
+    other's bytes, repeated rows get equal results.  With ``cut_text`` the columns are those of ``docs``
+    alone, and ``text`` holds what is left, without characters that a cut broke.
     """
     spark = docs.sparkSession
     buckets = buckets_for(spark, text_bytes(docs), bucket_bytes)
-    own = keyed(docs)
-    texts = own.withColumn("home", home_column(buckets))
+    kinds = {} if cut_text else {"n_bytes": pa.int64(), "n_removed": pa.int64(), "spans": pa.list_(pa.int64()), "kept": pa.binary()}
+    given = [c for c in docs.columns if c not in kinds]
+    # The other columns travel as one, so their names cannot meet those used here.
+    own = keyed(docs.select("doc_id", "text", F.struct(F.lit(1).alias("_"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(given) if c != "text")).alias("rest")))
+    texts = own.withColumn("home", home_column(buckets)).select("home", "__o", "__tag", "text", "rest")
     hits = meet(ship(own, anchor_occurrences(length, gram), buckets), buckets)
-    around = contexts(texts.select("home", "__o", "__tag", *docs.columns), hits, length, gram, FINER * buckets)
-    found = repeated(around, length, gram, buckets)
-    kinds = {"__n_bytes": pa.int64(), "__n_removed": pa.int64(), "__spans": pa.list_(pa.int64()), "__kept": pa.binary()}
-    names = docs.columns
+    found = repeated(contexts(texts, hits, length, gram, FINER * buckets), length, gram, buckets)
 
     def cut(key, own, hit):
         o, tag, pos, count = unpack(hit, np.uint8) if hit.num_rows else (np.zeros(0, np.int64),) * 4
         order = np.argsort(o, kind="stable")
         o, tag, pos, count = o[order], tag[order], pos[order], count[order]
-        out: dict[str, list] = {c: [] for c in kinds}
+        out: list[tuple] = []
         for own_o, own_tag, text in zip(own["__o"].to_pylist(), own["__tag"].to_pylist(), own["text"]):
             raw = text.as_py().encode()
             a = np.frombuffer(raw, np.uint8)
@@ -354,19 +355,15 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
             np.add.at(marks, pos[lo:hi][mine] + count[lo:hi][mine].astype(np.int64) + (length - 1), -1)
             gone = np.cumsum(marks[:-1]) > 0
             edges = np.flatnonzero(np.diff(gone, prepend=False, append=False))
-            out["__n_bytes"].append(len(a))
-            out["__n_removed"].append(int(gone.sum()))
-            out["__spans"].append(edges.tolist())
-            out["__kept"].append(a[~gone].tobytes() if len(edges) else raw)
-        given = {c: own[c] for c in names}
-        if cut_text:
-            given["text"] = pa.array([k.decode("utf-8", "ignore") for k in out["__kept"]], pa.string())
-            out["__kept"] = [None] * len(out["__kept"])
-        return pa.table({**given, **{c: pa.array(v, kinds[c]) for c, v in out.items()}})
+            out.append((len(a), int(gone.sum()), edges.tolist(), a[~gone].tobytes() if len(edges) else raw))
+        text = pa.array([x[3].decode("utf-8", "ignore") for x in out], pa.string()) if cut_text else own["text"]
+        rest = own["rest"].combine_chunks()
+        return pa.table({**{c: text if c == "text" else rest.field(f"c{i}") for i, c in enumerate(given)},
+                         **{c: pa.array([x[i] for x in out], kind) for i, (c, kind) in enumerate(kinds.items())}})
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return (texts.groupBy("home").cogroup(found.groupBy("home"))
-            .applyInArrow(cut, f"{fields}, __n_bytes long, __n_removed long, __spans array<long>, __kept binary"))
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in given)
+    more = "" if cut_text else ", n_bytes long, n_removed long, spans array<long>, kept binary"
+    return texts.groupBy("home").cogroup(found.groupBy("home")).applyInArrow(cut, fields + more)
 
 
 def dedup_text(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -380,5 +377,5 @@ def dedup_text(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeated_bytes(docs).select(
-        "doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"),
-        (F.size("__spans") / 2).cast("long").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
+        "doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
