@@ -130,7 +130,8 @@ VIEWS: dict[str, str] = {
     "b_page_text": """
         select doc_id as document_id, doc_id % 15000 as record_number, SHA(text) as sha256,
           case when doc_id % 3 = 0 then concat(text, ' FL PE ', cast(10000 + doc_id % 700 as varchar(20)),
-                 ' CA # ', cast(2000 + doc_id % 50 as varchar(20)))
+                 ' CA # ', cast(2000 + doc_id % 50 as varchar(20)), ' and sheet 2 ', doc_id,
+                 ' FL PE ', cast(10000 + doc_id % 700 as varchar(20)), ' CA # ', cast(2000 + doc_id % 50 as varchar(20)))
                when doc_id % 3 = 1 then concat(text, ' PIPE 4000 PE# 1234567 License No. ',
                  cast(20000 + doc_id % 90 as varchar(20)))
                else text end as page_text

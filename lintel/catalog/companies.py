@@ -190,15 +190,10 @@ select company_id,
      group by raw_name order by count(*) desc, raw_name limit 1) as canonical_name,
   (select phone_key from clustered c where c.company_id = x.company_id and phone_key is not null
      group by phone_key order by count(*) desc, phone_key limit 1) as phone,
-  count(distinct raw_name) as n_aliases, count(distinct license_key) as n_licenses,
-  string_agg(distinct raw_name, '; ' order by raw_name) as aliases,
-  coalesce(string_agg(distinct license_key, '; ' order by license_key), '') as license_numbers
+  count(distinct raw_name) as n_aliases, count(distinct license_key) as n_licenses
 from clustered x group by company_id""")
 def build_company(t):
-    return (resolve.build_company(_exact(t))
-            .select("company_id", "canonical_name", "phone", "n_aliases", "n_licenses",
-                    F.array_join("aliases", "; ").alias("aliases"),
-                    F.array_join("license_numbers", "; ").alias("license_numbers")))
+    return resolve.build_company(_exact(t)).select("company_id", "canonical_name", "phone", "n_aliases", "n_licenses")
 
 
 @query("company_values", f"""
@@ -214,16 +209,22 @@ def company_values(t):
 
 _LINKED = f"""
 with recursive {_EXACT},
-by_license as (select license_key, min(company_id) as id from clustered where license_key is not null group by all),
+by_license as (select LICENSE_COLUMNS, min(company_id) as id from clustered where license_key is not null
+  group by all having count(distinct company_id) = 1),
 by_name as (select normalized_key, min(company_id) as id from clustered where normalized_key is not null group by all)
 select COLUMNS_WANTED, coalesce(l.id, n.id) as company_id,
   case when l.id is not null then 'license' when n.id is not null then 'name' end as link_basis
 from (select *, {_LICENSE} as lk, {_KEY} as nk from ROWS_WANTED) p
-left join by_license l on l.license_key = p.lk left join by_name n on n.normalized_key = p.nk"""
+left join by_license l on LICENSE_RULE left join by_name n on n.normalized_key = p.nk"""
 
 
-def _linked(columns, rows):
-    return _LINKED.replace("COLUMNS_WANTED", columns).replace("ROWS_WANTED", rows)
+def _linked(columns, rows, by_type=False):
+    """Numbers of one board for people; for parties numbers that one company alone holds."""
+    keys, rule = "license_key", "l.license_key = p.lk"
+    if by_type:
+        keys, rule = "license_type, license_key", f"{rule} and l.license_type = p.license_type"
+    return (_LINKED.replace("COLUMNS_WANTED", columns).replace("ROWS_WANTED", rows)
+            .replace("LICENSE_COLUMNS", keys).replace("LICENSE_RULE", rule))
 
 
 @query("link_parties", _linked("record_number, role, raw_name, p.license_number", "b_party_raw"))
@@ -232,15 +233,14 @@ def link_parties(t):
             .select("record_number", "role", "raw_name", "license_number", "company_id", "link_basis"))
 
 
-_PEOPLE = "(select license_number, holder_name as raw_name, license_type as person_type from b_license)"
+_PEOPLE = "(select license_number, holder_name as raw_name, license_type from b_license)"
 
 
-@query("link_person", _linked("raw_name, p.license_number, person_type", _PEOPLE))
+@query("link_person", _linked("raw_name, p.license_number, p.license_type", _PEOPLE, by_type=True))
 def link_person(t):
-    people = t.b_license.select("license_number", F.col("holder_name").alias("raw_name"),
-                                F.col("license_type").alias("person_type"))
+    people = t.b_license.select("license_number", F.col("holder_name").alias("raw_name"), "license_type")
     return (resolve.link_person(people, _exact(t))
-            .select("raw_name", "license_number", "person_type", "company_id", "link_basis"))
+            .select("raw_name", "license_number", "license_type", "company_id", "link_basis"))
 
 
 @query("review_queue_append", f"""

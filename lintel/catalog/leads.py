@@ -15,6 +15,14 @@ from lintel.operators.filters import niche_match as with_niches
 from lintel.plans import jobs
 
 WEIGHTS = load_weights()
+
+
+def _coverage(t):
+    """How well each licence registry is covered."""
+    return t.b_license.groupBy("source").agg(
+        F.when(F.count(F.lit(1)) > 0, F.lit("fresh")).otherwise(F.lit("no rows")).alias("coverage"))
+
+
 _DAY = "date '2001-08-01'"
 _FIRE = "regexp_matches(department, '(?i)fire|life safety|fire marshal|FPB')"
 _ADVERSE = ("regexp_matches(status, '(?i)reject|denied|corrections|comments|revise|resubmit|disapprov"
@@ -80,7 +88,7 @@ scored_leads as (select *, cast({' + '.join(_P)} as decimal(9,4)) as score from
 
 
 def _listed(t):
-    return jobs.target_firms(t.b_company, t.b_license, t.b_party, t.b_permit, AS_OF)
+    return jobs.target_firms(t.b_company, t.b_license, t.b_party, t.b_permit, AS_OF, _coverage(t), ["board"])
 
 
 def _hot(t):
@@ -186,7 +194,7 @@ _LEAD_ORDER = "score desc, company_id, jurisdiction_id nulls first, record_numbe
 @query("top_leads", f"""with {_LEADS}
 select company_id, jurisdiction_id, record_number, score from scored_leads order by {_LEAD_ORDER} limit 100""")
 def top_leads(t):
-    return scoring.top_leads(leads(t)).select("company_id", "jurisdiction_id", "record_number", "score")
+    return scoring.top_leads(leads(t), k=100).select("company_id", "jurisdiction_id", "record_number", "score")
 
 
 @query("top_leads_by_jurisdiction", f"""with {_LEADS}
@@ -213,8 +221,7 @@ _HOT_LINES = f"""hot_lines as (
   select jurisdiction_id, record_number, cycle_number, signal_date,
     concat('- Permit ', record_number, ' (', description, '), cycle ', cycle_number, ', ', department, ': ', h.status,
       ' on ', strftime(signal_date, '%Y-%m-%d'), '. > "', comment_text, '" ', {_OPENING}) as line
-  from picked h left join b_permit using (jurisdiction_id, record_number)
-  order by signal_date desc, jurisdiction_id, record_number, cycle_number limit 200)"""
+  from picked h left join b_permit using (jurisdiction_id, record_number))"""
 
 
 @query("digest_hot", f"with {_ALL}, {_HOT_LINES} select * from hot_lines")
@@ -226,8 +233,7 @@ _NEW_LEADS = """new_leads as (
   select jurisdiction_id, record_number, company_id, score from (
     select *, row_number() over (partition by jurisdiction_id, record_number order by score desc, company_id) as rn
     from scored_leads where record_number is not null and score >= 40)
-  where rn = 1 and record_number not in (select record_number from b_permit where applied_date < date '1999-01-01')
-  order by score desc, company_id, jurisdiction_id, record_number limit 100)"""
+  where rn = 1 and record_number not in (select record_number from b_permit where applied_date < date '1999-01-01'))"""
 
 
 def _earlier(t):
@@ -261,13 +267,43 @@ union all select 1, cast(row_number() over (order by signal_date desc, jurisdict
   line from hot_lines
 union all select 2, cast(row_number() over (order by score desc, company_id, jurisdiction_id, record_number) as int),
   concat('- Permit ', record_number, ', company ', company_id, ': score ', score) from new_leads
-union all select 3, place, line from (
-  select cast(row_number() over (order by list, company_id) as int) as place,
-    concat('- Company ', company_id, ' now on list ', list) as line from new_targets) where place <= 100""")
+union all select 3, cast(row_number() over (order by list, company_id) as int),
+  concat('- Company ', company_id, ' now on list ', list) from new_targets""")
 def digest_lines(t):
     hot, listed = _hot(t), _listed(t)
-    return jobs.digest(AS_OF, hot, t.b_permit, leads(t, hot, listed), listed, _earlier(t),
-                       _earlier_targets(t), min_score=40)
+    lines, _, _ = jobs.digest(AS_OF, hot, t.b_permit, leads(t, hot, listed), listed, _earlier(t),
+                              _earlier_targets(t), min_score=40)
+    return lines
+
+
+@query("digest_second_run", f"""with {_LEADS}, {_HOT_LINES},
+best_lead as (select * from (
+    select *, row_number() over (partition by jurisdiction_id, record_number order by score desc, company_id) as rn
+    from scored_leads where record_number is not null and score >= 40) where rn = 1)
+select 'permit' as kind, cast(record_number as varchar) as item, company_id, cast(score as varchar) as detail
+from best_lead where jurisdiction_id % 2 = 1
+union all select 'target', list, company_id, null from listed where list is not null and company_id % 3 <> 0
+union all select 'hot lines', null, null, cast(count(*) as varchar) from hot_lines""")
+def digest_second_run(t):
+    """Day one sees even jurisdictions and every third firm; day two what is left, over day one's run rows."""
+    hot, listed = _hot(t), _listed(t)
+    scored = leads(t, hot, listed)
+    none = t.b_permit.limit(0).select(F.lit(AS_OF).alias("run_date"), "jurisdiction_id", "record_number")
+    no_firm = listed.limit(0).select(F.lit(AS_OF).alias("run_date"), "company_id", "list")
+    _, permits, firms = jobs.digest(AS_OF, hot, t.b_permit, scored.filter("jurisdiction_id % 2 = 0"),
+                                    listed.filter("company_id % 3 = 0"), none, no_firm, min_score=40)
+    lines, permits, firms = jobs.digest(AS_OF, hot, t.b_permit, scored, listed, permits, firms, min_score=40)
+    best = scored.groupBy("jurisdiction_id", "record_number").agg(
+        F.min(F.struct((-F.col("score")).alias("s"), "company_id")).alias("b"))
+    new = permits.join(best, ["jurisdiction_id", "record_number"])
+    text = F.lit(None).cast("string")
+    return (new.select(F.lit("permit").alias("kind"), F.col("record_number").cast("string").alias("item"), "b.company_id",
+                       (-F.col("b.s")).cast("string").alias("detail"))
+            .unionByName(firms.select(F.lit("target").alias("kind"), F.col("list").alias("item"), "company_id",
+                                      text.alias("detail")))
+            .unionByName(lines.filter("section = 1 and place > 0").agg(F.count(F.lit(1)).cast("string").alias("detail"))
+                         .select(F.lit("hot lines").alias("kind"), text.alias("item"),
+                                 F.lit(None).cast("bigint").alias("company_id"), "detail")))
 
 
 @query("company_dossier", f"""with {_LEADS}, dossier_edges as (

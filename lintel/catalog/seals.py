@@ -81,10 +81,13 @@ def best_rotation(t):
 _HITS = """select document_id, cast(ordinal as int) as ordinal, license_number, matched, raw_text from (
   select document_id, unnest(numbers) as license_number, unnest(matches) as matched,
     generate_subscripts(matches, 1) as ordinal,
-    unnest(list_transform(matches, lambda m: regexp_extract(page_text, concat('(?s).{{0,100}}?\\b\\Q', m, '\\E\\b.{{0,100}}'), 0)))
-      as raw_text
-  from (select document_id, page_text, regexp_extract_all(page_text, '{0}', 1) as numbers,
-          regexp_extract_all(page_text, '{0}', 0) as matches from b_page_text))"""
+    unnest(list_transform(range(1, len(matches) + 1), lambda i: substring(page_text, greatest(places[i] - 100, 1)::int,
+      (places[i] - greatest(places[i] - 100, 1) + length(matches[i]) + 100)::int))) as raw_text
+  from (select *, list_transform(range(1, len(matches) + 1), lambda i: 1 + list_sum(list_transform(pieces[1:i], lambda p: length(p)))
+            + coalesce(list_sum(list_transform(matches[1:i - 1], lambda m: length(m))), 0)) as places
+    from (select document_id, page_text, regexp_extract_all(page_text, '{0}', 1) as numbers,
+            regexp_extract_all(page_text, '{0}', 0) as matches, string_split_regex(page_text, '{0}') as pieces
+          from b_page_text)))"""
 _PE = r"(?i)\b(?:FL\s*PE|PE\s*#?|LICENSE\s*(?:NO\.?|#))\s*(\d{4,6})\b"
 _CA = r"(?i)\b(?:CA|C\.A\.|CERTIFICATE OF AUTHORIZATION)\s*#?\s*(\d{3,6})\b"
 
@@ -99,13 +102,9 @@ def extract_ca(t):
     return seals.extract_ca(t.b_page_text.select("document_id", "page_text"))
 
 
-@query("extract_pe_literal", """
-select license_number, count(*) as hits from (
-  select unnest(regexp_extract_all(page_text, '(?i)(?:FL\\s*PE|PE\\s*#?|LICENSE\\s*(?:NO\\.?|#))\\s*(\\d{4,6})', 1))
-    as license_number from b_page_text) group by license_number""")
+@query("extract_pe_literal", _HITS.format(r"(?i)(?:FL\s*PE|PE\s*#?|LICENSE\s*(?:NO\.?|#))\s*(\d{4,6})"))
 def extract_pe_literal(t):
-    return (seals.extract_pe(t.b_page_text.select("document_id", "page_text"), strict=False)
-            .groupBy("license_number").agg(F.count(F.lit(1)).alias("hits")))
+    return seals.extract_pe(t.b_page_text.select("document_id", "page_text"), strict=False)
 
 
 _BEST = """best as (
@@ -141,8 +140,9 @@ checked as (
     coalesce(engineer_name, holder_name) as engineer_name, discipline, state as engineer_state
   from best left join board l on l.license_number = best.license_number),
 dated as (
-  select checked.*, d.jurisdiction_id, d.record_number, downloaded_on as sealed_on, county
-  from checked join b_document d using (document_id) join b_jurisdiction using (jurisdiction_id) where validated)"""
+  select checked.*, d.jurisdiction_id, d.record_number, coalesce(p.issued_date, d.downloaded_on) as sealed_on, county
+  from checked join b_document d using (document_id) join b_jurisdiction using (jurisdiction_id)
+  left join b_permit p on p.jurisdiction_id = d.jurisdiction_id and p.record_number = d.record_number where validated)"""
 
 
 def checked(t):
@@ -151,8 +151,7 @@ def checked(t):
 
 
 def dated(t):
-    documents = t.b_document.withColumn("sealed_on", F.col("downloaded_on"))
-    return jobs.seal_index(t.b_seal_candidate, t.b_license, documents, t.b_jurisdiction)
+    return jobs.seal_index(t.b_seal_candidate, t.b_license, t.b_document, t.b_permit, t.b_jurisdiction)
 
 
 @query("validate_seal", f"""with {_DATED} select document_id, page_number, license_key, validated, name_disagrees,
@@ -165,7 +164,7 @@ def validate_seal(t):
 @query("top_engineers", f"""with {_DATED} select * from (
   select county, license_key, count(*) as seals,
     cast(rank() over (partition by county order by count(*) desc) as int) as place
-  from dated group by county, license_key) where place <= 20""")
+  from dated where lower(trim(discipline)) = 'fire protection' group by county, license_key) where place <= 20""")
 def top_engineers(t):
     return seals.top_engineers(dated(t), k=20)
 

@@ -31,13 +31,16 @@ def permit_ingest_stream(t):
 
 @query("hot_stream", f"""
 with {_MOVES}, {_REJECTED}
-select {_CYCLE}, reason, department, status, signal_date, comment_text from (
+select jurisdiction_id, cast(record_number as varchar) as record_number, cycle_number, reason, department, status,
+  signal_date, comment_text from (
   select *, row_number() over (partition by {_CYCLE} order by signal_date, department, comment_text, status) as rn
   from rejected) where rn = 1""")
 def hot_stream(t):
     landing, out = scratch_path(t.spark, "reviews"), scratch_path(t.spark, "alerts")
-    t.b_review.write.parquet(landing)
-    stream = t.spark.readStream.schema(t.b_review.schema).parquet(landing)
+    rows = t.b_review.withColumn("record_number", F.col("record_number").cast("string"))
+    rows.write.parquet(landing)
+    stream = t.spark.readStream.schema(rows.schema).parquet(landing)
+    hot.use_rocksdb(t.spark)
     (hot.hot_stream(stream).writeStream.format("parquet").option("path", out)
      .option("checkpointLocation", scratch_path(t.spark, "stream")).trigger(availableNow=True)
      .start().awaitTermination())

@@ -62,7 +62,7 @@ def permit_volume_12mo(parties: DataFrame, permits: DataFrame, as_of: date,
     day = F.col("applied_date")
     recent = (permits.filter((day > F.add_months(F.lit(as_of), -12)) & (day <= F.lit(as_of)))
               .filter(is_commercial(F.col("record_type"), F.col("description")))
-              .select(*PERMIT_KEY, *by))
+              .select(*PERMIT_KEY, *by).distinct())
     named = parties.dropna(subset=["company_id"]).select("company_id", *PERMIT_KEY).distinct()
     return (salted_lookup(named, recent, PERMIT_KEY, "inner", counted_on=parties)
             .groupBy("company_id", *by).agg(F.count(F.lit(1)).alias("permit_volume_12mo")))

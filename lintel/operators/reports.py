@@ -7,11 +7,10 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lintel.functions.names import normalize_company
 from lintel.functions.patterns import is_fire_department
-from lintel.operators.scoring import top_leads
+from lintel.plans.order import numbered
 from lintel.plans.skew import checked_broadcast, salted_lookup
 from lintel.schemas import PERMIT_KEY
 
@@ -27,10 +26,9 @@ def _opening(reason: Column) -> Column:
     return F.try_element_at(lines, reason)
 
 
-def digest_hot(hot: DataFrame, permits: DataFrame, k: int = 200) -> DataFrame:
-    """Newest HOT signals with the comment quoted and an opening line."""
-    newest = hot.orderBy(F.desc("signal_date"), *PERMIT_KEY, "cycle_number").limit(k)
-    about = newest.join(permits.select(*PERMIT_KEY, "description"), PERMIT_KEY, "left")
+def digest_hot(hot: DataFrame, permits: DataFrame) -> DataFrame:
+    """All HOT signals with the comment quoted and an opening line."""
+    about = salted_lookup(hot, permits.select(*PERMIT_KEY, "description"), PERMIT_KEY, "left")
     line = F.format_string(
         "- Permit %s (%s), cycle %d, %s: %s on %s. > \"%s\" %s",
         F.col("record_number").cast("string"), F.coalesce("description", F.lit("no description")),
@@ -40,14 +38,13 @@ def digest_hot(hot: DataFrame, permits: DataFrame, k: int = 200) -> DataFrame:
     return about.select(*PERMIT_KEY, "cycle_number", "signal_date", line.alias("line"))
 
 
-def digest_new_leads(leads: DataFrame, earlier: DataFrame, min_score: float, k: int = 100) -> DataFrame:
+def digest_new_leads(leads: DataFrame, earlier: DataFrame, min_score: float) -> DataFrame:
     """High-score permits that were not in an earlier digest, at their best lead."""
     best = (leads.filter((F.col("score") >= min_score) & F.col("record_number").isNotNull())
             .groupBy(*PERMIT_KEY)
             .agg(F.min(F.struct((-F.col("score")).alias("s"), "company_id")).alias("b"))
             .select(*PERMIT_KEY, "b.company_id", (-F.col("b.s")).alias("score")))
-    fresh = best.join(earlier.select(*PERMIT_KEY).distinct(), PERMIT_KEY, "left_anti")
-    return top_leads(fresh, k)
+    return best.join(earlier.select(*PERMIT_KEY).distinct(), PERMIT_KEY, "left_anti")
 
 
 def digest_new_targets(listed: DataFrame, earlier: DataFrame) -> DataFrame:
@@ -56,9 +53,8 @@ def digest_new_targets(listed: DataFrame, earlier: DataFrame) -> DataFrame:
         earlier.select("company_id", "list").distinct(), ["company_id", "list"], "left_anti")
 
 
-def digest_lines(run_date: date, hot: DataFrame, leads: DataFrame, targets: DataFrame,
-                 target_lines: int = 100) -> DataFrame:
-    """The digest as ordered lines; every section is a bounded list."""
+def digest_lines(run_date: date, hot: DataFrame, leads: DataFrame, targets: DataFrame) -> DataFrame:
+    """The digest as ordered lines; every section is whole."""
     spark = hot.sparkSession
     heads = spark.createDataFrame(
         [(0, 0, f"# Digest {run_date.isoformat()}"), (1, 0, "## HOT fire reviews"),
@@ -66,19 +62,18 @@ def digest_lines(run_date: date, hot: DataFrame, leads: DataFrame, targets: Data
         "section int, place int, line string")
 
     def ranked(rows, section, order, line):
-        place = F.row_number().over(Window.partitionBy(F.lit(section)).orderBy(*order))
-        return rows.select(F.lit(section).alias("section"), place.alias("place"), line.alias("line"))
+        return (numbered(rows, order).withColumn("line", line)
+                .select(F.lit(section).alias("section"), "place", "line"))
 
     lead_line = F.concat(F.lit("- Permit "), F.col("record_number").cast("string"), F.lit(", company "),
                          F.col("company_id").cast("string"), F.lit(": score "), F.col("score").cast("string"))
     target_line = F.concat(F.lit("- Company "), F.col("company_id").cast("string"), F.lit(" now on list "),
                            F.col("list"))
-    shown = targets.orderBy("list", "company_id").limit(target_lines)
     return (
         heads
-        .unionByName(ranked(hot, 1, [F.desc("signal_date"), *PERMIT_KEY, "cycle_number"], F.col("line")))
-        .unionByName(ranked(leads, 2, [F.desc("score"), "company_id", *PERMIT_KEY], lead_line))
-        .unionByName(ranked(shown, 3, ["list", "company_id"], target_line))
+        .unionByName(ranked(hot, 1, [F.desc("signal_date"), *map(F.col, PERMIT_KEY), F.col("cycle_number"), F.col("line")], F.col("line")))
+        .unionByName(ranked(leads, 2, [F.desc("score"), F.col("company_id"), *map(F.col, PERMIT_KEY)], lead_line))
+        .unionByName(ranked(targets, 3, [F.col("list"), F.col("company_id")], target_line))
     )
 
 

@@ -17,7 +17,6 @@ from lintel.session import stored
 # Score bands of the merge decision.
 MERGE_SCORE = 92.0
 REVIEW_SCORE = FLOOR
-LIST_LIMIT = 1_000
 
 
 def normalize_members(members: DataFrame) -> DataFrame:
@@ -78,7 +77,8 @@ def resolve_pairs(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split scored pairs into merges and the review queue.
 
     At or above the merge score a shared phone or address is needed; anything
-    from the review score up that may not merge goes to a person.
+    from the review score up that may not merge goes to a person.  Pairs from
+    ``candidate_pairs`` always share one; pairs brought by the caller may not.
     """
     backed = F.coalesce(F.col("shared_phone") | F.col("shared_address"), F.lit(False))
     decision = (F.when((F.col("score") >= MERGE_SCORE) & backed, F.lit("merge"))
@@ -130,11 +130,10 @@ def company_values(clustered: DataFrame) -> DataFrame:
             .groupBy("company_id", "kind", "value").agg(F.count(F.lit(1)).alias("seen")))
 
 
-def build_company(clustered: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """One row per company: most frequent name and contact, counts, and the lists.
+def build_company(clustered: DataFrame) -> DataFrame:
+    """One row per company: most frequent name and contact, and how many names and licences it has.
 
-    A list longer than ``list_limit`` is left null rather than gathered into
-    one row; its values are all in ``company_values``.
+    The names and licences themselves are rows of ``company_values``, however many there are.
     """
     values = company_values(clustered)
 
@@ -145,42 +144,44 @@ def build_company(clustered: DataFrame, list_limit: int = LIST_LIMIT) -> DataFra
     def many(kind):
         return F.count(F.when(F.col("kind") == kind, 1))
 
-    facts = values.groupBy("company_id").agg(
+    return values.groupBy("company_id").agg(
         top("alias").alias("canonical_name"), top("name_key").alias("normalized_key"),
         top("phone").alias("phone"), top("address").alias("address"),
         many("alias").alias("n_aliases"), many("license").alias("n_licenses"))
-    short = (values.filter(F.col("kind").isin("alias", "license"))
-             .join(facts.filter((F.col("n_aliases") <= list_limit) & (F.col("n_licenses") <= list_limit))
-                   .select("company_id"), "company_id", "left_semi"))
 
-    def listed(kind):
-        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value"))))
 
-    lists = short.groupBy("company_id").agg(listed("alias").alias("aliases"),
-                                            listed("license").alias("license_numbers"))
-    return facts.join(lists, "company_id", "left")
-
-
-def link_parties(parties: DataFrame, clustered: DataFrame) -> DataFrame:
-    """Fill a missing company by licence number, then by normalised name."""
-    by_license = (clustered.dropna(subset=["license_key"]).groupBy("license_key")
-                  .agg(F.min("company_id").alias("_by_license")))
+def _links(rows: DataFrame, by_license: DataFrame, keys: Sequence[str], clustered: DataFrame) -> DataFrame:
+    """Fill a missing company by licence, then by normalised name."""
     by_name = (clustered.dropna(subset=["normalized_key"]).groupBy("normalized_key")
                .agg(F.min("company_id").alias("_by_name")))
-    keyed = parties.withColumns({"license_key": N.license_key(F.col("license_number")),
-                                 "normalized_key": N.normalize_company(F.col("raw_name"))})
-    found = salted_lookup(keyed, by_license, ["license_key"], "left")
+    keyed = rows.withColumns({"license_key": N.license_key(F.col("license_number")),
+                              "normalized_key": N.normalize_company(F.col("raw_name"))})
+    found = salted_lookup(keyed, by_license, list(keys), "left")
     found = salted_lookup(found, by_name, ["normalized_key"], "left", counted_on=keyed)
-    known = [F.col("company_id")] if "company_id" in parties.columns else []
+    known = [F.col("company_id")] if "company_id" in rows.columns else []
     return (found.withColumn("link_basis", F.when(F.col("_by_license").isNotNull(), F.lit("license"))
                              .when(F.col("_by_name").isNotNull(), F.lit("name")))
             .withColumn("company_id", F.coalesce(*known, F.col("_by_license"), F.col("_by_name")))
             .drop("_by_license", "_by_name", "license_key", "normalized_key"))
 
 
+def link_parties(parties: DataFrame, clustered: DataFrame) -> DataFrame:
+    """Party to company by licence number, then by normalised name.
+
+    A party does not say which board its number is from, so a number links only if one company
+    alone holds it.
+    """
+    by_license = (clustered.dropna(subset=["license_key"]).groupBy("license_key")
+                  .agg(F.min("company_id").alias("_by_license"), F.max("company_id").alias("_other"))
+                  .filter("_by_license = _other").drop("_other"))
+    return _links(parties, by_license, ["license_key"], clustered)
+
+
 def link_person(people: DataFrame, clustered: DataFrame) -> DataFrame:
-    """Engineer to firm by licence number, then by the firm name on the licence."""
-    return link_parties(people, clustered)
+    """Engineer to firm by licence type and number, then by the firm name on the licence."""
+    by_license = (clustered.dropna(subset=["license_type", "license_key"]).groupBy("license_type", "license_key")
+                  .agg(F.min("company_id").alias("_by_license")))
+    return _links(people, by_license, ["license_type", "license_key"], clustered)
 
 
 def review_queue_append(queue: DataFrame, new: DataFrame) -> DataFrame:

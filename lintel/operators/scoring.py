@@ -152,7 +152,7 @@ def actionable(leads: DataFrame, as_of: date) -> DataFrame:
     return leads.filter(F.col("snoozed_until").isNull() | (F.col("snoozed_until") <= F.lit(as_of)))
 
 
-def top_leads(leads: DataFrame, k: int = 100, by: str | None = None) -> DataFrame:
+def top_leads(leads: DataFrame, k: int, by: str | None = None) -> DataFrame:
     """Highest scores of the run, or per group; ties by company and permit."""
     order = [F.desc("score"), F.asc("company_id"), *[F.asc_nulls_first(c) for c in PERMIT_KEY]]
     if by is None:

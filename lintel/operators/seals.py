@@ -20,6 +20,7 @@ LOWER_RIGHT_QUADRANT = (0.5, 0.5, 1.0, 1.0)
 OCR_CROP = (0.75, 0.70, 1.0, 1.0)
 CONFIDENCE = {"digital_signature": 0.98, "pdf_text": 0.85, "ocr": 0.60}
 CONTEXT = 200
+FIRE_PROTECTION = "fire protection"
 CLIENT_ROLES = ("applicant", "owner", "contractor", "architect", "agent")
 
 
@@ -58,32 +59,43 @@ def best_rotation(words: DataFrame) -> DataFrame:
             .select(*page, "b.rotation", (-F.col("b.m")).alias("ocr_confidence")))
 
 
-def context_of(text: Column, matched: Column, around: int = CONTEXT) -> Column:
-    """The first occurrence of a match with the text on both sides of it."""
+def context_of(text: Column, matched: Column, at: Column, around: int = CONTEXT) -> Column:
+    """A match that begins at ``at`` (from 1) with the text on both sides of it."""
     half = around // 2
-    quoted = F.concat(F.lit(r"\b\Q"), matched, F.lit(r"\E\b"))
-    at = F.regexp_instr(text, quoted)
     start = F.greatest(at - half, F.lit(1))
     return F.substring(text, start, at - start + F.length(matched) + half)
 
 
+def match_places(pieces: Column, matches: Column) -> Column:
+    """Where each match begins, from the pieces between the matches of the same pattern."""
+    lengths = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches,
+                         lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("own")))
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at"))
+    return F.aggregate(lengths, start, lambda done, x: F.struct(
+        (done["next"] + x["gap"] + x["own"]).alias("next"),
+        F.array_append(done["at"], done["next"] + x["gap"]).alias("at")), lambda done: done["at"])
+
+
 def extract_numbers(pages: DataFrame, pattern: str, strict: bool = True, text: str = "page_text") -> DataFrame:
     """Every licence number found in a page, in order, with its context.
 
     All spellings are one pattern, so a spelling inside another is not counted
-    twice.  Pages without a hit are dropped at their first scan; the outer
-    explode keeps the optimizer from scanning the text again to look for empty
-    lists.
+    twice.  Pages without a hit are dropped at their first scan.  One list of
+    matches and one of the pieces between them give every match its own place.
     """
     found = P.number_rule(pattern, strict)
     kept = [c for c in pages.columns if c != text]
-    hits = pages.filter(F.col(text).rlike(found)).select(
-        *kept, text, F.posexplode_outer(F.regexp_extract_all(F.col(text), F.lit(found), F.lit(0)))
-        .alias("_at", "matched"))
+    lists = pages.filter(F.col(text).rlike(found)).select(
+        *kept, text, F.regexp_extract_all(F.col(text), F.lit(found), F.lit(0)).alias("_matches"),
+        F.split(F.col(text), found).alias("_pieces"))
+    hits = lists.select(*kept, text, F.posexplode_outer(
+        F.arrays_zip(F.col("_matches").alias("matched"), match_places(F.col("_pieces"), F.col("_matches")).alias("at")))
+        .alias("_i", "_hit"))
+    matched, at = F.col("_hit").getField("matched"), F.col("_hit").getField("at")
     return hits.select(
-        *kept, (F.col("_at") + 1).alias("ordinal"),
-        F.regexp_extract("matched", r"(\d+)$", 1).alias("license_number"), "matched",
-        context_of(F.col(text), F.col("matched")).alias("raw_text"))
+        *kept, (F.col("_i") + 1).alias("ordinal"),
+        F.regexp_extract(matched, r"(\d+)$", 1).alias("license_number"), matched.alias("matched"),
+        context_of(F.col(text), matched, at).alias("raw_text"))
 
 
 def extract_pe(pages: DataFrame, strict: bool = True) -> DataFrame:
@@ -152,9 +164,21 @@ def with_permit(seals: DataFrame, documents: DataFrame,
                          ["document_id"], "inner", counted_on=counted_on)
 
 
-def top_engineers(dated: DataFrame, k: int = 20) -> DataFrame:
-    """Busiest sealing engineers per county; the rank filter prunes before the shuffle."""
-    counts = dated.groupBy("county", "license_key").agg(F.count(F.lit(1)).alias("seals"))
+def fire_protection(dated: DataFrame) -> DataFrame:
+    """Seals of engineers of the fire protection discipline."""
+    return dated.filter(F.lower(F.trim("discipline")) == FIRE_PROTECTION)
+
+
+def dated_documents(documents: DataFrame, permits: DataFrame) -> DataFrame:
+    """``documents`` with ``sealed_on``: the permit's issue date, else the day of the download."""
+    issued = permits.groupBy(*PERMIT_KEY).agg(F.max("issued_date").alias("_issued"))
+    return (documents.join(issued, PERMIT_KEY, "left")
+            .withColumn("sealed_on", F.coalesce("_issued", "downloaded_on")).drop("_issued"))
+
+
+def top_engineers(dated: DataFrame, k: int) -> DataFrame:
+    """Engineers with most fire protection seals per county; the rank filter prunes before the shuffle."""
+    counts = fire_protection(dated).groupBy("county", "license_key").agg(F.count(F.lit(1)).alias("seals"))
     place = F.rank().over(Window.partitionBy("county").orderBy(F.desc("seals")))
     return counts.withColumn("place", place).filter(F.col("place") <= k)
 
@@ -172,7 +196,7 @@ def engineer_client_map(dated: DataFrame, parties: DataFrame,
     clients = (parties.filter(F.col("role").isin(*roles)).dropna(subset=["company_id"])
                .select(*PERMIT_KEY, "company_id").distinct())
     return (
-        salted_lookup(_engineer_permits(dated), clients, PERMIT_KEY, "inner")
+        salted_lookup(_engineer_permits(dated), clients, PERMIT_KEY, "inner", counted_on=dated)
         .groupBy("license_key", "company_id")
         .agg(F.sum("seals").alias("seals"), F.min("first_on").alias("first_on"),
              F.max("last_on").alias("last_on"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lintel.operators import capability, filters, history, reports, resolve, reviews, scoring, seals
 from lintel.operators.validate import RowCountCheck, validate
-from lintel.schemas import PERMIT_RULES, FieldRule
+from lintel.schemas import PERMIT_KEY, PERMIT_RULES, FieldRule
 from lintel.session import stored
 
 
@@ -37,19 +37,17 @@ def monitor(snapshots: DataFrame, as_of: date, alerts: DataFrame | None = None)
 
 
 def target_firms(companies: DataFrame, licenses: DataFrame, parties: DataFrame, permits: DataFrame,
-                 as_of: date, jurisdictions: DataFrame | None = None, county: str | None = None,
-                 coverage: DataFrame | None = None, registries: Sequence[str] = ()) -> DataFrame:
+                 as_of: date, coverage: DataFrame, registries: Sequence[str],
+                 jurisdictions: DataFrame | None = None, county: str | None = None) -> DataFrame:
     """Firms on list A or B, optionally by permits of one county.
 
-    With ``coverage`` the job refuses to call a licence missing while the
-    registry behind it is empty or stale.
+    The job refuses to call a licence missing while a registry behind it is empty or stale.
     """
     if county is not None:
         permits = filters.by_county(permits, jurisdictions, county)
     volume = capability.permit_volume_12mo(parties, permits, as_of)
     flagged = capability.capability(companies, licenses, volume)
-    if coverage is not None:
-        flagged = capability.coverage_guard(flagged, coverage, registries)
+    flagged = capability.coverage_guard(flagged, coverage, registries)
     return stored(capability.target_lists(flagged), "targets")
 
 
@@ -61,10 +59,11 @@ def companies_of(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def seal_index(candidates: DataFrame, licenses: DataFrame, documents: DataFrame,
-               jurisdictions: DataFrame) -> DataFrame:
-    """Validated seals with permit, date and county."""
+               permits: DataFrame, jurisdictions: DataFrame) -> DataFrame:
+    """Validated seals with permit, date and county; a seal dates from its permit's issue, else from the download."""
     checked = seals.validate_seal(seals.best_method(candidates), licenses, counted_on=candidates)
-    known = seals.with_permit(checked.filter("validated"), documents, counted_on=candidates)
+    dated = seals.dated_documents(documents, permits)
+    known = seals.with_permit(checked.filter("validated"), dated, counted_on=candidates)
     return stored(filters.with_county(known, jurisdictions), "seals")
 
 
@@ -88,17 +87,20 @@ def score(facts: DataFrame, parties: DataFrame, listed: DataFrame, relying: Data
 
 
 def digest(run_date: date, hot: DataFrame, permits: DataFrame, leads: DataFrame, listed: DataFrame,
-           earlier_permits: DataFrame, earlier_targets: DataFrame, min_score: float) -> DataFrame:
-    """Lines of the daily brief."""
-    return reports.digest_lines(
-        run_date, reports.digest_hot(hot, permits),
-        reports.digest_new_leads(leads, earlier_permits, min_score),
-        reports.digest_new_targets(listed, earlier_targets))
-
-
-def digest_run_rows(run_date: date, leads: DataFrame, listed: DataFrame, min_score: float) -> DataFrame:
-    """What this run has shown, to be kept for the next one."""
-    shown = leads.filter(F.col("score") >= min_score).select(
-        F.lit("permit").alias("kind"), F.concat_ws("/", "jurisdiction_id", "record_number").alias("item"))
-    firms = listed.select(F.col("list").alias("kind"), F.col("company_id").cast("string").alias("item"))
-    return shown.unionByName(firms).distinct().withColumn("run_date", F.lit(run_date))
+           earlier_permits: DataFrame, earlier_targets: DataFrame,
+           min_score: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines of the daily brief, and the run's permits and targets to be kept for the next one.
+
+    ``earlier_permits`` and ``earlier_targets`` are all such rows of former runs.  What is kept is just
+    what the lines show.
+    """
+    new_leads = stored(reports.digest_new_leads(leads, earlier_permits, min_score), "new-leads")
+    new_targets = stored(reports.digest_new_targets(listed, earlier_targets), "new-targets")
+    lines = reports.digest_lines(run_date, reports.digest_hot(hot, permits), new_leads, new_targets)
+    return lines, *digest_run_rows(run_date, new_leads, new_targets)
+
+
+def digest_run_rows(run_date: date, new_leads: DataFrame, new_targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a run has shown, in the columns that the next run's "new" rules read."""
+    day = F.lit(run_date).alias("run_date")
+    return (new_leads.select(day, *PERMIT_KEY).distinct(), new_targets.select(day, "company_id", "list").distinct())

@@ -47,7 +47,7 @@ _TABLES = {
     "license": "source string, license_type string, license_number string, class string, "
                "status string, business_name string, qualifier string, discipline string, "
                "address string, state string, phone string",
-    "lead": "company_id string, jurisdiction_id int, record_number string, score int, "
+    "lead": "company_id string, jurisdiction_id int, record_number string, score decimal(9,4), "
             "score_breakdown string, stage string, next_action string, notes string, "
             "snoozed_until date",
     "review_queue": "left_key string, right_key string, score double, reason string, "
@@ -57,10 +57,11 @@ _TABLES = {
                   "comment_text string, reasons array<string>",
     "watermark": "jurisdiction_id int, landed_through date",
     "contact_log": "company_id string, contacted_on date",
-    "digest_run": "run_date date, kind string, item string",
+    "digest_permit": "run_date date, jurisdiction_id int, record_number string",
+    "digest_target": "run_date date, company_id string, list string",
 }
 
-_PLAIN = {"review_queue", "hot_signal", "watermark", "contact_log", "digest_run"}
+_PLAIN = {"review_queue", "hot_signal", "watermark", "contact_log", "digest_permit", "digest_target"}
 
 # DDL text, as ``spark.read.schema`` and ``createDataFrame`` take it.
 TABLES: dict[str, str] = {

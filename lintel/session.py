@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,20 +25,25 @@ def build_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it.
+    """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
 
-    A session that names none is a single-machine test session and gets a
-    temporary folder, which it then keeps.
+    Only a single-machine session may leave it unnamed; it then uses a folder of its own under
+    ``spark.local.dir``.  On a cluster no local folder is visible to all, so there it is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="run-")
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = f"{spark.conf.get('spark.local.dir', '/tmp')}/checkpoints-{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return re.match(r"local(\[[^-]*\])?$", master) is not None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Let ``checkpoint()`` write to the shared folder."""
     if not spark.sparkContext.getCheckpointDir():
@@ -56,6 +61,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder within the shared one; all stored stages lie in it."""
+    return f"{shared_dir(spark)}/run-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path in the run's folder."""
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clean_run(spark: SparkSession) -> None:
+    """Remove what this application has stored; call it when its results have been written elsewhere."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -22,6 +22,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 COLUMNS = ["status_date", "observed_at", "department", "comment_text", "status", "cycle_number"]
 SIGNAL = ("jurisdiction_id int, record_number bigint, cycle_number int, reason string, "
           "department string, status string, signal_date date, comment_text string")
+KEYS = [*PERMIT_KEY, "cycle_number"]
 STATE = "cycles string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -70,11 +71,21 @@ def hot_stream(reviews: DataFrame) -> DataFrame:
 
     Only fire departments reach the state.  State is a few values per permit
     and cycle and never expires.  A task sees at most one trigger's rows of a
-    permit; bound the trigger at the source with ``maxFilesPerTrigger``.
+    permit; bound the trigger at the source with ``maxFilesPerTrigger``.  Keys
+    keep the types they come in.  Rows without a date have no place in the
+    order of a permit's reviews; ``undated`` gives them for the rejects.
     """
     text = ["department", "status", "comment_text"]
-    fire = reviews.filter(is_fire_department(F.col("department"))).select(
+    signal = ", ".join(f"{c} {reviews.schema[c].dataType.simpleString()}" if c in KEYS else f"{c} {kind}"
+                       for c, kind in (x.split() for x in SIGNAL.split(", ")))
+    dated = reviews.filter(F.col("status_date").isNotNull() & F.col("cycle_number").isNotNull())
+    fire = dated.filter(is_fire_department(F.col("department"))).select(
         *PERMIT_KEY, "cycle_number", "status_date", "observed_at",
         *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in text])
     return fire.groupBy(*PERMIT_KEY).applyInPandasWithState(
-        watch_permit, SIGNAL, STATE, "append", "NoTimeout")
+        watch_permit, signal, STATE, "append", "NoTimeout")
+
+
+def undated(reviews: DataFrame) -> DataFrame:
+    """Rows that ``hot_stream`` cannot place: no status date or no cycle."""
+    return reviews.filter(F.col("status_date").isNull() | F.col("cycle_number").isNull())

@@ -11,7 +11,7 @@ from lintel.config import load_weights
 from lintel.operators import capability, history, reports, resolve, reviews, scoring, seals
 from lintel.operators.validate import RowCountCheck, assert_nonempty, validate
 from lintel.schemas import TABLES, FieldRule
-from lintel.session import scratch_path
+from lintel.session import scratch_path, stored
 from lintel.sources import extracts, sinks
 from lintel.streaming import hot, ingest
 
@@ -263,9 +263,11 @@ def test_snooze(spark):
 def test_export_and_split(spark):
     df = spark.createDataFrame([(1, ["b", "a"], "Ann", "555"), (2, None, "Ann", None)], "id int, tags array<string>, name string, phone string")
     assert tuples(reports.export_flat(df), "id", "tags") == [(1, "b; a"), (2, None)]
-    public, private = sinks.split_private(df, ["name", "phone"])
+    public, private = sinks.split_private(df, ["name", "phone"], "key")
     assert "Ann" not in str(public.collect())
     assert private.count() == 2 and public.select("name").distinct().count() == 1
+    with pytest.raises(ValueError):
+        sinks.split_private(df, ["name"], "")
 
 
 def test_digest_file(spark):
@@ -332,6 +334,54 @@ def test_hot_stream_alerts_once(spark):
         spark.conf.unset("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled")
 
 
+def test_hot_stream_text_keys_and_missing_dates(spark):
+    landing, out, ckpt = (scratch_path(spark, x) for x in ("land", "out", "ckpt"))
+    rows = spark.createDataFrame([review("Rejected", 4, comment="one"), review("Rejected", 5, permit=8)], REVIEW)
+    rows = rows.withColumn("record_number", F.concat(F.lit("B-"), "record_number"))
+    missing = rows.limit(1).withColumn("status_date", F.lit(None).cast("date"))
+    rows.unionByName(missing).coalesce(1).write.parquet(landing)
+    stream = spark.readStream.schema(rows.schema).parquet(landing)
+    (hot.hot_stream(stream).writeStream.format("parquet").option("path", out)
+     .option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination())
+    assert tuples(spark.read.parquet(out), "record_number") == [("B-7",), ("B-8",)]
+    assert hot.undated(spark.read.parquet(landing)).count() == 1
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    from lintel.session import clean_run, is_local, run_dir
+
+    assert [is_local(m) for m in ("local", "local[8]", "local[*]")] == [True] * 3
+    assert not any(is_local(m) for m in ("yarn", "spark://a:7077", "local-cluster[2,1,1024]"))
+    stored(spark.range(3), "some")
+    clean_run(spark)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    assert not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def test_parties_link_by_numbers_of_one_company_only(spark):
+    ddl = "member_id string, raw_name string, phone string, address string, email string, license_type string, license_number string"
+    members = spark.createDataFrame([("a", "Alpha", None, None, None, "CA", "12345"), ("b", "Beta", None, None, None, "PE_FP", "12345"),
+                                     ("c", "Gamma", None, None, None, "CA", "777")], ddl)
+    clustered = resolve.normalize_members(members).withColumn("company_id", F.col("member_id"))
+    parties = spark.createDataFrame([("Beta Inc", "12345"), ("Someone", "0777"), ("Nobody", "12345")], "raw_name string, license_number string")
+    assert tuples(resolve.link_parties(parties, clustered), "raw_name", "company_id", "link_basis") == [
+        ("Beta Inc", "b", "name"), ("Nobody", None, None), ("Someone", "c", "license")]
+    people = spark.createDataFrame([("X", "PE_FP", "12345"), ("Alpha", "PE_OTHER", "12345")], "raw_name string, license_type string, license_number string")
+    assert tuples(resolve.link_person(people, clustered), "raw_name", "company_id", "link_basis") == [
+        ("Alpha", "a", "name"), ("X", "b", "license")]
+
+
+def test_context_of_a_repeated_number(spark):
+    text = "x" * 150 + " FL PE 12345 first " + "y" * 300 + " FL PE 12345 second"
+    pages = spark.createDataFrame([(1, text), (2, "PIPE 4000 and PE 5000")], "document_id int, page_text string")
+    found = seals.extract_pe(pages).filter("document_id = 1").orderBy("ordinal").collect()
+    assert "first" in found[0].raw_text and "second" not in found[0].raw_text
+    assert "second" in found[1].raw_text and "first" not in found[1].raw_text
+    loose = seals.extract_pe(pages, strict=False).filter("document_id = 2").orderBy("ordinal").collect()
+    assert [r.license_number for r in loose] == ["4000", "5000"]
+    assert all(r.raw_text == "PIPE 4000 and PE 5000" for r in loose)
+
+
 def test_ingest_stream_in_two_runs(spark):
     landing, table, ckpt = (scratch_path(spark, x) for x in ("land", "table", "ckpt"))
     schema = "jurisdiction_id string, record_number string, record_type string, status string, applied_date string, valuation string, square_footage string"

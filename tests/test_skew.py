@@ -164,15 +164,13 @@ def test_bands(spark):
         "e": "similar, no shared contact", "f": "similar, no shared contact"}
 
 
-def test_company_lists_are_bounded_but_whole(spark):
+def test_company_values_are_whole(spark):
     members = spark.createDataFrame(
         [(f"m{i:03}", f"Name {i}", None, None, None, "T", str(i)) for i in range(30)] + [("x", "Lone", "4075550100", None, None, None, None)],
         "member_id string, raw_name string, phone string, address string, email string, license_type string, license_number string")
     clustered = resolve.normalize_members(members).withColumn(
         "company_id", F.when(F.col("member_id") == "x", "x").otherwise("m000"))
-    short = {r.company_id: r for r in resolve.build_company(clustered, list_limit=10).collect()}
-    assert short["m000"].aliases is None and short["m000"].n_aliases == 30
-    assert short["x"].aliases == ["Lone"] and short["x"].license_numbers == []
-    assert resolve.company_values(clustered).filter("company_id = 'm000' and kind = 'alias'").count() == 30
     full = {r.company_id: r for r in resolve.build_company(clustered).collect()}
-    assert len(full["m000"].aliases) == 30 and full["m000"].canonical_name == "Name 0"
+    assert full["m000"].n_aliases == 30 and full["m000"].canonical_name == "Name 0"
+    assert (full["x"].n_aliases, full["x"].n_licenses) == (1, 0)
+    assert resolve.company_values(clustered).filter("company_id = 'm000' and kind = 'alias'").count() == 30
