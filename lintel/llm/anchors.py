@@ -9,7 +9,7 @@ repeats.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -58,7 +58,6 @@ def word_hashes(raw: bytes) -> np.ndarray:
             else:
                 stops = [x for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (x := raw.find(c, end)) >= 0]
                 end = min(stops, default=size)
-                import hashlib
                 out.extend(np.frombuffer(hashlib.blake2b(w, digest_size=8).digest(), np.uint64) for w in raw[at:end].split())
                 at = end
                 continue
@@ -213,3 +212,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BU
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: All windows grouped as lists of words; for small tables.
+ORACLE = r"""
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
+           from documents),
+g as (select doc_id, s, words[s:s + 12] as k from (select doc_id, words, unnest(range(1, len(words) - 11)) as s from w)),
+f as (select k, min(doc_id) as first_doc from g group by k),
+gone as (select distinct doc_id, s + unnest(range(0, 13)) as i from g join f using (k) where first_doc < doc_id),
+u as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as i from w),
+kept as (select doc_id, string_agg(word, ' ' order by i) as txt, count(*) as n from u anti join gone using (doc_id, i) group by doc_id)
+select w.doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coalesce(n, 0) as bigint) as n_removed,
+       sha256(coalesce(txt, '')) as kept_sha256
+from w left join kept using (doc_id)
+"""

@@ -17,7 +17,9 @@ QUERIES = {
     "op10_katz": katz.op10_katz,
 }
 ORACLES = {
+    "op2_substring_dedup": anchors.ORACLE,
     "op4_license_scan": license_scan.ORACLE,
+    "op5_suffix_dedup": suffixes.ORACLE,
     "op6_topk": vafile.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }

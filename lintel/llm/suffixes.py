@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.anchors import covered, mixed
+from lintel.llm.anchors import mixed
 from lintel.llm.common import buckets_for, table, text_bytes
 from lintel.llm.packed import DONE, MATCH, PACKED, batch_of, home_column, home_of, keyed, meet, pack, runs, ship, unpack
 
@@ -379,3 +379,23 @@ def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(docs).select(
         "doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: All strings of 50 bytes as text in hexadecimal digits; for small tables.
+ORACLE = """
+with h as (select doc_id, hex(encode(coalesce(text, ''))) as x, octet_length(encode(coalesce(text, ''))) as n from documents),
+g as (select doc_id, s, substr(x, 2 * s + 1, 100) as k from (select doc_id, x, unnest(range(0, n - 49)) as s from h)),
+f as (select k, min(doc_id) as first_doc from g group by k),
+hit as (select doc_id, s from g join f using (k) where first_doc < doc_id),
+new as (select *, case when s - lag(s) over (partition by doc_id order by s) <= 50 then 0 else 1 end as fresh from hit),
+run as (select *, sum(fresh) over (partition by doc_id order by s) as r from new),
+span as (select doc_id, r, min(s) as a, max(s) + 50 as b from run group by doc_id, r),
+edge as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from span),
+cut as (select doc_id, count(*) as n_spans, sum(b - a) as n_removed, max(b) as last_end,
+               string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' order by a) as kept
+        from edge join h using (doc_id) group by doc_id)
+select h.doc_id, cast(n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+       cast(coalesce(n_spans, 0) as bigint) as n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last_end, 0) + 1))) as kept_sha256
+from h left join cut using (doc_id)
+"""
