@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lintel.catalog import capability as cap
-from lintel.catalog.bindings import AS_OF
 from lintel.catalog.capability import FLAGGED
 from lintel.catalog.registry import query
 from lintel.operators import capability, history
