@@ -29,7 +29,7 @@ VIEWS: dict[str, str] = {
           cast(o_orderdate as date) as applied_date,
           cast(o_orderdate as date) + 30 as issued_date,
           case when o_orderstatus = 'F' then cast(o_orderdate as date) + 200 end as finaled_date,
-          cast(o_orderdate as date) + cast(o_custkey % 400 as int) as touched_on,
+          cast(o_orderdate as date) + cast(o_custkey % 400 as int) as changed_on,
           cast(o_totalprice * 10 as decimal(14,2)) as valuation,
           cast((o_orderkey * 37) % 200000 as int) as square_footage,
           case o_custkey % 5 when 0 then 'New Construction' when 1 then 'Tenant Improvement'

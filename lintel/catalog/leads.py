@@ -328,6 +328,17 @@ def company_dossier(t):
         t.b_review, seals.engineer_client_map(index, t.b_party), leads(t, index=index))
 
 
+_BREAKDOWN = "concat_ws('; ', " + ", ".join(f"case when {p} <> 0 then concat('{p}=', {p}) end" for p in _P) + ")"
+
+
+@query("export_leads", f"""with {_LEADS}
+select company_id, jurisdiction_id, record_number, score, {_BREAKDOWN} as score_breakdown from scored_leads""")
+def export_leads(t):
+    parts = F.array_compact(F.array(*(F.when(F.col(p) != 0, F.concat(F.lit(f"{p}="), F.col(p).cast("string"))) for p in scoring.SIGNALS)))
+    return reports.export_flat(leads(t).withColumn("score_breakdown", parts),
+                               ["company_id", "jurisdiction_id", "record_number", "score", "score_breakdown"])
+
+
 @query("export_flat", f"""with {_ALL}
 select jurisdiction_id, record_number, cycle_number, reason, signal_date, replace(reasons, ',', '; ') as reasons from picked""")
 def export_flat(t):

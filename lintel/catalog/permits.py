@@ -11,7 +11,7 @@ from lintel.catalog.registry import query
 from lintel.functions import patterns as P
 from lintel.operators import filters, history
 from lintel.operators.validate import assert_nonempty, validate
-from lintel.schemas import PARTY_ROLES, PERMIT_RULES, FieldRule
+from lintel.schemas import PARTY_ROLES, PERMIT_RULES, REVIEW_RULES, FieldRule
 
 _LANDED = """select jurisdiction_id, cast(record_number as varchar(20)) as record_number, record_type,
     case when record_number % 101 = 0 then '' else status end as status,
@@ -231,14 +231,28 @@ def advance_watermark(t):
     return history.advance_watermark(first, late)
 
 
+@query("validate_reviews", """
+select status_date is null as rejected, count(*) as reviews from (
+  select case when cycle_number % 7 <> 0 then status_date end as status_date from b_review) group by all""")
+def validate_reviews(t):
+    """Reviews whose date is missing in every seventh cycle, split by the review rules."""
+    landed = t.b_review.select("jurisdiction_id", "record_number", "cycle_number", "department", "status", "due_date",
+                               F.when(F.col("cycle_number") % 7 != 0, F.col("status_date")).alias("status_date"))
+    accepted, rejects = validate(landed, REVIEW_RULES)
+    return accepted.select(F.lit(False).alias("rejected")).unionByName(
+        rejects.select(F.lit(True).alias("rejected"))).groupBy("rejected").agg(F.count(F.lit(1)).alias("reviews"))
+
+
 @query("daily_plan", """
+with r as (select jurisdiction_id, record_number, max(status_date) as reviewed_on from b_review group by all),
+p as (select q.*, greatest(changed_on, reviewed_on) as touched_on from b_permit q left join r using (jurisdiction_id, record_number))
 select record_number, case when applied_date between date '2001-07-25' and date '2001-08-01' then 'recent'
-  else 'recheck' end as plan_reason from b_permit
+  else 'recheck' end as plan_reason from p
 where applied_date between date '2001-07-25' and date '2001-08-01'
   or (finaled_date is null and status <> 'Issued'
       and touched_on between date '2001-05-03' and date '2001-08-01')""")
 def daily_plan(t):
-    return history.daily_plan(t.b_permit, AS_OF, ["Issued"]).select("record_number", "plan_reason")
+    return history.daily_plan(history.with_touched(t.b_permit, t.b_review), AS_OF, ["Issued"]).select("record_number", "plan_reason")
 
 
 @query("backfill_plan", """

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lintel.plans.skew import checked_broadcast, salted_lookup, spread_write
+from lintel.schemas import PERMIT_KEY
 
 
 def current_state(snapshots: DataFrame, key: Sequence[str], order: Sequence[str] = ("observed_at",),
@@ -51,6 +52,13 @@ def advance_watermark(watermark: DataFrame, batch: DataFrame, landed: str = "app
             .groupBy("jurisdiction_id").agg(F.max("landed_through").alias("landed_through")))
 
 
+def with_touched(permits: DataFrame, reviews: DataFrame, changed: str = "changed_on") -> DataFrame:
+    """``permits`` with ``touched_on``: the later of the last status change and the last review status."""
+    last = reviews.groupBy(*PERMIT_KEY).agg(F.max("status_date").alias("_reviewed"))
+    return (salted_lookup(permits, last, PERMIT_KEY, "left", hot=[])
+            .withColumn("touched_on", F.greatest(F.col(changed), F.col("_reviewed"))).drop("_reviewed"))
+
+
 def daily_plan(permits: DataFrame, as_of: date, closed: Sequence[str],
                touched: str = "touched_on", pull_days: int = 7, recheck_days: int = 90) -> DataFrame:
     """Permits to fetch today: recent ones, and open ones touched lately.

@@ -94,3 +94,29 @@ PARTY_RULES = [
     FieldRule("role", "string", required=True, allowed=PARTY_ROLES),
     FieldRule("raw_name", "string", required=True),
 ]
+
+REVIEW_RULES = [
+    FieldRule("jurisdiction_id", "int", required=True),
+    FieldRule("record_number", "string", required=True),
+    FieldRule("cycle_number", "int", required=True),
+    FieldRule("department", "string", required=True),
+    FieldRule("status", "string", required=True),
+    FieldRule("status_date", "date", required=True),
+    FieldRule("due_date", "date"),
+]
+
+DOCUMENT_RULES = [
+    FieldRule("record_number", "string", required=True),
+    FieldRule("sha256", "string", required=True),
+]
+
+SEAL_RULES = [
+    FieldRule("extraction_method", "string", required=True, allowed=EXTRACTION_METHODS),
+    FieldRule("license_number", "string", required=True),
+]
+
+LICENSE_RULES = [
+    FieldRule("license_type", "string", required=True),
+    FieldRule("license_number", "string", required=True),
+    FieldRule("status", "string", required=True),
+]
