@@ -9,6 +9,7 @@ a hit tell quotation from abuse.  A small logistic model turns the hits into a s
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,9 @@ LEXICON = 1_500
 MIN_Z = 4.0
 MIN_LOG_ODDS = 1.5
 #: Evidence for one entry counts so much at most.
-MAX_LOG_ODDS = 4.0
+MAX_LOG_ODDS = 5.0
 #: An entry must follow so many different words: words of one much-copied document do not.
-MIN_CONTEXTS, CONTEXT_SHARE, MANY_CONTEXTS = 3, 0.2, 20
+MIN_CONTEXTS, CONTEXT_SHARE, MANY_CONTEXTS = 5, 0.5, 40
 #: An entry must stand in so much of the toxic documents of the fit.
 MIN_SHARE = 0.01
 STEMS = (4, 5, 6)
@@ -46,6 +47,7 @@ REPORTING = frozenset("said says wrote writes quote quoted quoting called term w
                       "schrieb wort dijo escribió palabra".split())
 ADDRESS = frozenset("you your you're u yourself vous tu toi ton votre du dich dein ihr euch tú usted ustedes".split())
 OPENING, CLOSING = "\"“«„‟‘", "\"”»“‟’"
+FEATURES = ["weight", "density", "different", "quoted", "length"]
 EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
@@ -140,12 +142,12 @@ class Reader:
                 found[token] = weight
         return found
 
-    def features(self, text: str) -> tuple[float, float, float, float]:
-        """Weight of all hits in context, the same per 100 words, how many different hits, the quoted share."""
+    def features(self, text: str) -> tuple[float, ...]:
+        """Weight of all hits in context, the same per 100 words, different hits, the quoted share, length."""
         tokens = text.lower().split()
         weights = self.weights(tokens)
         if not weights:
-            return 0.0, 0.0, 0.0, 0.0
+            return 0.0, 0.0, 0.0, 0.0, math.log1p(len(tokens))
         total = quoted = 0.0
         hits = 0
         for i, token in enumerate(tokens):
@@ -163,7 +165,7 @@ class Reader:
                 weight *= ADDRESSED
             hits += 1
             total += weight
-        return math.log1p(total), math.log1p(100 * total / len(tokens)), math.log1p(len(weights)), quoted / hits
+        return math.log1p(total), math.log1p(100 * total / len(tokens)), math.log1p(len(weights)), quoted / hits, math.log1p(len(tokens))
 
 
 def held_out(parts: int, rest: int):
@@ -186,18 +188,24 @@ def fit_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
 
 
 def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> Lexicon:
-    """The ``size`` entries with most evidence among those far more frequent in toxic documents."""
+    """The ``size`` entries with most evidence among those far more frequent in toxic documents.
+
+    Documents decide which entries count, occurrences per word how much: an entry that clean texts
+    hold now and then by chance still weighs if toxic ones are full of it.
+    """
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
     n, bad = totals.n, totals.bad
     if not bad or bad == n:
         return Lexicon({}, {})
     share = F.lit(bad / n)
     expected = (F.col("t") + F.col("f")) * share
-    best = (rows.mapInArrow(_entry_counts, "entry string, t long, f long")
-            .groupBy("entry").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
-            .filter(F.col("t") >= max(2, MIN_SHARE * bad))
+    counts = stored(rows.mapInArrow(_entry_counts, "entry string, t long, f long, tt long, ff long").groupBy("entry").agg(
+        *(F.sum(c).alias(c) for c in ("t", "f", "tt", "ff"))).filter(
+            (F.col("t") >= max(2, MIN_SHARE * bad)) | (F.col("entry") == "")), "entries")
+    words = counts.filter("entry = ''").first()
+    best = (counts.filter("entry <> ''")
             .withColumn("z", (F.col("t") - expected) / F.sqrt(expected))
-            .withColumn("odds", F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("f") + 0.5) / (n - bad + 1)))
+            .withColumn("odds", F.log((F.col("tt") + 0.5) / (words.tt + 1)) - F.log((F.col("ff") + 0.5) / (words.ff + 1)))
             .filter((F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_LOG_ODDS))
             .orderBy(F.desc(F.col("odds") * F.col("t")), "entry").limit(size).collect())
     entries = {r.entry for r in best}
@@ -232,21 +240,30 @@ def _contexts(entries: set[str]):
 
 
 def _entry_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(entry, t, f)``: toxic and other documents with each word (marked ``$``) or stem, summed per chunk."""
+    """``(entry, t, f, tt, ff)``: toxic and other documents with each word (marked ``$``) or stem, and
+    how often it stands there, summed per chunk.  The empty entry counts all words.
+    """
     import regex
 
     strip = regex.compile(EDGES).sub
     for batch in _chunks(batches, "text"):
         counts: dict[str, list[int]] = {}
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            words = {w if w.isalpha() else strip("", w) for w in text.lower().split()}
-            entries = {w[:n] for n in STEMS for w in words if len(w) >= n}
-            entries.update(w + "$" for w in words if len(w) > 2)
-            for entry in entries:
-                counts.setdefault(entry, [0, 0])[1 - toxic] += 1
-        tf = np.array(list(counts.values()), np.int64).reshape(-1, 2)
+            words = Counter(w if w.isalpha() else strip("", w) for w in text.lower().split())
+            entries = Counter({"": sum(words.values())})
+            for word, times in words.items():
+                if len(word) > 2:
+                    entries[word + "$"] += times
+                for n in STEMS:
+                    if len(word) >= n:
+                        entries[word[:n]] += times
+            for entry, times in entries.items():
+                count = counts.setdefault(entry, [0, 0, 0, 0])
+                count[1 - toxic] += 1
+                count[3 - toxic] += times
+        tf = np.array(list(counts.values()), np.int64).reshape(-1, 4)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *map(pa.array, tf.T.copy())],
-                                         names=["entry", "t", "f"])
+                                         names=["entry", "t", "f", "tt", "ff"])
 
 
 def concise(found: dict[str, tuple[float, int]]) -> tuple[dict[str, float], dict[str, float]]:
@@ -280,11 +297,10 @@ def _featured(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lexicon)
         for batch in batches:
-            f = np.array([reader.features(t or "") for t in batch.column("text").to_pylist()]).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *map(pa.array, f.T.copy())],
-                                             names=["toxic", "f0", "f1", "f2", "f3"])
+            f = np.array([reader.features(t or "") for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *map(pa.array, f.T.copy())], names=["toxic", *FEATURES])
 
-    return rows.select("text", "toxic").mapInArrow(read, "toxic int, f0 double, f1 double, f2 double, f3 double")
+    return rows.select("text", "toxic").mapInArrow(read, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 class Model:
@@ -305,8 +321,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, size: int = LE
     y = found["toxic"].to_numpy(float)
     if not 0 < y.sum() < len(y):
         share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.1
-        return Model(lexicon, np.array([0, 0, 0, 0, math.log(share / (1 - share))]))
-    return Model(lexicon, fit_logistic(found[["f0", "f1", "f2", "f3"]].to_numpy(float), y))
+        return Model(lexicon, np.array([0.0] * len(FEATURES) + [math.log(share / (1 - share))]))
+    return Model(lexicon, fit_logistic(found[FEATURES].to_numpy(float), y))
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
@@ -322,7 +338,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, weights = Reader(sent.value.lexicon), sent.value.weights
         for batch in _chunks(batches, "text"):
-            f = np.array([reader.features(t or "") for t in batch.column("text").to_pylist()]).reshape(-1, 4)
+            f = np.array([reader.features(t or "") for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
             p = 1 / (1 + np.exp(-np.clip(f @ weights[:-1] + weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*kept, "toxicity"])
 

@@ -165,7 +165,7 @@ def test_quotation_weighs_less():
     plain, quoted, said, you = (reader.features(t)[0] for t in (
         "this idiot is here", 'this "idiot is here', "he said idiot is here", "and you idiot are here"))
     assert quoted == said < plain < you
-    assert reader.features("") == (0.0, 0.0, 0.0, 0.0)
+    assert reader.features("") == (0.0,) * 5
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -237,7 +237,7 @@ def test_exact_search(spark):
 def test_forest_opened_whole_is_exact(spark):
     given = vectors(8, 200, 8)
     df = spark.createDataFrame(given, "vec_id long, embedding array<float>, score double")
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest_neighbours(df, opened=1.0, leaf=10).collect())
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest_neighbours(df, opened=10_000, leaf=10).collect())
     want = brute_search(given, 20, lambda v: np.array(v, np.float32).astype(float), fine(8, False))
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert [g[3] for g in got] == pytest.approx([w[3] for w in want])
