@@ -13,6 +13,7 @@ from lintel.config import load_weights
 from lintel.operators import reports, reviews, scoring, seals
 from lintel.operators.filters import niche_match as with_niches
 from lintel.plans import jobs
+from lintel.session import stored
 
 WEIGHTS = load_weights()
 
@@ -287,7 +288,7 @@ union all select 'hot lines', null, null, cast(count(*) as varchar) from hot_lin
 def digest_second_run(t):
     """Day one sees even jurisdictions and every third firm; day two what is left, over day one's run rows."""
     hot, listed = _hot(t), _listed(t)
-    scored = leads(t, hot, listed)
+    scored = stored(leads(t, hot, listed), "leads")
     none = t.b_permit.limit(0).select(F.lit(AS_OF).alias("run_date"), "jurisdiction_id", "record_number")
     no_firm = listed.limit(0).select(F.lit(AS_OF).alias("run_date"), "company_id", "list")
     _, permits, firms = jobs.digest(AS_OF, hot, t.b_permit, scored.filter("jurisdiction_id % 2 = 0"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lintel.catalog.bindings import AS_OF, SNAPSHOT_CUT
 from lintel.catalog.registry import query
 from lintel.operators import reviews
+from lintel.session import stored
 
 _KEY = "jurisdiction_id, record_number, cycle_number, department"
 _CYCLE = "jurisdiction_id, record_number, cycle_number"
@@ -121,7 +122,7 @@ def review_opened_on(t):
 with {_BASELINE}, {_STALLED}
 select {_KEY}, status, due_date, opened_on, age_days, stall_basis from stalled""")
 def stalled_reviews(t):
-    found = reviews.stalled_reviews(t.b_review, reviews.turnaround_baseline(t.b_review), AS_OF)
+    found = reviews.stalled_reviews(t.b_review, stored(reviews.turnaround_baseline(t.b_review), "baseline"), AS_OF)
     return found.select(*_KEY.split(", "), "status", "due_date", "opened_on", "age_days", "stall_basis")
 
 

@@ -28,7 +28,7 @@ def _opening(reason: Column) -> Column:
 
 def digest_hot(hot: DataFrame, permits: DataFrame) -> DataFrame:
     """All HOT signals with the comment quoted and an opening line."""
-    about = salted_lookup(hot, permits.select(*PERMIT_KEY, "description"), PERMIT_KEY, "left")
+    about = salted_lookup(hot, permits.select(*PERMIT_KEY, "description"), PERMIT_KEY, "left", hot=[])
     line = F.format_string(
         "- Permit %s (%s), cycle %d, %s: %s on %s. > \"%s\" %s",
         F.col("record_number").cast("string"), F.coalesce("description", F.lit("no description")),

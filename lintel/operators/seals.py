@@ -116,7 +116,7 @@ def best_method(candidates: DataFrame) -> DataFrame:
     page = ["document_id", "page_number"]
     ranked = candidates.withColumn("_rank", _method_rank(F.col("extraction_method")))
     best = ranked.groupBy(*page).agg(F.min("_rank").alias("_best"))
-    return (salted_lookup(ranked, best, page, "inner", counted_on=candidates).filter("_rank = _best")
+    return (ranked.join(best, page).filter("_rank = _best")  # a page has few candidates
             .drop("_rank", "_best"))
 
 

@@ -80,10 +80,10 @@ def lead_facts(permits: DataFrame, snapshots: DataFrame, hot: DataFrame) -> Data
 
 def score(facts: DataFrame, parties: DataFrame, listed: DataFrame, relying: DataFrame,
           contacts: DataFrame, weights: Mapping[str, int], as_of: date) -> DataFrame:
-    """Scored leads of a run."""
+    """Scored leads of a run; store them if several steps read them."""
     companies = scoring.company_facts(listed, relying, scoring.last_contacts(contacts, as_of))
     candidates = scoring.lead_candidates(facts, parties, listed)
-    return stored(scoring.score_leads(candidates, companies, weights, as_of, counted_on=parties), "leads")
+    return scoring.score_leads(candidates, companies, weights, as_of, counted_on=parties)
 
 
 def digest(run_date: date, hot: DataFrame, permits: DataFrame, leads: DataFrame, listed: DataFrame,
