@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import re
 from functools import reduce
 from pathlib import Path
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the only separator of words in most operators here.
 WORD = r"[^\x20\x09-\x0D]+"
+ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Sorts a row without a doc_id behind every other row.
 NO_ID = (1 << 63) - 1
 
@@ -24,6 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     context = spark.sparkContext
     if re.match(r"local(\[[^-]*\])?$", context.master):
         context.addFile(str(Path(__file__).resolve().parent.parent), recursive=True)
+    if context.getConf().get(ARROW_BATCH) is None:  # rows here are whole texts: keep the batches for Python small
+        spark.conf.set(ARROW_BATCH, "8m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,5 +55,41 @@ def buckets_for(spark: SparkSession, size: int, bucket_bytes: int) -> int:
     return max(shuffle_partitions(spark), -(-size // bucket_bytes))
 
 
+def release() -> None:
+    """Hand freed memory back to the system: Python workers outlive their tasks, other tasks need it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library; it decides by itself
+
+
+def tidy(work):
+    """``work``, a function for mapInArrow or applyInArrow, with ``release`` after each call."""
+    if inspect.isgeneratorfunction(work):
+        def run(batches):
+            try:
+                yield from work(batches)
+            finally:
+                release()
+    elif work.__code__.co_argcount == 2:
+        def run(first, second):
+            try:
+                return work(first, second)
+            finally:
+                release()
+    else:
+        def run(key, first, second):
+            try:
+                return work(key, first, second)
+            finally:
+                release()
+    return run
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.llm.anchors import mixed
-from lintel.llm.common import buckets_for, table, text_bytes
+from lintel.llm.common import buckets_for, table, text_bytes, tidy
 from lintel.llm.packed import DONE, MATCH, PACKED, batch_of, home_column, home_of, keyed, meet, pack, runs, ship, unpack
 
 LENGTH = 50
 GRAM = 24
 #: Never part of UTF-8; closes each piece of text in a bucket.
 END = 0xFF
-BUCKET = 16 << 20
+BUCKET = 8 << 20
 SEGMENT = 1 << 20
 #: So many buckets of contexts for each bucket of text.
 FINER = 4
@@ -116,6 +116,7 @@ def contexts(texts: DataFrame, hits: DataFrame, length: int, gram: int, buckets:
     """
     side = length - gram
 
+    @tidy
     def read(key, own, hit):
         import zstandard
 
@@ -177,9 +178,11 @@ def whole(o, tag, pos, around, length: int, side: int):
     return o[fit], tag[fit], start[fit], count[fit].astype(np.uint8)
 
 
-def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order of their first ``depth`` bytes, and the packed bytes by place.
 
+    ``wanted`` marks the suffixes asked for; those from which they are induced come with them.
+
     ``text`` must end with ``depth`` closing bytes.  A suffix is small if it precedes its successor:
     its first byte is smaller than the next other one.  Small suffixes are sorted directly, eight
     bytes at a time, only ties going on.  Then buckets of first bytes are scanned upwards: each
@@ -187,16 +190,24 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     Large suffixes come before the small ones of their bucket.
     """
     n = len(text)
-    wide = np.concatenate([text, np.full(8, END, np.uint8)]).astype(np.uint64)
-    eight = np.zeros(n, np.uint64)
-    for i in range(8):
-        eight = eight << np.uint64(8) | wide[i:i + n]
-    step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int16) - text[:-1])
-    step[-1] = 1
-    other = np.where(step != 0, np.arange(n), n - 1)
-    small = step[np.minimum.accumulate(other[::-1])[::-1]] > 0
-    order = np.flatnonzero(small)
+    eight = np.concatenate([text, np.full(7, END, np.uint8)])
+    for size, wider in ((1, np.uint16), (2, np.uint32), (4, np.uint64)):
+        eight = eight[:-size].astype(wider) << wider(8 * size) | eight[size:]
+    up, down = np.zeros(n, bool), np.zeros(n, bool)
+    up[:-1], down[:-1] = text[1:] > text[:-1], text[1:] < text[:-1]
+    up[-1] = True
+    turn = np.flatnonzero(up | down)  # where a suffix and its successor first differ
+    small = np.repeat(up[turn], np.diff(turn, prepend=-1))
+    if wanted is None:
+        wanted = np.ones(n, bool)
+    else:  # a large suffix is induced from its successors, up to the next small one
+        first = np.flatnonzero(wanted & ~small)
+        direct = np.flatnonzero(small)
+        marks = np.zeros(n + 1, np.int32)
+        np.add.at(marks, first, 1)
+        np.add.at(marks, direct[np.searchsorted(direct, first)] + 1, -1)
+        wanted = wanted | (np.cumsum(marks[:-1]) > 0)
+    order = np.flatnonzero(small & wanted)
     order = order[np.argsort(eight[order], kind="stable")]
     key = eight[order]
     tied = np.zeros(len(order) + 1, bool)
@@ -221,7 +232,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     def induce(chunk: np.ndarray, byte: int) -> np.ndarray:
         """Deals what precedes the chunk's suffixes to its buckets; returns what falls into this one."""
         before = chunk[chunk > 0] - 1
-        before = before[~small[before]]
+        before = before[~small[before] & wanted[before]]
         if not len(before):
             return before
         of = text[before]
@@ -266,7 +277,9 @@ def repeated_windows(rows: np.ndarray, least: np.ndarray, length: int) -> np.nda
     offsets = width - length + 1
     text = np.concatenate([np.column_stack([rows, np.full(len(rows), END, np.uint8)]).ravel(),
                            np.full(64, END, np.uint8)])
-    suffixes, eight = suffix_array(text, length)
+    wanted = np.arange(len(text)) % (width + 1) < offsets
+    wanted[len(rows) * (width + 1):] = False
+    suffixes, eight = suffix_array(text, length, wanted)
     stop = np.flatnonzero(text == END)
     room = stop[np.searchsorted(stop, suffixes)] - suffixes
     shared = common_prefixes(suffixes, eight, length)
@@ -287,6 +300,7 @@ def repeated(packed: DataFrame, length: int, gram: int, homes: int) -> DataFrame
     """Stretches of window starts that are repeats, packed for their documents' homes."""
     side = length - gram
 
+    @tidy
     def match(key, table):
         import zstandard
 
@@ -340,6 +354,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     hits = meet(ship(own, anchor_occurrences(length, gram), buckets), buckets)
     found = repeated(contexts(texts, hits, length, gram, FINER * buckets), length, gram, buckets)
 
+    @tidy
     def cut(key, own, hit):
         o, tag, pos, count = unpack(hit, np.uint8) if hit.num_rows else (np.zeros(0, np.int64),) * 4
         order = np.argsort(o, kind="stable")

@@ -175,6 +175,10 @@ def test_suffix_array_order_and_prefixes():
         assert sorted(order.tolist()) == list(range(len(text)))
         heads = [raw[i:i + 50].ljust(50, b"\xff") for i in order]
         assert heads == sorted(heads)
+        some = rng.random(len(text)) < 0.3
+        fewer, _ = suffixes.suffix_array(text, 50, some)
+        assert set(np.flatnonzero(some)) <= set(fewer.tolist()) and len(set(fewer.tolist())) == len(fewer)
+        assert [heads[list(order).index(i)] for i in fewer] == sorted(heads[list(order).index(i)] for i in fewer)
         shared = suffixes.common_prefixes(order, eight, 50)
         for i in range(1, len(order)):
             a, b = raw[order[i]:], raw[order[i - 1]:]
