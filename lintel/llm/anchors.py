@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import buckets_for, table, text_bytes
+from lintel.llm.common import buckets_for, table, text_bytes, tidy
 from lintel.llm.packed import (DONE, FOUND, MATCH, PACKED, batch_of, found_rows, group_extremes, home_column, keyed,
                                meet, pack, ship, unpack)
 
@@ -122,6 +122,7 @@ def covered(starts: np.ndarray, length: int, size: int) -> np.ndarray:
 
 def extend(texts: DataFrame, hits: DataFrame, length: int, block: int, buckets: int) -> DataFrame:
     """Packed windows of ``length`` words around every hit, hashed with 96 bits."""
+    @tidy
     def read(key, own, hit):
         places = by_document(hit) if hit.num_rows else {}
         cols: list[list[np.ndarray]] = []
@@ -155,6 +156,7 @@ def extend(texts: DataFrame, hits: DataFrame, length: int, block: int, buckets:
 
 def repeats(windows: DataFrame, homes: int) -> DataFrame:
     """Windows whose words also start in an earlier document."""
+    @tidy
     def match(key, table):
         kind = table["kind"].to_numpy()
         done = unpack(table.filter(pa.array(kind == DONE)))
@@ -190,6 +192,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BU
     hits = meet(ship(own, block_occurrences(block), buckets), buckets)
     found = repeats(extend(texts, hits, length, block, buckets), buckets)
 
+    @tidy
     def cut(key, own, hit):
         places = by_document(hit) if hit.num_rows else {}
         out: dict[str, list] = {"n_words": [], "n_removed": [], "spans": [], "kept": []}

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintel.llm.bpe import _chunks
-from lintel.llm.common import NO_ID
+from lintel.llm.common import NO_ID, tidy
 
 #: Kinds of packed rows: to be matched in their bucket, or already decided and only passing through.
 MATCH, DONE = 0, 1
@@ -122,6 +122,7 @@ def ship(docs: DataFrame, occurrences, buckets: int) -> DataFrame:
     Within a chunk what is decided is sent as decided: a later document's occurrence of a chunk's
     own reference needs no match elsewhere, so a frequent hash costs its bucket little per chunk.
     """
+    @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches, "text", 3 << 20):
             own_o = batch.column("__o").to_numpy()
@@ -147,6 +148,7 @@ def meet(packed: DataFrame, homes: int) -> DataFrame:
 
     Hashes are 32 bits within a bucket of bounded size: a chance match costs a later check, no more.
     """
+    @tidy
     def match(key, table):
         kind = table["kind"].to_numpy()
         done = unpack(table.filter(pa.array(kind == DONE)))

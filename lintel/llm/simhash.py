@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.llm.bpe import _chunks
-from lintel.llm.common import NO_ID, table, union
+from lintel.llm.common import NO_ID, table, tidy, union
 from lintel.plans.components import connected_components
 from lintel.session import stored
 
@@ -68,6 +68,7 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, text_hash, fp)``: the fingerprint as a signed long.  A null text counts as empty."""
+    @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches, "text"):
             found = [signed(simhash((t or "").encode(), shingle)) for t in batch.column("text").to_pylist()]
@@ -94,6 +95,7 @@ def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _forests(radius: int):
+    @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             edges = [e for row in batch.column("fps").to_pylist() for e in forest(np.array(row, np.int64), radius)]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.llm.bpe import _chunks
-from lintel.llm.common import table
+from lintel.llm.common import table, tidy
 from lintel.session import stored
 
 #: The model is fitted on about so many labelled documents at most, drawn by a hash of their text.
@@ -219,6 +219,7 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> Lexicon:
 
 def _contexts(entries: set[str]):
     """``(entry, before)``: the words that stand before the entries' words, once per chunk."""
+    @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -239,6 +240,7 @@ def _contexts(entries: set[str]):
     return read
 
 
+@tidy
 def _entry_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(entry, t, f, tt, ff)``: toxic and other documents with each word (marked ``$``) or stem, and
     how often it stands there, summed per chunk.  The empty entry counts all words.
@@ -294,6 +296,7 @@ def fit_logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0, r
 
 
 def _featured(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
+    @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lexicon)
         for batch in batches:
@@ -335,6 +338,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     kept = [c for c in docs.columns if c != "toxicity"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
 
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, weights = Reader(sent.value.lexicon), sent.value.weights
         for batch in _chunks(batches, "text"):
