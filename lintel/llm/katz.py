@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lintel.llm.anchors import mixed, word_hashes
 from lintel.llm.bpe import _chunks
-from lintel.llm.common import buckets_for, table, text_bytes
+from lintel.llm.common import buckets_for, table, text_bytes, tidy
 from lintel.llm.packed import batch_of, home_column, keyed, planes, unplanes
 from lintel.llm.toxicity import held_out
 from lintel.session import stored
@@ -30,6 +30,8 @@ K = 5
 CUT = 0.1
 #: Histories more frequent than both are split over several buckets: at most this many are.
 SPLIT_COUNT, SPLIT_WORDS = 200_000, 10_000
+#: Words a task sums up before it passes them on.
+HELD_WORDS = 500_000
 #: Stand for the start and the end of a text.
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Followers of a history are told apart by so many bits.
@@ -65,12 +67,25 @@ def discounted(c: np.ndarray, kept: np.ndarray) -> np.ndarray:
 def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens and their histories, and the text of each: words with A-Z lowered, then one end."""
     each = [word_hashes(t.encode().lower()) for t in texts]
-    doc = np.repeat(np.arange(len(texts)), [len(w) + 1 for w in each])
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(w) + 1 for w in each])
     tokens = np.concatenate([x for w in each for x in (w, np.array([END]))]) if each else np.zeros(0, np.uint64)
     history = np.concatenate([x for w in each for x in (np.array([START]), w)]) if each else tokens
     return tokens, history, doc
 
 
+def tight(a: np.ndarray) -> bytes:
+    """Planes of small numbers, compressed beyond what the shuffle does."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(planes(a))
+
+
+def loose(b: bytes, dtype) -> np.ndarray:
+    import zstandard
+
+    return unplanes(zstandard.ZstdDecompressor().decompress(b), dtype)
+
+
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
 
@@ -83,21 +98,33 @@ def by_bucket(bucket: np.ndarray):
 
 def word_table(own: DataFrame, buckets: int) -> DataFrame:
     """One row per bucket: the training words' hashes, sorted, and counts; and what sums need."""
+    def summed(h, c):
+        words, of = np.unique(np.concatenate(h), return_inverse=True)
+        return words, np.bincount(of, np.concatenate(c)).astype(np.int64)
+
+    def packed(h, c):
+        order = np.argsort(spread := bucket_of(h, buckets), kind="stable")
+        return batch_of([(b, 0, planes(h[order][s]), tight(c[order][s]), *[0] * 8)
+                         for b, s in by_bucket(spread[order])], WORDS)
+
+    @tidy
     def read(batches):
+        h, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in _chunks(batches, "text", 3 << 20):
             tokens, _, doc = tokens_of(batch.column("text").to_pylist())
             train = np.array(batch.column("__train").to_pylist(), bool)
-            h, c = np.unique(tokens[train[doc]], return_counts=True) if len(tokens) else (tokens, tokens)
-            order = np.argsort(spread := bucket_of(h, buckets), kind="stable")
-            yield batch_of([(b, 0, planes(h[order][s]), planes(c[order][s].astype(np.uint32)), *[0] * 8)
-                            for b, s in by_bucket(spread[order])], WORDS)
-
+            tokens = tokens[train[doc]]
+            h, c = summed([h, tokens], [c, np.ones(len(tokens), np.int64)])
+            if len(h) > HELD_WORDS:
+                yield packed(h, c)
+                h, c = h[:0], c[:0]
+        yield packed(h, c)
+
+    @tidy
     def add(key, rows):
-        h = np.concatenate([unplanes(x, np.uint64) for x in rows["h"].to_pylist()])
-        c = np.concatenate([unplanes(x, np.uint32) for x in rows["c"].to_pylist()])
-        words, of = np.unique(h, return_inverse=True)
-        total = np.bincount(of, c).astype(np.int64)
-        return pa.Table.from_batches([batch_of([(key[0].as_py(), 0, planes(words), planes(total), *(
+        words, total = summed([unplanes(x, np.uint64) for x in rows["h"].to_pylist()],
+                              [loose(x, np.int64) for x in rows["c"].to_pylist()])
+        return pa.Table.from_batches([batch_of([(key[0].as_py(), 0, planes(words), tight(total), *(
             int((total == r).sum()) for r in range(1, K + 2)), len(words), int(total.sum()))], WORDS)])
 
     return own.select("text", "__train").mapInArrow(read, WORDS).groupBy("bucket").applyInArrow(add, WORDS)
@@ -114,18 +141,19 @@ class Home:
         words, of = np.unique(tokens, return_inverse=True)
         bucket = bucket_of(words, buckets)
         order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         self.words, self.bucket, self.token = words[order], bucket[order], place[of]
+        del of, place, tokens
         # A history is the token before; at the start of a text, number len(words).
-        self.history = np.empty(len(tokens), np.int64)
+        self.history = np.empty(len(self.token), np.int32)
         self.history[1:] = self.token[:-1]
         self.history[history == START] = len(words)
         self.n = len(words)
 
     def set_counts(self, rows: dict[int, bytes]) -> None:
         """``count``: training counts of the words, the start's behind them (one start per end)."""
-        got = [unplanes(rows[b], np.int64) for b, _ in by_bucket(self.bucket)]
+        got = [loose(rows[b], np.int64) for b, _ in by_bucket(self.bucket)]
         count = np.concatenate(got) if got else np.zeros(0, np.int64)
         ends = count[self.words == END]
         self.count = np.append(count, ends if len(ends) else 0)
@@ -137,7 +165,8 @@ class Home:
         """
         known = np.flatnonzero(self.count[self.history] > 0)
         follower = np.where(self.count[self.token[known]] > 0, self.token[known], self.n)
-        pairs, of = np.unique(self.history[known] * (self.n + 1) + follower, return_inverse=True)
+        pairs, of = np.unique(self.history[known].astype(np.int64) * (self.n + 1) + follower, return_inverse=True)
+        del follower
         first, second = pairs // (self.n + 1), pairs % (self.n + 1)
         names = np.append(self.words, START)
         self.far = np.append(self.words, np.uint64(0))
@@ -145,12 +174,13 @@ class Home:
         part = self.far[second] % parts
         bucket = bucket_of(mixed(names[first] + part * np.uint64(0xD6E8FEB86659FD93)), buckets)
         order = np.lexsort((second, first, bucket))
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
-        self.first, self.second, self.pair_bucket = first[order], second[order], bucket[order]
-        self.pair = np.full(len(self.token), -1)
+        self.first, self.second, self.pair_bucket = first[order].astype(np.int32), second[order].astype(np.int32), bucket[order]
+        self.pair = np.full(len(self.token), -1, np.int32)
         self.pair[known] = place[of]
-        self.times = np.bincount(self.pair[known][self.train[self.doc[known]]], minlength=len(order)).astype(np.uint32)
+        del pairs, of, place, first, second, part, parts, bucket, order
+        self.times = np.bincount(self.pair[known][self.train[self.doc[known]]], minlength=len(self.first)).astype(np.uint32)
         self.names = names
 
 
@@ -159,24 +189,27 @@ def scored_homes(own: DataFrame, words: DataFrame, p1: np.ndarray, unknown: floa
     """Per home the sums of its documents that do not depend on the bigrams' discounts, and what does."""
     texts = own.withColumn("home", home_column(homes)).select("home", "doc_id", "__train", "text")
 
+    @tidy
     def ask(key, rows):
         home = Home(rows, homes)
         return pa.Table.from_batches([batch_of([(b, key[0].as_py(), WORD, planes(home.words[s]), *[b""] * 5)
                                                 for b, s in by_bucket(home.bucket)], ROWS)])
 
+    @tidy
     def look_up(key, asked, known):
         if not asked.num_rows:
             return pa.Table.from_batches([batch_of([], ROWS)])
         h = unplanes(known["h"][0].as_py(), np.uint64) if known.num_rows else np.zeros(0, np.uint64)
-        c = unplanes(known["c"][0].as_py(), np.int64) if known.num_rows else np.zeros(0, np.int64)
+        c = loose(known["c"][0].as_py(), np.int64) if known.num_rows else np.zeros(0, np.int64)
         out = []
         for home, a in zip(asked["home"].to_pylist(), asked["a"].to_pylist()):
             want = unplanes(a, np.uint64)
             at = np.minimum(np.searchsorted(h, want), len(h) - 1)
-            out.append((key[0].as_py(), home, WORD, planes(np.where(h[at] == want, c[at], 0) if len(h) else np.zeros(len(want), np.int64)),
+            out.append((key[0].as_py(), home, WORD, tight(np.where(h[at] == want, c[at], 0) if len(h) else np.zeros(len(want), np.int64)),
                         *[b""] * 5))
         return pa.Table.from_batches([batch_of(out, ROWS)])
 
+    @tidy
     def send(key, rows, counts):
         """Distinct bigrams to their buckets: histories, numbers of followers, followers, their counts."""
         if not rows.num_rows:
@@ -190,12 +223,13 @@ def scored_homes(own: DataFrame, words: DataFrame, p1: np.ndarray, unknown: floa
             first, second = home.first[s], home.second[s]
             new = np.flatnonzero(np.diff(first, prepend=-1))
             far = home.far[second] & BITS
-            out.append((b, own_home, ASK, planes(home.names[first[new]]), planes(np.diff(new, append=len(first)).astype(np.uint32)),
+            out.append((b, own_home, ASK, planes(home.names[first[new]]), tight(np.diff(new, append=len(first)).astype(np.uint32)),
                         planes((far >> np.uint64(16)).astype(np.uint32)) + planes(far.astype(np.uint16)),
-                        planes(np.append(home.count[:-1], 0)[second].astype(np.uint32)), planes(home.times[s]),
+                        tight(np.append(home.count[:-1], 0)[second].astype(np.uint32)), tight(home.times[s]),
                         planes((home.count[first[new]] > limit).astype(np.uint8))))
         return pa.Table.from_batches([batch_of(out, ROWS)])
 
+    @tidy
     def count(key, rows):
         """Total counts of the bigrams asked for; per history, how many followers it has by count, and their own mass."""
         out = [tuple(r.values()) for r in rows.filter(pa.array(rows["kind"].to_numpy() == WORD)).to_pylist()]
@@ -203,21 +237,22 @@ def scored_homes(own: DataFrame, words: DataFrame, p1: np.ndarray, unknown: floa
         if not asked:
             return pa.Table.from_batches([batch_of(out, ROWS)])
         heads = [unplanes(r["a"], np.uint64) for r in asked]
-        followers = [unplanes(r["b"], np.uint32).astype(np.int64) for r in asked]
+        followers = [loose(r["b"], np.uint32).astype(np.int64) for r in asked]
         sizes = [int(f.sum()) for f in followers]
         far = np.concatenate([unplanes(r["c"][:4 * m], np.uint32).astype(np.uint64) << np.uint64(16)
                               | unplanes(r["c"][4 * m:], np.uint16) for r, m in zip(asked, sizes)])
-        own = np.concatenate([unplanes(r["d"], np.uint32) for r in asked]).astype(np.int64)
-        times = np.concatenate([unplanes(r["e"], np.uint32) for r in asked]).astype(np.int64)
+        own = np.concatenate([loose(r["d"], np.uint32) for r in asked])
+        times = np.concatenate([loose(r["e"], np.uint32) for r in asked])
         names, head = np.unique(np.concatenate(heads), return_inverse=True)
-        hist = np.repeat(head, np.concatenate(followers))
+        hist = np.repeat(head.astype(np.int32), np.concatenate(followers))
         order = np.lexsort((far, hist))
         new = np.ones(len(order), bool)
         new[1:] = (hist[order][1:] != hist[order][:-1]) | (far[order][1:] != far[order][:-1])
-        of = np.empty(len(order), np.int64)
+        of = np.empty(len(order), np.int32)
         of[order] = np.cumsum(new) - 1
         total = np.bincount(of, times, minlength=int(new.sum())).astype(np.int64)
         some = order[new]
+        del order, new, far, times
         seen = total > 0
         kept_by = np.zeros((len(names), K + 2))
         np.add.at(kept_by, (hist[some][seen], np.minimum(total[seen], K + 1) - 1), 1)
@@ -226,8 +261,8 @@ def scored_homes(own: DataFrame, words: DataFrame, p1: np.ndarray, unknown: floa
         at = at_head = 0
         for r, h, m in zip(asked, heads, sizes):
             mine = head[at_head:at_head + len(h)]
-            out.append((key[0].as_py(), r["home"], COUNTED, planes(total[of[at:at + m]].astype(np.uint32)),
-                        planes(kept_by[mine, :K + 1].astype(np.uint32).ravel()), planes(kept_by[mine, K + 1]), b"", b"", b""))
+            out.append((key[0].as_py(), r["home"], COUNTED, tight(total[of[at:at + m]].astype(np.uint32)),
+                        tight(kept_by[mine, :K + 1].astype(np.uint32).ravel()), planes(kept_by[mine, K + 1]), b"", b"", b""))
             at, at_head = at + m, at_head + len(h)
         parted = np.unique(head[split])
         counts = np.array([int((total == r).sum()) for r in range(1, K + 2)], np.int64)
@@ -239,6 +274,7 @@ def scored_homes(own: DataFrame, words: DataFrame, p1: np.ndarray, unknown: floa
     result = (f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, fixed double, by_count array<long>, "
               "backed binary, stats binary, mass binary, splits binary, sums binary, split_names binary, split_stats binary")
 
+    @tidy
     def score(key, rows, got):
         names = [f.split()[0] for f in result.split(", ")]
         kinds = {"held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "fixed": pa.float64(),
@@ -262,9 +298,9 @@ def scored_homes(own: DataFrame, words: DataFrame, p1: np.ndarray, unknown: floa
         mass = np.zeros(home.n + 1)
         for b, s in by_bucket(home.pair_bucket):
             r, first = counted[b], home.first[s]
-            total[s] = unplanes(r["a"], np.uint32)
+            total[s] = loose(r["a"], np.uint32)
             heads = first[np.flatnonzero(np.diff(first, prepend=-1))]
-            stats[heads] = unplanes(r["b"], np.uint32).reshape(-1, K + 1)
+            stats[heads] = loose(r["b"], np.uint32).reshape(-1, K + 1)
             mass[heads] = unplanes(r["c"], np.float64)
         c1, c2, doc, docs = home.count[home.history], home.count[home.token], home.doc, len(home.texts)
         c12 = np.where(home.pair >= 0, total[home.pair], 0) if len(total) else np.zeros(len(c1), np.int64)
@@ -332,6 +368,7 @@ def katz_scores(docs: DataFrame, bucket_bytes: int = BUCKET, split_count: int =
     sent = spark.sparkContext.broadcast(split)
     seen = np.log10(p2 * r)
 
+    @tidy
     def finish(batches):
         for batch in batches:
             score = []
