@@ -8,9 +8,9 @@ node is computed once for all words below it.
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 from operator import itemgetter
 from pathlib import Path
 
@@ -19,10 +19,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lintel.llm.common import table
+from lintel.llm.common import table, tidy
 
-#: Words whose ids a task remembers at least, twice as many at most.  Affects speed only.
-REMEMBERED = 250_000
+#: Words whose ids a task remembers at least, twice as many at most, and pairs of tokens.  Affects speed only.
+REMEMBERED, PAIRS = 120_000, 400_000
 #: Bytes of text a task encodes at a time.
 CHUNK = 4 << 20
 #: Fixed value: the split of byte-level BPE before merging.
@@ -38,7 +38,7 @@ def byte_of_char() -> dict[str, int]:
 
 
 class TrieBpe:
-    """One vocabulary; ``encode`` gives the ids of texts, ``decode`` the text of ids."""
+    """One vocabulary; ``encode`` gives the ids of texts."""
 
     def __init__(self, spec: str):
         import regex
@@ -66,15 +66,18 @@ class TrieBpe:
             if len(t) > 2:
                 sizes.setdefault(t[-3:], {2, 1}).add(len(t))
         self.sizes = {end: tuple(sorted(of, reverse=True)) for end, of in sizes.items()}
-        self.text_of = {i: t for t, i in ids.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.text_of.update((i, t.encode()) for t, i in self.special.items())
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.split = regex.compile(SPLIT).findall
         self.apart: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drop the words met; the vocabulary stays for the worker's next task."""
+        self.known, self.older = {}, {}
+        self.apart.clear()
+
     def _apart(self, left: int, right: int) -> bool:
         """Whether merging the two tokens' bytes together gives just these two tokens.
 
@@ -95,7 +98,7 @@ class TrieBpe:
                 bound, left = left, halves_left[1]
             else:
                 bound, right = right + 1, halves_right[0]
-        if len(self.apart) > 2_000_000:
+        if len(self.apart) > PAIRS:
             self.apart.clear()
         self.apart[key] = done
         return done
@@ -153,9 +156,23 @@ class TrieBpe:
         known.update((w, self.special[w[0]].to_bytes(4, "little")) for w in new if isinstance(w, tuple))
         return [b"".join([known[w] for w in words]) for words in pieces]
 
-    def decode(self, ids: bytes) -> str:
-        text_of = self.text_of
-        return b"".join([text_of[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+
+@lru_cache(maxsize=1)
+def _loaded(spec: str) -> TrieBpe:
+    """One vocabulary stays in a worker between its tasks."""
+    return TrieBpe(spec)
+
+
+@lru_cache(maxsize=1)
+def _texts(spec: str) -> dict[int, bytes]:
+    """The bytes of each id."""
+    spec, chars = json.loads(spec), byte_of_char()
+    texts = {i: bytes(chars[c] for c in t) for t, i in spec["model"]["vocab"].items() if all(c in chars for c in t)}
+    return texts | {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+
+
+def decode_ids(ids: bytes, text_of: dict[int, bytes]) -> str:
+    return b"".join([text_of[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
@@ -183,11 +200,13 @@ def bpe_encode(docs: DataFrame, spec_path: str, text: str = "text", ids: str = "
     kept = [c for c in docs.columns if c != ids]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
 
+    @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = TrieBpe(spec.value)
+        bpe = _loaded(spec.value)
         for batch in _chunks(batches, text):
             found = bpe.encode([t or "" for t in batch.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*kept, ids])
+        bpe.forget()
 
     return docs.select(*kept).mapInArrow(encode, f"{fields}, `{ids}` binary")
 
@@ -199,10 +218,11 @@ def bpe_decode(encoded: DataFrame, spec_path: str, ids: str = "ids", text: str =
     kept = [c for c in encoded.columns if c != text]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*kept).schema.fields)
 
+    @tidy
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = TrieBpe(spec.value)
+        text_of = _texts(spec.value)
         for batch in _chunks(batches, ids):
-            found = [bpe.decode(x or b"") for x in batch.column(ids).to_pylist()]
+            found = [decode_ids(x or b"", text_of) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*kept, text])
 
     return encoded.select(*kept).mapInArrow(decode, f"{fields}, `{text}` string")
@@ -216,7 +236,3 @@ def op7_bpe(spark, sf_dir: str) -> DataFrame:
     decoded = bpe_decode(bpe_encode(docs, path).select("doc_id", "ids"), path)
     return decoded.selectExpr("doc_id", "cast(octet_length(ids) / 4 as bigint) as n_tokens",
                               "sha2(ids, 256) as ids_sha256", "sha2(decoded, 256) as decoded_sha256")
-
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
