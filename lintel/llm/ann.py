@@ -23,10 +23,9 @@ from lintel.session import stored
 FIT_ROWS = 20_000
 TREES = 16
 #: Rows a leaf should hold; at least ``LEAST`` of the sample.
-LEAF, LEAST = 160, 8
-#: Share of all leaves that a query opens.  Chosen for a recall above 0.9 on vectors that hardly
-#: cluster; where they do, less is enough.
-OPENED = 0.06
+LEAF, LEAST = 512, 8
+#: Leaves a query opens over all trees: its work does not grow with the table.
+OPENED = 96
 SEED = 11
 
 
@@ -73,13 +72,12 @@ class Tree:
         return -1 - at
 
 
-def search(forest: list[Tree], vectors: np.ndarray, opened: float) -> Iterator[list[tuple[int, int]]]:
+def search(forest: list[Tree], vectors: np.ndarray, opened: int) -> Iterator[list[tuple[int, int]]]:
     """Per query the ``(tree, leaf)`` to open, through one queue over all trees.
 
     A branch costs the squared margins of the cuts that are crossed on the way to it; the cheapest
     branch of any tree is next.
     """
-    opened = max(2 * len(forest), round(opened * sum(t.leaves for t in forest)))
     margins = [vectors @ t.directions.T - t.offsets for t in forest]
     for q in range(len(vectors)):
         rows = [m[q] for m in margins]
@@ -108,7 +106,7 @@ def fit(reps: DataFrame, rows: int = FIT_ROWS, trees: int = TREES, leaf: int = L
 
 
 def nearest_neighbours(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", vector: str = "embedding",
-                       rows: int = FIT_ROWS, trees: int = TREES, leaf: int = LEAF, opened: float = OPENED) -> DataFrame:
+                       rows: int = FIT_ROWS, trees: int = TREES, leaf: int = LEAF, opened: int = OPENED) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row whose id is divisible by ``every`` its ``k`` nearest found.
 
     Nearness is the inner product in double precision, ties go to the smaller id.  Vectors that are
@@ -165,19 +163,12 @@ def nearest_neighbours(df: DataFrame, k: int = 20, every: int = 20, vec_id: str
                 for lo in range(0, len(asks), 256):
                     some = asks[lo:lo + 256]
                     rough = q[some] @ x[rows_].T
-                    # Rounding of the product differs by place: keep ties of the last kept one too.
+                    # Each leaf gives its k + 1 best, and ties of the last: rounding of the product differs by place.
                     kth = np.partition(rough, -(k + 1), axis=1)[:, -(k + 1)] if len(rows_) > k + 1 else rough.min(1)
                     a, b = np.nonzero(rough >= (kth - 1e-9 * (1 + np.abs(kth)))[:, None])
                     out.append((some[a], rows_[b], np.einsum("ij,ij->i", q[some[a]], x[rows_[b]])))
         a, b = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in (0, 1))
         score = np.concatenate([o[2] for o in out]) if out else np.zeros(0)
-        # Of all leaves here each query keeps its best, with ties of the last; a row met in several trees counts once.
-        _, once = np.unique(a << 32 | b, return_index=True)
-        once = once[np.lexsort((-score[once], a[once]))]
-        starts = np.searchsorted(a[once], a[once], "left")
-        last = np.minimum(starts + k, np.searchsorted(a[once], a[once], "right") - 1)
-        once = once[score[once] >= score[once][last]] if len(once) else once
-        a, b, score = a[once], b[once], score[once]
         return pa.table({"key": visiting["key"].take(pa.array(a)), "ids": own["ids"].take(pa.array(b)),
                          "score": pa.array(score)})
 
