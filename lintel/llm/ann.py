@@ -8,6 +8,7 @@ them is ranked by the exact inner product.  Leaves and the queries that open the
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,9 @@ FIT_ROWS = 20_000
 TREES = 16
 #: Rows a leaf should hold; at least ``LEAST`` of the sample.
 LEAF, LEAST = 512, 8
-#: Leaves a query opens over all trees: its work does not grow with the table.
-OPENED = 96
+#: A query opens this share of all leaves, and so many at least.  The share is what keeps recall above
+#: 0.9 where vectors hardly cluster, at any size; where they do, less is enough.
+SHARE, OPENED = 0.04, 96
 SEED = 11
 
 
@@ -106,7 +108,8 @@ def fit(reps: DataFrame, rows: int = FIT_ROWS, trees: int = TREES, leaf: int = L
 
 
 def nearest_neighbours(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", vector: str = "embedding",
-                       rows: int = FIT_ROWS, trees: int = TREES, leaf: int = LEAF, opened: int = OPENED) -> DataFrame:
+                       rows: int = FIT_ROWS, trees: int = TREES, leaf: int = LEAF, opened: int = OPENED,
+                       share: float = SHARE) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row whose id is divisible by ``every`` its ``k`` nearest found.
 
     Nearness is the inner product in double precision, ties go to the smaller id.  Vectors that are
@@ -117,8 +120,11 @@ def nearest_neighbours(df: DataFrame, k: int = 20, every: int = 20, vec_id: str
     vectors = valid(df, vec_id, F.col(vector).cast("array<double>"), nonzero=True)
     reps = stored(representatives(vectors, k), "vectors")
     asked = stored(queries(vectors, reps, every), "queries")
-    sent = spark.sparkContext.broadcast(fit(reps, rows, trees, leaf))  # bounded by the fit sample
-    buckets = buckets_for(spark, reps.count() * trees, 20_000)
+    forest = fit(reps, rows, trees, leaf)
+    opened = max(opened, math.ceil(share * sum(t.leaves for t in forest)))
+    sent = spark.sparkContext.broadcast(forest)  # bounded by the fit sample
+    visited = asked.select("key").distinct().count() * opened
+    buckets = buckets_for(spark, reps.count() * trees + visited, 20_000)
     at = F.pmod(F.xxhash64("tree", "leaf"), F.lit(buckets)).alias("bucket")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -257,3 +257,15 @@ def test_forest_recall(spark):
         s[place[r.query_id]] = -np.inf
         hits += len(set(ids[np.argsort(-s)[:20]]) & set(r.ids))
     assert hits / (20 * len(found)) >= 0.9
+
+
+def test_forest_recall_where_few_leaves_of_many_are_opened(spark):
+    x = np.random.default_rng(9).standard_normal((20_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(8)
+    hits = n = 0
+    for r in ann.nearest_neighbours(df, every=200, leaf=32).groupBy("query_id").agg(F.collect_list("vec_id").alias("ids")).collect():
+        s = x @ x[r.query_id]
+        s[r.query_id] = -np.inf
+        hits, n = hits + len(set(np.argsort(-s)[:20].tolist()) & set(r.ids)), n + 20
+    assert n == 2_000 and hits / n >= 0.9
