@@ -43,22 +43,26 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def simhash(text: bytes, shingle: int = SHINGLE) -> int:
-    """The fingerprint of a text; 0 if it has no words."""
+def shingle_hashes(words: list[bytes], shingle: int) -> list[int]:
+    """XXH64 of each run of ``shingle`` words; of all words if there are fewer."""
     import xxhash
 
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return [digest(b" ".join(words), SEED)]
+    line = b" ".join(words)
+    starts = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=starts[1:])
+    ends = (starts[shingle:] - 1).tolist()
+    return [digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends)]
+
+
+def simhash(text: bytes, shingle: int = SHINGLE) -> int:
+    """The fingerprint of a text; 0 if it has no words."""
     words = text.lower().split()  # bytes: only A-Z are lowered, only ASCII white space separates
     if not words:
         return 0
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        hashes = [digest(b" ".join(words), SEED)]
-    else:
-        line = b" ".join(words)
-        starts = np.zeros(len(words) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=starts[1:])
-        ends = (starts[shingle:] - 1).tolist()
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends)]
+    hashes = shingle_hashes(words, shingle)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[at:at + (1 << 16)], "<u8")
@@ -168,9 +172,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of repeated rows one stays.
     """
     last = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    keep = (components(docs).groupBy("root").agg(F.min(F.struct(last.alias("o"), "text_hash")).alias("k"))
-            .select(F.col("k.o").alias("__o"), F.col("k.text_hash").alias("__text")))
-    rows = docs.withColumns({"__o": last, "__text": F.xxhash64("text")})
+    return rows_of(docs, components(docs).groupBy("root").agg(F.min(F.struct(last.alias("o"), "text_hash")).alias("first")))
+
+
+def rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``first``, a struct of id and text hash, names; of repeated rows one."""
+    keep = chosen.select(F.col("first.o").alias("__o"), F.col("first.text_hash").alias("__text"))
+    rows = docs.withColumns({"__o": F.coalesce(F.col("doc_id"), F.lit(NO_ID)), "__text": F.xxhash64("text")})
     return rows.join(keep, ["__o", "__text"], "left_semi").dropDuplicates(["__o", "__text"]).select(*docs.columns)
 
 
