@@ -329,6 +329,40 @@ def company_dossier(t):
         t.b_review, seals.engineer_client_map(index, t.b_party), leads(t, index=index))
 
 
+@query("company_dossier_whole", f"""with {_LEADS}, dossier_edges as (
+  select license_key, company_id, cast(sum(n) as bigint) as seals
+  from (select jurisdiction_id, record_number, license_key, count(*) as n from dated group by all)
+  join (select distinct jurisdiction_id, record_number, company_id from b_party where role <> 'engineer')
+    using (jurisdiction_id, record_number) group by license_key, company_id),
+own as (select distinct company_id, role, jurisdiction_id, record_number from b_party)
+select company_id, 'company' as section, canonical_name as item, phone as detail from b_company
+union all select company_id, 'license', concat(license_type, ' ', license_number), status from b_license
+union all select company_id, 'permits', role, cast(count(*) as varchar) from own join b_company using (company_id) group by all
+union all select company_id, 'fire reviews', status, cast(count(*) as varchar) from
+  (select distinct company_id, jurisdiction_id, record_number from own join b_company using (company_id))
+  join (select * from b_review where {_FIRE}) using (jurisdiction_id, record_number) group by company_id, status
+union all select company_id, 'sealing engineer', license_key, cast(seals as varchar) from dossier_edges join b_company using (company_id)
+union all select company_id, 'leads', cast(count(*) as varchar), cast(max(score) as varchar)
+  from scored_leads join b_company using (company_id) group by company_id
+union all select company_id, 'alias', holder_name, cast(count(*) as varchar) from b_license join b_company using (company_id)
+  group by company_id, holder_name
+union all select company_id, 'person', holder_name, concat(license_type, ' ', license_number) from b_license
+  join b_company using (company_id) where license_type in ('PE_FP', 'PE_OTHER')
+union all select company_id, 'permit', concat(jurisdiction_id, ' ', record_number), concat_ws(', ', role, status, description)
+  from own join b_company using (company_id) left join b_permit using (jurisdiction_id, record_number)
+union all select company_id, 'lead', concat_ws(' ', jurisdiction_id, record_number), cast(score as varchar)
+  from scored_leads join b_company using (company_id)""")
+def company_dossier_whole(t):
+    """With aliases and people as the licences of these tables name them."""
+    index = sl.dated(t)
+    values = (t.b_license.groupBy("company_id", F.lit("alias").alias("kind"), F.col("holder_name").alias("value"))
+              .agg(F.count(F.lit(1)).alias("seen")))
+    people = t.b_license.filter("license_type in ('PE_FP', 'PE_OTHER')").withColumnRenamed("holder_name", "raw_name")
+    return reports.company_dossier(
+        t.b_company.select(F.col("canonical_name").alias("name")), t.b_company, t.b_license, t.b_party, t.b_review,
+        seals.engineer_client_map(index, t.b_party), leads(t, index=index), values, people, t.b_permit)
+
+
 _BREAKDOWN = "concat_ws('; ', " + ", ".join(f"case when {p} <> 0 then concat('{p}=', {p}) end" for p in _P) + ")"
 
 

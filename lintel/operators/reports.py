@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,11 +79,15 @@ def digest_lines(run_date: date, hot: DataFrame, leads: DataFrame, targets: Data
 
 
 def company_dossier(names: DataFrame, company: DataFrame, licenses: DataFrame, parties: DataFrame,
-                    reviews: DataFrame, edges: DataFrame, leads: DataFrame) -> DataFrame:
+                    reviews: DataFrame, edges: DataFrame, leads: DataFrame, values: DataFrame | None = None,
+                    people: DataFrame | None = None, permits: DataFrame | None = None) -> DataFrame:
     """Everything known of the named companies, as (company, section, item, detail) rows.
 
     Each part is reduced on its own before it is shown, so one part never
     multiplies another; ``names`` is the handful of names asked for.
+
+    Rows of ``company_values`` add the aliases, linked ``people`` the people, and ``permits`` each
+    permit a company is on and each of its leads; without them there are only counts of these.
     """
     asked = names.select(normalize_company(F.col("name")).alias("normalized_key")).dropna().distinct()
     found = company.join(asked, "normalized_key", "left_semi")
@@ -100,7 +105,19 @@ def company_dossier(names: DataFrame, company: DataFrame, licenses: DataFrame, p
     statuses = seen.groupBy("company_id", "status").agg(F.count(F.lit(1)).alias("n"))
     scored = (leads.join(ids, "company_id", "left_semi").groupBy("company_id")
               .agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best")))
-    return (
+    place = F.concat_ws(" ", *PERMIT_KEY)
+    more = []
+    if values is not None:
+        more.append(rows(values.filter("kind = 'alias'").join(ids, "company_id", "left_semi"), "alias",
+                         F.col("value"), F.col("seen")))
+    if people is not None:
+        more.append(rows(people.join(ids, "company_id", "left_semi"), "person", F.col("raw_name"),
+                         F.concat_ws(" ", "license_type", "license_number")))
+    if permits is not None:
+        known = salted_lookup(own, permits.select(*PERMIT_KEY, "status", "description"), PERMIT_KEY, "left", hot=[])
+        more += [rows(known, "permit", place, F.concat_ws(", ", "role", "status", "description")),
+                 rows(leads.join(ids, "company_id", "left_semi"), "lead", place, F.col("score"))]
+    return reduce(DataFrame.unionByName, more, (
         rows(found, "company", F.col("canonical_name"), F.col("phone"))
         .unionByName(rows(licenses.join(ids, "company_id", "left_semi"), "license",
                           F.concat_ws(" ", "license_type", "license_number"), F.col("status")))
@@ -109,7 +126,7 @@ def company_dossier(names: DataFrame, company: DataFrame, licenses: DataFrame, p
         .unionByName(rows(edges.join(ids, "company_id", "left_semi"), "sealing engineer",
                           F.col("license_key"), F.col("seals")))
         .unionByName(rows(scored, "leads", F.col("n"), F.col("best")))
-    )
+    ))
 
 
 def export_flat(leads: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
