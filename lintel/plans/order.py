@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from lintel.session import stored
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
-    """``df`` with each row's place in ``order``, from 1.
+def numbered(df: DataFrame, order: list[Column], name: str = "place", kind: str = "int") -> DataFrame:
+    """``df`` with each row's place in ``order``, from 1, as ``kind`` (a table may have more rows than an int counts).
 
     Rows are sorted in ranges, numbered within a range and shifted by the sizes of the ranges before
     it; the sizes are one number per range.
@@ -23,7 +23,7 @@ def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFra
     for part in sorted(sizes):
         shifts.append((part, total))
         total += sizes[part]
-    before = spark.createDataFrame(shifts, "_range int, _before int")
+    before = spark.createDataFrame(shifts, "_range int, _before long")
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return (ranges.withColumn(name, inside).join(F.broadcast(before), "_range")
-            .withColumn(name, (F.col(name) + F.col("_before")).cast("int")).drop("_range", "_before"))
+            .withColumn(name, (F.col(name) + F.col("_before")).cast(kind)).drop("_range", "_before"))
