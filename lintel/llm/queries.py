@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lintel.llm import anchors, ann, bpe, katz, license_scan, mixing, simhash, suffixes, toxicity, vafile
+from lintel.llm import anchors, ann, bpe, importance, katz, leaks, license_scan, mixing, simhash, suffixes, toxicity, vafile
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_katz": katz.op10_katz,
+    "op11_decontaminate": leaks.op11_decontaminate,
+    "op12_importance": importance.op12_importance,
 }
 ORACLES = {
     "op2_substring_dedup": anchors.ORACLE,
@@ -22,4 +24,6 @@ ORACLES = {
     "op5_suffix_dedup": suffixes.ORACLE,
     "op6_topk": vafile.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op11_decontaminate": leaks.ORACLE,
+    "op12_importance": importance.ORACLE,
 }
