@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lintel.llm import anchors, ann, bpe, importance, katz, leaks, license_scan, mixing, simhash, suffixes, toxicity, vafile
+from lintel.llm import anchors, ann, bpe, importance, katz, leaks, license_scan, mixing, simhash, suffixes, toxicity, trie, vafile
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_katz": katz.op10_katz,
     "op11_decontaminate": leaks.op11_decontaminate,
     "op12_importance": importance.op12_importance,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
 ORACLES = {
     "op2_substring_dedup": anchors.ORACLE,
@@ -26,4 +27,5 @@ ORACLES = {
     "op8_mixing": mixing.ORACLE,
     "op11_decontaminate": leaks.ORACLE,
     "op12_importance": importance.ORACLE,
+    "op13_prefix_trie": trie.ORACLE,
 }
