@@ -65,7 +65,7 @@ def payloads(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     import ahocorasick
 
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    automaton = ahocorasick.Automaton()  # its own integers have 32 bits only
     for w in set(words):
         automaton.add_word(f" {w.decode('latin-1')} ", len(w) << 32 | zlib.crc32(w))
     automaton.make_automaton()
