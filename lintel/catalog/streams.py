@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lintel.catalog.bindings import SNAPSHOT_CUT
 from lintel.catalog.registry import query
-from lintel.catalog.reviews import _MOVES, _REJECTED
+from lintel.catalog.reviews import _ALL, _FIRE, _MOVES, _REJECTED
+from lintel.operators import reviews
 from lintel.schemas import FieldRule
-from lintel.session import scratch_path
+from lintel.session import scratch_path, stored
 from lintel.streaming import hot, ingest
 
 _CYCLE = "jurisdiction_id, record_number, cycle_number"
@@ -45,3 +47,30 @@ def hot_stream(t):
      .option("checkpointLocation", scratch_path(t.spark, "stream")).trigger(availableNow=True)
      .start().awaitTermination())
     return t.spark.read.parquet(out)
+
+
+#: The batch monitor as of the stream's last clock, without the cycles that had alerted before the cut.
+_CLOCK = f"(select cast(max(observed_at) as date) from b_review where {_FIRE})"
+_SEEDED = f"""
+with {_ALL.replace("date '2001-08-01'", _CLOCK)}, sent as (
+  select distinct {_CYCLE} from (select {_CYCLE}, signal_date from rejected union all select {_CYCLE}, signal_date from repeated)
+  where signal_date < date '{SNAPSHOT_CUT.isoformat()}')
+select {_CYCLE}, reason, department, status, signal_date, comment_text from picked anti join sent using ({_CYCLE})"""
+
+
+@query("hot_stream_seeded", _SEEDED)
+def hot_stream_seeded(t):
+    """All three rules, started over what the batch monitor has seen and sent before the cut."""
+    early = t.b_review.filter(F.col("status_date") < F.lit(SNAPSHOT_CUT))
+    late = t.b_review.filter(F.col("status_date") >= F.lit(SNAPSHOT_CUT))
+    sent = reviews.emit_hot([reviews.hot_rejections(reviews.status_transitions(early)), reviews.repeat_cycle(early)])
+    baseline = stored(reviews.turnaround_baseline(t.b_review), "baseline")
+    known = stored(hot.known_state(early, sent, baseline), "known")
+    landing, out = scratch_path(t.spark, "reviews"), scratch_path(t.spark, "alerts")
+    late.write.parquet(landing)
+    stream = t.spark.readStream.schema(late.schema).parquet(landing)
+    hot.use_rocksdb(t.spark)
+    (hot.hot_stream(stream, hot.RULES, known, baseline).writeStream.format("parquet").option("path", out)
+     .option("checkpointLocation", scratch_path(t.spark, "stream")).trigger(availableNow=True)
+     .start().awaitTermination())
+    return t.spark.read.parquet(out)

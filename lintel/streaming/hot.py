@@ -1,63 +1,122 @@
-"""HOT rejections on a stream of review rows, one alert per permit and cycle, ever."""
+"""HOT alerts on a stream of review rows, one per permit and review cycle, ever."""
 
 from __future__ import annotations
 
-import json
-import re
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from lintel.functions.patterns import ADVERSE_STATUS, is_fire_department
-from lintel.schemas import PERMIT_KEY
+from lintel.functions.patterns import is_adverse, is_fire_department, is_open_review
+from lintel.plans.skew import latest
+from lintel.schemas import PERMIT_KEY, REVIEW_KEY
 
 # Workers get this code with the task, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-COLUMNS = ["status_date", "observed_at", "department", "comment_text", "status", "cycle_number"]
 SIGNAL = ("jurisdiction_id int, record_number bigint, cycle_number int, reason string, "
           "department string, status string, signal_date date, comment_text string")
 KEYS = [*PERMIT_KEY, "cycle_number"]
-STATE = "cycles string"
+#: All rules of the monitor, strongest first; a stream follows those it is asked for.
+RULES = ("rejection", "repeat_cycle", "stalled")
+MIN_BASELINE = 20
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What is kept of a department's newest row.
+LAST = "adverse boolean, status string, status_date date, stalls_on date, comment_text string"
+_ROW = ["status_date", "observed_at", "comment_text", "due_date", "opened_on", "reviewer_name", "status",
+        "department", "cycle_number", "adverse", "stalls_on"]
+_KNOWN = ["cycle_number", "department", "sent", *(f.split()[0] for f in LAST.split(", "))]
+_DAY_MS = 86_400_000
+_EPOCH = date(1970, 1, 1)
 
 
-def _adverse(status: str | None) -> bool:
-    return bool(status) and re.search(ADVERSE_STATUS, status, re.IGNORECASE) is not None
+def _known(value):
+    return value is not None and value is not pd.NaT
 
 
-def watch_permit(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Follow one permit: per cycle whether it has alerted, per department its last status.
+class ReviewWatch(StatefulProcessor):
+    """Follows one permit: per review cycle the reason already sent, per cycle and department the newest row.
 
-    A row older than the department's stored status is late: it never alerts
-    and does not replace the newer status.
+    A row older than its department's newest is late: it never alerts and replaces nothing.
     """
-    cycles = json.loads(state.get[0]) if state.exists else {}
-    rows = sorted(row for batch in batches for row in zip(*(batch[c].tolist() for c in COLUMNS)))
-    found: dict[str, tuple] = {}
-    for day, _, department, comment, status, cycle in rows:
-        seen = cycles.setdefault(str(cycle), {"alerted": False, "last": {}})
-        before = seen["last"].get(department)
-        if before and str(day) < before[1]:
-            continue
-        if _adverse(status) and not (before and _adverse(before[0])) and not seen["alerted"]:
-            signal = (day, department, comment, status)
-            found[str(cycle)] = min(found.get(str(cycle), signal), signal)
-        seen["last"][department] = [status, str(day)]
-    for cycle in found:
-        cycles[cycle]["alerted"] = True
-    state.update((json.dumps(cycles),))
-    if found:
-        yield pd.DataFrame({
-            "jurisdiction_id": key[0], "record_number": key[1],
-            "cycle_number": [int(c) for c in found], "reason": "rejection",
-            "department": [f[1] for f in found.values()], "status": [f[3] for f in found.values()],
-            "signal_date": [f[0] for f in found.values()], "comment_text": [f[2] for f in found.values()]})
+
+    def __init__(self, rules: Sequence[str]):
+        self.rules = tuple(rules)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sent = handle.getMapState("sent", "cycle int", "reason string")
+        self.last = handle.getMapState("last", "cycle int, department string", LAST)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for cycle, department, reason, *row in zip(*(initialState[c].tolist() for c in _KNOWN)):
+            if _known(reason):
+                self.sent.updateValue((cycle,), (reason,))
+            else:
+                row = tuple(v if _known(v) else None for v in row)
+                self.last.updateValue((cycle, department), row)
+                self._wait(row)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, changed, found = dict(self.last.iterator()), {}, {}
+        for row in sorted(_tuples(rows), key=_order):
+            day, _, comment, _, _, _, status, department, cycle, adverse, stalls_on = row
+            before = last.get((cycle, department))
+            if before and day < before[2]:
+                continue
+            if "rejection" in self.rules and adverse and not (before and before[0]):
+                found.setdefault(cycle, []).append((1, day, department, comment, status))
+            if "repeat_cycle" in self.rules and cycle >= 2 and not before:
+                found.setdefault(cycle, []).append((2, day, department, comment, status))
+            last[cycle, department] = changed[cycle, department] = (adverse, status, day, stalls_on, comment)
+        for place, row in changed.items():
+            self.last.updateValue(place, row)
+            self._wait(row)
+        new = {cycle: min(signals) for cycle, signals in found.items() if not self.sent.containsKey((cycle,))}
+        if new:
+            yield self._alerts(key, new)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        today = _EPOCH + timedelta(days=timerValues.getCurrentWatermarkInMs() // _DAY_MS)
+        late: dict[int, tuple] = {}
+        for (cycle, department), row in self.last.iterator():
+            if row[3] is not None and row[3] <= today:
+                signal = (3, today, department, row[4], row[1])
+                late[cycle] = min(late.get(cycle, signal), signal)
+        new = {cycle: signal for cycle, signal in late.items() if not self.sent.containsKey((cycle,))}
+        if new:
+            yield self._alerts(key, new)
+
+    def close(self) -> None:
+        pass
+
+    def _wait(self, row: tuple) -> None:
+        if "stalled" in self.rules and row[3] is not None:
+            self.handle.registerTimer((row[3] - _EPOCH).days * _DAY_MS)
+
+    def _alerts(self, key: tuple, new: dict[int, tuple]) -> pd.DataFrame:
+        for cycle, signal in new.items():
+            self.sent.updateValue((cycle,), (RULES[signal[0] - 1],))
+        rank, day, department, comment, status = zip(*new.values())
+        return pd.DataFrame({
+            "jurisdiction_id": key[0], "record_number": key[1], "cycle_number": list(new), "reason": [RULES[r - 1] for r in rank],
+            "department": department, "status": status, "signal_date": day, "comment_text": comment})
+
+
+def _tuples(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    for batch in batches:
+        for row in zip(*(batch[c].tolist() for c in _ROW)):
+            yield tuple(v if _known(v) else None for v in row)
+
+
+def _order(row: tuple) -> tuple:
+    """The order of a review's rows; a missing value comes first, as in the batch monitor."""
+    return tuple((v is not None, v) if v is not None else (False,) for v in row[:7])
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -66,24 +125,72 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-def hot_stream(reviews: DataFrame) -> DataFrame:
-    """New rejection alerts of a review stream.
+def stalls_on(reviews: DataFrame, baseline: DataFrame | None) -> DataFrame:
+    """Add the first day on which an open review counts as stalled; null if it never does.
 
-    Only fire departments reach the state.  State is a few values per permit
-    and cycle and never expires.  A task sees at most one trigger's rows of a
-    permit; bound the trigger at the source with ``maxFilesPerTrigger``.  Keys
-    keep the types they come in.  Rows without a date have no place in the
-    order of a permit's reviews; ``undated`` gives them for the rejects.
+    The day after the due date; without one, the day on which its age goes beyond the local p90.
+    """
+    by_due = F.date_add("due_date", 1)
+    if baseline is None:
+        day, rows = by_due, reviews
+    else:
+        p90 = baseline.select("jurisdiction_id", F.col("p90_days").alias("_p90"), F.col("completed").alias("_completed"))
+        rows = reviews.join(p90, "jurisdiction_id", "left")
+        by_age = F.when(F.col("_completed") >= MIN_BASELINE, F.date_add("opened_on", (F.floor("_p90") + 1).cast("int")))
+        day = F.when(F.col("due_date").isNotNull(), by_due).otherwise(by_age)
+    return rows.withColumn("stalls_on", F.when(is_open_review(F.col("status")), day)).drop("_p90", "_completed")
+
+
+def _column(df: DataFrame, name: str, kind: str) -> Column:
+    """A column that a feed may leave out."""
+    return (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
+
+
+def _watched(reviews: DataFrame, baseline: DataFrame | None) -> DataFrame:
+    """Fire reviews that have a place in the order, with what the rules look at."""
+    text = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("department", "status", "comment_text")]
+    fire = (reviews.filter(F.col("status_date").isNotNull() & F.col("cycle_number").isNotNull())
+            .filter(is_fire_department(F.col("department")))
+            .select(*PERMIT_KEY, F.col("cycle_number").cast("int").alias("cycle_number"), "status_date", F.col("observed_at").cast("timestamp").alias("observed_at"), *text,
+                    _column(reviews, "due_date", "date"), _column(reviews, "opened_on", "date"),
+                    _column(reviews, "reviewer_name", "string")))
+    return stalls_on(fire, baseline).withColumn("adverse", F.coalesce(is_adverse(F.col("status")), F.lit(False)))
+
+
+def known_state(reviews: DataFrame, alerts: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    """What a new stream must know of the past: each review's newest row, and every cycle that has alerted."""
+    newest = latest(_watched(reviews, baseline), REVIEW_KEY, ["status_date", "observed_at"])
+    names = [f.split()[0] for f in LAST.split(", ")]
+    sent = alerts.select(*KEYS, F.lit(None).cast("string").alias("department"),
+                         *(F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in LAST.split(", ")),
+                         F.col("reason").alias("sent"))
+    return newest.select(*KEYS, "department", *names, F.lit(None).cast("string").alias("sent")).unionByName(sent)
+
+
+def hot_stream(reviews: DataFrame, rules: Sequence[str] = ("rejection",), known: DataFrame | None = None,
+               baseline: DataFrame | None = None, delay: str = "0 seconds") -> DataFrame:
+    """New alerts of a review stream: of a trigger's reasons the strongest, then the earliest.
+
+    ``rules`` are those of ``RULES`` to follow.  "stalled" fires by timer, when the watermark of ``observed_at`` less
+    ``delay`` reaches the day (UTC) on which an open review becomes stalled; rows behind the watermark are still
+    followed.  ``known`` is the past, see ``known_state``: without it what has been alerted before is alerted again.
+
+    Only fire departments reach the state.  State is one reason per cycle and a few values per cycle and
+    department; it never expires.  A task sees at most one trigger's rows of a permit; bound the trigger at the source with
+    ``maxFilesPerTrigger``.  Keys keep the types they come in.  Rows without a date have no place in
+    the order of a permit's reviews; ``undated`` gives them for the rejects.
     """
-    text = ["department", "status", "comment_text"]
-    signal = ", ".join(f"{c} {reviews.schema[c].dataType.simpleString()}" if c in KEYS else f"{c} {kind}"
+    signal = ", ".join(f"{c} {reviews.schema[c].dataType.simpleString()}" if c in PERMIT_KEY else f"{c} {kind}"
                        for c, kind in (x.split() for x in SIGNAL.split(", ")))
-    dated = reviews.filter(F.col("status_date").isNotNull() & F.col("cycle_number").isNotNull())
-    fire = dated.filter(is_fire_department(F.col("department"))).select(
-        *PERMIT_KEY, "cycle_number", "status_date", "observed_at",
-        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in text])
-    return fire.groupBy(*PERMIT_KEY).applyInPandasWithState(
-        watch_permit, signal, STATE, "append", "NoTimeout")
+    rows = _watched(reviews, baseline)
+    timed = "stalled" in rules
+    if timed:  # the clock is a column of its own, so that rows behind it are not taken for late ones
+        rows = rows.withColumn("_clock", F.col("observed_at")).withWatermark("_clock", delay).drop("_clock")
+    if known is not None:
+        kinds = {f.name: f.dataType for f in rows.schema.fields}
+        known = known.select(*(F.col(c).cast(kinds[c]).alias(c) if c in KEYS else F.col(c) for c in known.columns)).groupBy(*PERMIT_KEY)
+    return rows.groupBy(*PERMIT_KEY).transformWithStateInPandas(
+        ReviewWatch(rules), signal, "append", "EventTime" if timed else "None", known)
 
 
 def undated(reviews: DataFrame) -> DataFrame:
