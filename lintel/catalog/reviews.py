@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from lintel.catalog.bindings import AS_OF, SNAPSHOT_CUT
 from lintel.catalog.registry import query
 from lintel.operators import reviews
-from lintel.session import stored
+from lintel.plans import jobs
+from lintel.session import scratch_path, stored
 
 _KEY = "jurisdiction_id, record_number, cycle_number, department"
 _CYCLE = "jurisdiction_id, record_number, cycle_number"
@@ -144,6 +145,22 @@ def emit_hot_with_history(t):
             .withColumn("reasons", F.array_join("reasons", ",")))
 
 
+_EARLIER = _ALL.replace("b_review", "e_review").replace("2001-08-01", _CUT)
+
+
+@query("monitor_run", f"""
+with {_ALL}, sent as (
+  with e_review as (select * from b_review where status_date < date '{_CUT}'), {_EARLIER}
+  select {_CYCLE} from picked)
+select p.* from picked p anti join sent using ({_CYCLE})""")
+def monitor_run(t):
+    """The second of two days, and the second day again: what the first has sent is not sent again."""
+    path = scratch_path(t.spark, "alerts")
+    jobs.monitor_run(t.b_review.filter(F.col("status_date") < F.lit(SNAPSHOT_CUT)), SNAPSHOT_CUT, path)
+    jobs.monitor_run(t.b_review, AS_OF, path)
+    return jobs.monitor_run(t.b_review, AS_OF, path).withColumn("reasons", F.array_join("reasons", ","))
+
+
 @query("permit_review_status", f"""
 select jurisdiction_id, record_number, status as fire_status, status_date as fire_status_date, fire_cycles,
   last_adverse_on from (

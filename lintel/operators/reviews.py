@@ -164,8 +164,11 @@ def emit_hot(signals: Sequence[DataFrame], history: DataFrame | None = None,
     for more in signals[1:]:
         merged = merged.unionByName(more)
     picked = pick_signals(merged)
-    if history is None:
-        return picked
+    return picked if history is None else not_sent(picked, history, allow_escalation)
+
+
+def not_sent(picked: DataFrame, history: DataFrame, allow_escalation: bool = False) -> DataFrame:
+    """The picked signals that ``history`` does not hold yet."""
     sent = history.groupBy(*CYCLE_KEY).agg(F.min(_rank(F.col("reason"))).alias("_sent"))
     if not allow_escalation:
         return picked.join(sent, CYCLE_KEY, "left_anti")
@@ -176,14 +179,17 @@ def emit_hot(signals: Sequence[DataFrame], history: DataFrame | None = None,
 
 def update_history(history: DataFrame, picked: DataFrame) -> DataFrame:
     """History after a run: new alerts added, later reasons folded into old ones."""
-    both = (history.withColumn("_old", F.lit(0))
-            .unionByName(picked.withColumn("_old", F.lit(1))))
-    first = F.min(F.struct("_old", "signal_date"))
-    best = F.min(F.struct(_rank(F.col("reason")).alias("rank"), "_old", "signal_date", "department",
+    return fold_runs(history.withColumn("run", F.lit(0)).unionByName(picked.withColumn("run", F.lit(1))), "run")
+
+
+def fold_runs(signals: DataFrame, run: str) -> DataFrame:
+    """One row per cycle over the signals of many runs: the strongest reason, the date of the first run's, all reasons."""
+    first = F.min(F.struct(run, "signal_date"))
+    best = F.min(F.struct(_rank(F.col("reason")).alias("rank"), run, "signal_date", "department",
                           "comment_text", "status", "reason"))
     reasons = F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons"))))
     return (
-        both.groupBy(*CYCLE_KEY)
+        signals.groupBy(*CYCLE_KEY)
         .agg(best.alias("b"), first.alias("f"), reasons.alias("reasons"))
         .select(*CYCLE_KEY, "b.reason", "b.department", "b.status", "f.signal_date",
                 "b.comment_text", "reasons")

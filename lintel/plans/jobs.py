@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.operators import capability, filters, history, reports, resolve, reviews, scoring, seals
 from lintel.operators.validate import RowCountCheck, validate
 from lintel.schemas import PERMIT_KEY, PERMIT_RULES, FieldRule
-from lintel.session import stored
+from lintel.session import exists, stored
 
 
 def harvest(landed: DataFrame, path: str, batch: str, rules: Sequence[FieldRule] = PERMIT_RULES,
@@ -36,6 +36,34 @@ def monitor(snapshots: DataFrame, as_of: date, alerts: DataFrame | None = None)
     return stored(reviews.hot_signals(snapshots, as_of, alerts), "hot")
 
 
+def alert_history(spark: SparkSession, path: str, before: date | None = None) -> DataFrame | None:
+    """Every cycle that the runs kept at ``path`` have alerted, None if there are none.
+
+    ``before`` leaves out later runs.
+    """
+    if not exists(spark, path):
+        return None
+    runs = spark.read.parquet(path).withColumn("run_date", F.col("run_date").cast("date"))
+    if before is not None:
+        runs = runs.filter(F.col("run_date") < F.lit(before))
+    return reviews.fold_runs(runs, "run_date")
+
+
+def monitor_run(snapshots: DataFrame, as_of: date, path: str) -> DataFrame:
+    """The monitor of one day, with the history of alerts kept at ``path``: returns the new alerts.
+
+    A run adds its signals as its own partition, those already sent included, whose reasons are folded into the history.
+    Nothing before is written again, and a run that is repeated replaces its own partition and
+    looks only at runs before it, so it gives the same alerts again and none twice.
+    """
+    spark = snapshots.sparkSession
+    before = alert_history(spark, path, as_of)
+    picked = stored(reviews.hot_signals(snapshots, as_of), "picked")
+    new = picked if before is None else stored(reviews.not_sent(picked, before), "new-alerts")
+    picked.write.mode("overwrite").parquet(f"{path}/run_date={as_of.isoformat()}")
+    return new
+
+
 def target_firms(companies: DataFrame, licenses: DataFrame, parties: DataFrame, permits: DataFrame,
                  as_of: date, coverage: DataFrame, registries: Sequence[str],
                  jurisdictions: DataFrame | None = None, county: str | None = None) -> DataFrame:

@@ -75,3 +75,9 @@ def clean_run(spark: SparkSession) -> None:
     """Remove what this application has stored; call it when its results have been written elsewhere."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something lies at ``path``, in whichever store it names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

@@ -182,6 +182,7 @@ def hot_stream(reviews: DataFrame, rules: Sequence[str] = ("rejection",), known:
     """
     signal = ", ".join(f"{c} {reviews.schema[c].dataType.simpleString()}" if c in PERMIT_KEY else f"{c} {kind}"
                        for c, kind in (x.split() for x in SIGNAL.split(", ")))
+    use_rocksdb(reviews.sparkSession)  # no other store holds several kinds of state
     rows = _watched(reviews, baseline)
     timed = "stalled" in rules
     if timed:  # the clock is a column of its own, so that rows behind it are not taken for late ones

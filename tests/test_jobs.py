@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lintel.config import load_weights
 from lintel.operators import capability, history, reports, resolve, reviews, scoring, seals
 from lintel.operators.validate import RowCountCheck, assert_nonempty, validate
+from lintel.plans import jobs
 from lintel.schemas import TABLES, FieldRule
 from lintel.session import scratch_path, stored
 from lintel.sources import extracts, sinks
@@ -334,6 +335,73 @@ def test_hot_stream_alerts_once(spark):
         spark.conf.unset("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled")
 
 
+def streamed(spark, landing, out, ckpt, **how):
+    hot.use_rocksdb(spark)
+    try:
+        stream = spark.readStream.schema(REVIEW).parquet(landing)
+        (hot.hot_stream(stream, hot.RULES, **how).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination())
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        spark.conf.unset("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled")
+    return tuples(spark.read.schema(hot.SIGNAL).parquet(out), "record_number", "cycle_number", "reason", "comment_text")
+
+
+def test_hot_stream_goes_on_from_history(spark):
+    landing, out, ckpt = (scratch_path(spark, x) for x in ("land", "out", "ckpt"))
+    past = spark.createDataFrame([
+        review("Rejected", 1, comment="sent"), review("Rejected", 1, permit=8, comment="known, not sent"),
+        review("In Review", 1, permit=9, comment="open"), review("Approved", 1, cycle=2, permit=10)], REVIEW)
+    sent = spark.createDataFrame([(1, 7, 1, "rejection")], "jurisdiction_id int, record_number long, cycle_number int, reason string")
+    known = stored(hot.known_state(past, sent), "known")
+    land(spark, landing, [
+        review("Approved", 2), review("Rejected", 3, comment="cycle has alerted"),
+        review("Denied", 2, permit=8, comment="was adverse already"), review("Rejected", 2, permit=9, comment="new"),
+        review("In Review", 2, cycle=2, permit=10, comment="second cycle known"), review("In Review", 2, cycle=3, permit=10, comment="third")])
+    want = [(9, 1, "rejection", "new"), (10, 3, "repeat_cycle", "third")]
+    assert streamed(spark, landing, out, ckpt, known=known) == sorted(want, key=repr)
+    assert streamed(spark, landing, out, ckpt, known=known) == sorted(want, key=repr)  # again from the checkpoint
+    land(spark, landing, [review("Denied", 9, permit=9), review("Rejected", 9, cycle=3, permit=10)])
+    assert streamed(spark, landing, out, ckpt, known=known) == sorted(want, key=repr)
+
+
+def test_hot_stream_stalls_by_timer(spark):
+    landing, out, ckpt = (scratch_path(spark, x) for x in ("land", "out", "ckpt"))
+    baseline = spark.createDataFrame([(1, 4.0, 5.5, 20)], "jurisdiction_id int, p50_days double, p90_days double, completed long")
+    known = stored(hot.known_state(
+        spark.createDataFrame([review("In Review", 1, permit=6, due=date(2026, 6, 4), comment="waits since")], REVIEW),
+        spark.createDataFrame([], "jurisdiction_id int, record_number long, cycle_number int, reason string"), baseline), "known")
+    land(spark, landing, [
+        review("In Review", 1, due=date(2026, 6, 8), comment="due"), review("In Review", 1, permit=8, opened=date(2026, 6, 3), comment="old"),
+        review("In Review", 1, permit=9, due=date(2026, 6, 2), comment="closed later"), review("Approved", 3, permit=9),
+        review("In Review", 1, permit=10, comment="no date")])
+    how = {"known": known, "baseline": baseline}
+    assert streamed(spark, landing, out, ckpt, **how) == []
+    land(spark, landing, [review("Approved", 8, permit=50)])  # the clock stands at the 8th
+    assert streamed(spark, landing, out, ckpt, **how) == [(6, 1, "stalled", "waits since")]
+    # a row behind the clock is followed, and keeps its review from stalling
+    land(spark, landing, [review("Approved", 5, permit=8), review("Rejected", 2, permit=60, comment="behind"), review("Approved", 9, permit=50)])
+    want = [(6, 1, "stalled", "waits since"), (60, 1, "rejection", "behind"), (7, 1, "stalled", "due")]
+    assert streamed(spark, landing, out, ckpt, **how) == want
+    assert tuples(spark.read.parquet(out).filter("record_number = 7"), "signal_date") == [(date(2026, 6, 9),)]
+    land(spark, landing, [review("Rejected", 20, comment="stalled before"), review("Approved", 25, permit=50)])
+    assert streamed(spark, landing, out, ckpt, **how) == want
+
+
+def test_monitor_run_keeps_history(spark):
+    path = scratch_path(spark, "alerts")
+    day = lambda n, *rows: tuples(jobs.monitor_run(spark.createDataFrame(list(rows), REVIEW), date(2026, 6, n), path), "record_number", "cycle_number", "reason")
+    first = [review("In Review", 1), review("In Review", 1, permit=8, due=date(2026, 6, 3))]
+    assert day(4, *first) == [(8, 1, "stalled")]
+    second = [*first, review("Rejected", 5, permit=8), review("Rejected", 5)]
+    assert day(6, *second) == [(7, 1, "rejection")]
+    assert day(6, *second) == [(7, 1, "rejection")]  # repeated, the same again
+    assert day(7, *second) == []
+    kept = jobs.alert_history(spark, path)
+    assert tuples(kept, "record_number", "reason", "signal_date", "reasons") == [
+        (7, "rejection", date(2026, 6, 5), ["rejection"]), (8, "rejection", date(2026, 6, 4), ["rejection", "stalled"])]
+
+
 def test_hot_stream_text_keys_and_missing_dates(spark):
     landing, out, ckpt = (scratch_path(spark, x) for x in ("land", "out", "ckpt"))
     rows = spark.createDataFrame([review("Rejected", 4, comment="one"), review("Rejected", 5, permit=8)], REVIEW)
