@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lintel.catalog.registry import query
 from lintel.operators import resolve
+from lintel.plans.similar import similar_pairs
+from lintel.session import ensure_checkpoint_dir
 
 _KEY = """nullif(trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(
     upper(raw_name), '[&/-]', ' ', 'g'), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g')),
@@ -122,32 +124,46 @@ def match_name(t):
 with recursive {_MEMBERS}, {_SCORED} select left_key, right_key, shared_phone, shared_address from scored
 where score >= 85""")
 def candidate_pairs(t):
-    pairs = resolve.score_pairs(resolve.candidate_pairs(_keyed(t)))
-    return pairs.filter(F.col("score") >= resolve.REVIEW_SCORE).drop("score")
+    return resolve.candidate_pairs(_keyed(t)).drop("score")
 
 
 @query("candidate_pairs_by_signature", f"""
 with recursive {_MEMBERS}, {_SCORED} select left_key, right_key, shared_phone, shared_address from scored
 where score >= 85""")
 def candidate_pairs_by_signature(t):
-    pairs = resolve.score_pairs(resolve.candidate_pairs(_keyed(t), small_block=1))
-    return pairs.filter(F.col("score") >= resolve.REVIEW_SCORE).drop("score")
+    return similar_pairs(resolve.name_contacts(_keyed(t)), small_block=1).drop("score")
 
 
 @query("token_set_ratio", f"""
 with recursive {_MEMBERS}, {_SCORED} select left_key, right_key, round(score, 6) as score from scored
 where score >= 85""")
 def token_set_ratio(t):
-    pairs = resolve.score_pairs(resolve.candidate_pairs(_keyed(t)))
-    return (pairs.filter(F.col("score") >= resolve.REVIEW_SCORE)
-            .select("left_key", "right_key", F.round("score", 6).alias("score")))
+    return resolve.candidate_pairs(_keyed(t)).select("left_key", "right_key", F.round("score", 6).alias("score"))
+
+
+_FIRST_LAST = _SCORED.replace("from contacts a join contacts b on a.kind = b.kind and a.contact = b.contact and a.name < b.name", """
+  from contacts b join (select kind, contact, min(name) as name from contacts group by all
+    union select kind, contact, max(name) from contacts group by all) a
+  on a.kind = b.kind and a.contact = b.contact and a.name <> b.name""")
+
+
+@query("token_set_ratio_any", f"""
+with recursive {_MEMBERS}, {_FIRST_LAST} select left_key, right_key, round(score, 6) as score from scored""")
+def token_set_ratio_any(t):
+    """Scores of any height: every name against the first and the last that shares its phone or address."""
+    ensure_checkpoint_dir(t.spark)
+    contacts = resolve.name_contacts(_keyed(t)).checkpoint()
+    ends = contacts.groupBy("kind", "contact").agg(F.array(F.min("name"), F.max("name")).alias("e"))
+    pairs = (contacts.join(ends.select("kind", "contact", F.explode("e").alias("left_key")), ["kind", "contact"])
+             .filter("left_key <> name").select("left_key", F.col("name").alias("right_key")).distinct())
+    return resolve.score_pairs(pairs).withColumn("score", F.round("score", 6))
 
 
 @query("resolve_merges", f"""
 with recursive {_MEMBERS}, {_SCORED} select left_key, right_key, shared_phone, shared_address from scored
 where score >= 92""")
 def resolve_merges(t):
-    merges, _ = resolve.resolve_pairs(resolve.score_pairs(resolve.candidate_pairs(_keyed(t))))
+    merges, _ = resolve.resolve_pairs(resolve.candidate_pairs(_keyed(t)))
     return merges.select("left_key", "right_key", "shared_phone", "shared_address")
 
 
@@ -155,7 +171,7 @@ def resolve_merges(t):
 with recursive {_MEMBERS}, {_SCORED} select left_key, right_key, shared_phone, shared_address,
   'similar, below merge score' as reason from scored where score >= 85 and score < 92""")
 def review_queue(t):
-    _, queue = resolve.resolve_pairs(resolve.score_pairs(resolve.candidate_pairs(_keyed(t))))
+    _, queue = resolve.resolve_pairs(resolve.candidate_pairs(_keyed(t)))
     return queue.select("left_key", "right_key", "shared_phone", "shared_address", "reason")
 
 
@@ -248,7 +264,7 @@ with recursive {_MEMBERS}, {_SCORED} select left_key, right_key, 'decided' as de
 where score >= 85 and score < 92 and shared_phone
 union all select left_key, right_key, 'review' from scored where score >= 85 and score < 92 and not shared_phone""")
 def review_queue_append(t):
-    _, queue = resolve.resolve_pairs(resolve.score_pairs(resolve.candidate_pairs(_keyed(t))))
+    _, queue = resolve.resolve_pairs(resolve.candidate_pairs(_keyed(t)))
     slim = queue.select("left_key", "right_key", "decision", "shared_phone")
     held = slim.filter("shared_phone").drop("shared_phone").withColumn("decision", F.lit("decided"))
     return resolve.review_queue_append(held, slim.drop("shared_phone"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lintel.functions import names as N
 from lintel.functions.similarity import token_set_ratio
 from lintel.plans.components import connected_components
-from lintel.plans.similar import FLOOR, SMALL_BLOCK, block_pairs
+from lintel.plans.similar import FLOOR, similar_pairs
 from lintel.plans.skew import salted_lookup
 from lintel.session import stored
 
@@ -64,12 +64,13 @@ def name_contacts(members: DataFrame) -> DataFrame:
             .select("name", "s.kind", "s.contact").dropna().distinct())
 
 
-def candidate_pairs(members: DataFrame, small_block: int = SMALL_BLOCK) -> DataFrame:
-    """Distinct name pairs that share a phone or an address and may be similar enough."""
-    return block_pairs(name_contacts(members), small_block)
+def candidate_pairs(members: DataFrame) -> DataFrame:
+    """Every pair of distinct names that shares a phone or an address and reaches the review score, with its score."""
+    return similar_pairs(name_contacts(members))
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
+    """Scores of pairs that the caller brings."""
     return pairs.withColumn("score", token_set_ratio("left_key", "right_key"))
 
 
@@ -112,7 +113,7 @@ def cluster(members: DataFrame, edges: DataFrame) -> DataFrame:
 def resolve_members(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members with keys and company id, and the review queue."""
     keyed = stored(normalize_members(members), "keyed")
-    merges, queue = resolve_pairs(score_pairs(candidate_pairs(keyed)))
+    merges, queue = resolve_pairs(candidate_pairs(keyed))
     edges = match_license(keyed).unionByName(match_name(keyed)).unionByName(merge_edges(keyed, merges))
     return keyed.join(cluster(keyed, edges), "member_id"), queue
 

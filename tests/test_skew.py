@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lintel.functions.similarity import common_subsequence, token_set_score
+from lintel.functions.similarity import common_subsequence, token_set_score, token_set_scores
 from lintel.operators import resolve
 from lintel.plans import components, skew
-from lintel.plans.similar import block_pairs
+from lintel.session import stored
+from lintel.plans.similar import checked, met_pairs, similar_pairs, undecided
 
 
 def rows(df):
@@ -114,13 +115,30 @@ def test_signatures_find_every_similar_pair(spark, seed):
     names = some_names(150, seed)
     contacts = spark.createDataFrame([(n, "phone", "1") for n in names] + [(names[0], "address", "z"), (names[1], "address", "z")],
                                      "name string, kind string, contact string")
-    wanted = {(a, b) for i, a in enumerate(names) for b in names[i + 1:] if token_set_score(a, b) >= 85}
-    by_signature = block_pairs(contacts, small_block=1)
-    found = {(r.left_key, r.right_key) for r in by_signature.collect()}
-    assert wanted and wanted <= found
-    assert all(a < b for a, b in found)
-    direct = {(r.left_key, r.right_key) for r in block_pairs(contacts, small_block=1000).collect()}
-    assert len(direct) == len(names) * (len(names) - 1) // 2
+    wanted = {(a, b): token_set_score(a, b) for i, a in enumerate(names) for b in names[i + 1:] if token_set_score(a, b) >= 85}
+    for small_block in (1, 1000):  # by signatures, directly: the same pairs and scores
+        found = {(r.left_key, r.right_key): r.score for r in similar_pairs(contacts, small_block).collect()}
+        assert wanted and found == wanted
+
+
+def test_crowded_contact_gives_few_pairs_to_score(spark):
+    rng = random.Random(3)
+    syllables = [a + b for a in "BCDFGKLMNPRST" for b in "AEIOU"]
+    names = {" ".join("".join(rng.choices(syllables, k=rng.randint(2, 4))) for _ in range(rng.randint(2, 4))) for _ in range(3_600)}
+    names |= {n[:3] + n[4:] for n in rng.sample(sorted(names), 400)}
+    contacts = spark.createDataFrame([(n, "phone", "1") for n in names], "name string, kind string, contact string")
+    met = stored(met_pairs(contacts), "met")
+    found = checked(met).count()
+    to_score = undecided(met).filter("by_letters").count()
+    assert 300 < found <= to_score < 10 * found
+
+
+def test_scores_at_once_are_scores_one_by_one():
+    rng = random.Random(5)
+    names = [None, "", " ", "A", "É" * 70, *(" ".join("".join(rng.choices("ABCÉ🙂", k=rng.randint(1, 30))) for _ in range(rng.randint(1, 5))) for _ in range(200))]
+    left, right = rng.choices(names, k=3_000), rng.choices(names, k=3_000)
+    assert token_set_scores(left, right).tolist() == [token_set_score(a, b) for a, b in zip(left, right)]
+    assert token_set_scores([], []).tolist() == []
 
 
 def slow_lcs(a, b):
