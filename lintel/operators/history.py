@@ -32,12 +32,16 @@ def merge_batch(current: DataFrame, batch: DataFrame, key: Sequence[str],
 
     Replaying a batch changes nothing, so a re-run after a failure is safe.
     """
-    key, order = list(key), list(order)
     landed = batch.withColumns({"first_seen_at": F.col(seen), "last_seen_at": F.col(seen)})
-    both = current.unionByName(landed)
-    rest = sorted(c for c in batch.columns if c not in key and c not in order)
+    return fold_seen(current.unionByName(landed), key, order)
+
+
+def fold_seen(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Latest row per key of rows that carry ``first_seen_at`` and ``last_seen_at``."""
+    key, order, times = list(key), list(order), ("first_seen_at", "last_seen_at")
+    rest = sorted(c for c in rows.columns if c not in key and c not in order and c not in times)
     return (
-        both.groupBy(*key)
+        rows.groupBy(*key)
         .agg(F.max(F.struct(*order, *rest)).alias("_row"),
              F.min("first_seen_at").alias("first_seen_at"),
              F.max("last_seen_at").alias("last_seen_at"))

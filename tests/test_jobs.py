@@ -3,12 +3,14 @@
 import json
 import os
 from datetime import date, datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from lintel.config import load_weights
 from lintel.operators import capability, history, reports, resolve, reviews, scoring, seals
+from lintel.operators.state import manifest, merge_into_state, read_state, unused_versions
 from lintel.operators.validate import RowCountCheck, assert_nonempty, validate
 from lintel.plans import jobs
 from lintel.schemas import TABLES, FieldRule
@@ -467,6 +469,60 @@ def test_ingest_stream_in_two_runs(spark):
     assert spark.read.parquet(f"{table}/base").count() == 2
 
 
+def test_ingest_keeps_broken_lines_and_counts_a_file_once(spark, tmp_path):
+    landing, table, ckpt, target = tmp_path / "land", *(scratch_path(spark, x) for x in ("table", "ckpt", "state"))
+    schema = "jurisdiction_id string, record_number string, record_type string, status string, applied_date string, valuation string, square_footage string"
+    good = lambda n, status: json.dumps({"jurisdiction_id": 1, "record_number": n, "record_type": "t", "status": status,
+                                         "applied_date": "2026-01-01", "valuation": 12.5, "extra": {"a": [1, None]}})
+
+    def run(folder, name, *lines):
+        (landing / folder).mkdir(parents=True, exist_ok=True)
+        (landing / folder / name).write_text("\n".join(lines) + "\n")
+        ingest.permit_ingest_stream(spark, str(landing), schema, table, ckpt).awaitTermination()
+        written = ingest.fold(spark, table, target, buckets=1000)
+        accepted = tuples(spark.read.parquet(f"{table}/accepted"), "record_number", "status")
+        return accepted, tuples(spark.read.parquet(f"{table}/rejected"), "line"), len(written)
+
+    broken = ['{"record_number": "B", "sta', "[1, 2]", "5", good("", "Open")]
+    want = [("A", "Open"), ("C", "Open")], [(b,) for b in sorted(broken, key=lambda b: repr((b,)))]
+    assert run("one", "a.json", good("A", "Open"), "", good("C", "Open"), *broken) == (*want, 2)
+    assert run("two", "a.json", good("A", "Open"), good("C", "Open"), *broken) == (*want, 0)  # the same file again
+    assert run("two", "b.json", good("A", "Closed")) == ([("A", "Closed"), *want[0]], want[1], 1)
+    kept = read_state(spark, target)
+    assert tuples(kept, "record_number", "status", "valuation") == [("A", "Closed", Decimal("12.50")), ("C", "Open", Decimal("12.50"))]
+    assert {json.loads(r.raw_payload)["extra"]["a"][0] for r in kept.collect()} == {1}
+    assert tuples(ingest.current_permits(spark, table), "record_number", "status", "raw_payload") == tuples(kept, "record_number", "status", "raw_payload")
+    rejected = spark.read.parquet(f"{table}/rejected")
+    assert tuples(rejected.filter("payload is not null and reject_reasons[0] like 'record%'").select(
+        F.try_variant_get("payload", "$.valuation", "double").alias("v"), F.col("reject_reasons")[0].alias("r")), "v", "r") == [(12.5, "record_number:missing")]
+
+
+def test_state_batches_touch_only_their_buckets(spark):
+    path, at = scratch_path(spark, "state"), lambda n: datetime(2026, 7, n)
+    batch = lambda n, ids, mark: spark.createDataFrame([(i, mark, at(n)) for i in ids], "k long, status string, observed_at timestamp")
+    assert read_state(spark, path) is None
+    assert len(merge_into_state(batch(1, range(5_000), "new"), path, ["k"], 1, buckets=100)) == 100
+    before = manifest(spark, path)
+    assert merge_into_state(batch(2, [7], "seen"), path, ["k"], 2) == [b for b, v in manifest(spark, path).items() if v == 2]
+    assert sum(a != b for a, b in zip(before.values(), manifest(spark, path).values())) == 1  # 1 of 100, on 100 buckets as begun
+    assert [(r.version, r.bucket) for r in unused_versions(spark, path).collect()] == [(1, b) for b, v in manifest(spark, path).items() if v == 2]
+    state = read_state(spark, path)
+    assert state.count() == 5_000
+    assert tuples(state.filter("k in (7, 8)"), "k", "status", "first_seen_at", "last_seen_at") == [(7, "seen", at(1), at(2)), (8, "new", at(1), at(1))]
+    # an older row widens what has been seen and replaces nothing; a batch the state holds changes nothing
+    merge_into_state(batch(1, [7, 9_000], "late"), path, ["k"], 3)
+    assert merge_into_state(batch(9, [7], "again"), path, ["k"], 3) == []
+    # a run that fails while it writes leaves the state as it was
+    failing = batch(5, range(50), "lost").withColumn("status", F.when(F.col("k") == 49, F.raise_error(F.lit("boom"))).otherwise(F.col("status")))
+    with pytest.raises(Exception, match="boom"):
+        merge_into_state(failing, path, ["k"], 4)
+    half = batch(5, range(50), "lost").withColumns({"first_seen_at": F.col("observed_at"), "last_seen_at": F.col("observed_at"), "bucket": F.lit(3)})
+    half.write.partitionBy("bucket").parquet(f"{path}/data/version=4")  # files, but no manifest
+    assert tuples(read_state(spark, path).filter("k in (7, 9000) or status = 'lost'"), "k", "status") == [(7, "seen"), (9_000, "late")]
+    merge_into_state(batch(5, [9_000], "next"), path, ["k"], 4)
+    assert tuples(read_state(spark, path).filter("status in ('lost', 'next')"), "k") == [(9_000,)]
+
+
 def test_snapshot_batches_stand_side_by_side(spark):
     path = scratch_path(spark, "snapshots")
     at = datetime(2026, 7, 1, 9)
