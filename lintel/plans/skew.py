@@ -47,9 +47,10 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> Ho
                       (F.spark_partition_id() % MERGERS).alias("merger"))
     sketches = codes.groupBy("merger").agg(
         F.expr(f"approx_top_k_accumulate(code, {TRACKED_ITEMS})").alias("sketch"))
-    top = sketches.agg(F.expr(
-        f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED_ITEMS}), {HOT_KEYS})")).first()[0]
-    return [(t["item"], -(-t["count"] // min_rows) + 1) for t in top or [] if t["count"] >= min_rows]
+    # grouped, as an empty table has no sketch to combine
+    top = sketches.groupBy(F.lit(0).alias("all")).agg(F.expr(
+        f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED_ITEMS}), {HOT_KEYS})").alias("top")).first()
+    return [(t["item"], -(-t["count"] // min_rows) + 1) for t in (top["top"] if top else []) if t["count"] >= min_rows]
 
 
 def _spread(df: DataFrame) -> Column:

@@ -18,6 +18,12 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
+def test_no_hot_keys_in_an_empty_table(spark):
+    none = spark.createDataFrame([], "k int, v int")
+    assert skew.hot_keys(none, ["k"]) == []
+    assert skew.salted_lookup(none, none, ["k"]).count() == 0
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_lookup(spark, how):
     rng = random.Random(3)
