@@ -228,6 +228,30 @@ def bpe_decode(encoded: DataFrame, spec_path: str, ids: str = "ids", text: str =
     return encoded.select(*kept).mapInArrow(decode, f"{fields}, `{text}` string")
 
 
+def bpe_round_trip(docs: DataFrame, spec_path: str, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` plus ``n_tokens, ids, same_text``: the ids, and whether they decode to the text.
+
+    One pass: a text is encoded, decoded and compared a piece of a batch at a time, and goes no further.  A null text is empty.
+    """
+    spec = docs.sparkSession.sparkContext.broadcast(Path(spec_path).read_text(encoding="utf-8"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+
+    @tidy
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, text_of = _loaded(spec.value), _texts(spec.value)
+        for batch in _chunks(batches, "__text"):
+            texts = [t or "" for t in batch.column("__text").to_pylist()]
+            found = bpe.encode(texts)
+            same = [decode_ids(ids, text_of) == text for ids, text in zip(found, texts)]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in keep), pa.array([len(ids) // 4 for ids in found], pa.int64()), pa.array(found, pa.binary()), pa.array(same)],
+                names=[*keep, "n_tokens", "ids", "same_text"])
+        bpe.forget()
+
+    rows = docs.select(*keep, docs["text"].alias("__text"))
+    return rows.mapInArrow(work, f"{fields}, n_tokens long, ids binary, same_text boolean")
+
+
 def op7_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
