@@ -136,7 +136,7 @@ def extend(texts: DataFrame, hits: DataFrame, length: int, block: int, buckets:
                 continue
             low = np.maximum(at - (length - block), 0)
             start = np.flatnonzero(covered(low[low < n], length - block + 1, n)) if len(at) else at
-            cols.append([np.full(len(start), o), np.full(len(start), tag, np.uint16), start,
+            cols.append([np.full(len(start), o), np.full(len(start), tag, np.int64), start,
                          rolling(words, length, 0xBF58476D1CE4E5B9)[start],
                          (rolling(words, length, 0x94D049BB133111EB)[start] >> np.uint64(32)).astype(np.uint32)])
         if not cols:

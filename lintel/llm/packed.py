@@ -1,8 +1,8 @@
 """Occurrences on their way through a shuffle: many per row, in columns of bytes.
 
 An occurrence is a hash at a place of a document.  A document is known by ``o`` (its doc_id, or the
-largest long if null) and a tag of its text, so that two texts under one doc_id stay apart.  Rows
-hold runs: one entry per document, then the places within it as differences.  Bytes of equal rank
+largest long if null) and a tag: a 64-bit hash of its text wherever two texts may have one ``o``, else 0, which costs
+nothing once compressed.  Rows hold runs: one entry per document, then the places within it as differences.  Bytes of equal rank
 stand together, which compresses well.
 """
 
@@ -25,19 +25,25 @@ FOUND = "home int, o binary, tag binary, n binary, pos binary"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__o`` and ``__tag`` in front; null texts become empty."""
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("__o"),
-                       F.xxhash64("text").bitwiseAND(F.lit(0x7FFF)).cast("int").alias("__tag"),
+    """``docs`` with ``__o`` and ``__tag`` in front; null texts become empty.
+
+    Rows without a doc_id are told apart by their texts, and all rows are if any doc_id is repeated.
+    """
+    repeated = (docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+                .filter("n > 1").limit(1).count())
+    of_text = F.xxhash64(F.coalesce("text", F.lit("")), F.octet_length(F.coalesce("text", F.lit(""))))
+    tag = of_text if repeated else F.when(F.col("doc_id").isNull(), of_text).otherwise(F.lit(0))
+    return docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("__o"), tag.cast("long").alias("__tag"),
                        *docs.columns).withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def home_column(homes: int) -> Column:
     """The home of a document: the bucket in which its text waits for what is found about it."""
-    return F.pmod(F.col("__o").bitwiseXOR(F.shiftright("__o", 17)), F.lit(homes)).cast("int")
+    return F.pmod(F.col("__o").bitwiseXOR(F.shiftright("__o", 17)).bitwiseXOR(F.col("__tag")), F.lit(homes)).cast("int")
 
 
-def home_of(o: np.ndarray, homes: int) -> np.ndarray:
-    return ((o ^ (o >> 17)) % homes).astype(np.int32)
+def home_of(o: np.ndarray, tag: np.ndarray, homes: int) -> np.ndarray:
+    return ((o ^ (o >> 17) ^ tag) % homes).astype(np.int32)
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -57,7 +63,7 @@ def runs(o: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> tuple[bytes, bytes,
     first = np.flatnonzero(new)
     step = np.diff(pos, prepend=0)
     step[first] = pos[first]
-    return (planes(o[first].astype(np.int64)), planes(tag[first].astype(np.uint16)),
+    return (planes(o[first].astype(np.int64)), planes(tag[first].astype(np.int64)),
             planes(np.diff(first, append=len(o)).astype(np.uint32)), planes(step.astype(np.uint32)))
 
 
@@ -67,7 +73,7 @@ def unruns(o: bytes, tag: bytes, n: bytes, pos: bytes) -> tuple[np.ndarray, np.n
     total = np.cumsum(step)
     first = np.cumsum(count) - count
     base = np.repeat(total[first] - step[first], count) if len(count) else total
-    return np.repeat(unplanes(o, np.int64), count), np.repeat(unplanes(tag, np.uint16), count), total - base
+    return np.repeat(unplanes(o, np.int64), count), np.repeat(unplanes(tag, np.int64), count), total - base
 
 
 def pack(kind: int, bucket: np.ndarray, o: np.ndarray, tag: np.ndarray, pos: np.ndarray, h: np.ndarray | None = None,
@@ -92,7 +98,7 @@ def unpack(table: pa.Table, h: type | None = None, g: type | None = None) -> lis
     cols = {c: table[c].to_pylist() for c in table.column_names}
     parts = [unruns(*x) for x in zip(cols["o"], cols["tag"], cols["n"], cols["pos"])]
     out = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t)
-           for i, t in enumerate((np.int64, np.uint16, np.int64))]
+           for i, t in enumerate((np.int64, np.int64, np.int64))]
     for name, dtype in (("h", h), ("g", g)):
         if dtype is not None:
             out.append(np.concatenate([unplanes(x, dtype) for x in cols[name]]) if parts else np.zeros(0, dtype))
@@ -103,7 +109,7 @@ def found_rows(homes: int, o: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> l
     """Occurrences as packed rows for their documents' homes."""
     order = np.lexsort((pos, tag, o))
     o, tag, pos = o[order], tag[order], pos[order]
-    return [(r[0], *r[2:6]) for r in pack(DONE, home_of(o, homes), o, tag, pos)]
+    return [(r[0], *r[2:6]) for r in pack(DONE, home_of(o, tag, homes), o, tag, pos)]
 
 
 def group_extremes(h: np.ndarray, o: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +132,7 @@ def ship(docs: DataFrame, occurrences, buckets: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches, "text", 3 << 20):
             own_o = batch.column("__o").to_numpy()
-            own_tag = batch.column("__tag").to_numpy().astype(np.uint16)
+            own_tag = batch.column("__tag").to_numpy()
             doc, pos, h, ref = occurrences(batch.column("text").to_pylist())
             if not len(doc):
                 continue

@@ -137,7 +137,7 @@ def contexts(texts: DataFrame, hits: DataFrame, length: int, gram: int, buckets:
                 for part in range(0, len(at), 1 << 16):
                     some = at[part:part + (1 << 16)]
                     around = np.lib.stride_tricks.sliding_window_view(padded, 2 * side + gram)[some]
-                    cols.append([np.full(len(some), own_o), np.full(len(some), own_tag, np.uint16), some, around])
+                    cols.append([np.full(len(some), own_o), np.full(len(some), own_tag, np.int64), some, around])
         if not cols:
             return pa.Table.from_batches([batch_of([], PACKED)])
         o, tag, pos = (np.concatenate([c[i] for c in cols]) for i in range(3))
@@ -326,7 +326,7 @@ def repeated(packed: DataFrame, length: int, gram: int, homes: int) -> DataFrame
         o, tag, pos, count = (np.concatenate([f[i] for f in found]) for i in range(4))
         order = np.lexsort((pos, tag, o))
         o, tag, pos, count = o[order], tag[order], pos[order], count[order]
-        rows = [(r[0], *r[2:7]) for r in pack(DONE, home_of(o, homes), o, tag, pos, count)]
+        rows = [(r[0], *r[2:7]) for r in pack(DONE, home_of(o, tag, homes), o, tag, pos, count)]
         return pa.Table.from_batches([batch_of(rows, SPANS)])
 
     return packed.groupBy("bucket").applyInArrow(match, SPANS)

@@ -163,6 +163,21 @@ def test_byte_repeats(spark, table_, bucket_bytes):
     assert {(r.home, r.fp, r.kept) for r in suffixes.dedup_text(table_).collect()} == {("h", 7, "k")}
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_texts_under_one_id_stay_apart(spark, doc_id):
+    """Thousands of texts without an id, or under one: each loses what it repeats, and nothing else."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    passage = " ".join(word() for _ in range(13))
+    rows = [(1, passage)] + [(doc_id, (passage + " " if n % 2 else "") + " ".join(word() for _ in range(20))) for n in range(2_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    words = {r.kept: r.n_removed for r in anchors.remove_repeats(docs).collect()}
+    assert words == {passage: 0} | {t.removeprefix(passage + " "): 13 if t.startswith(passage) else 0 for _, t in rows[1:]}
+    cut = suffixes.remove_repeated_bytes(docs).collect()
+    want = brute_repeats(rows, lambda t: list(t.encode()), 50, bytes)
+    assert sorted((r.n_bytes, r.n_removed, bytes(r.kept)) for r in cut) == sorted((n, gone, bytes(left)) for n, gone, _, left in want.values())
+
+
 def test_suffix_array_order_and_prefixes():
     rng = np.random.default_rng(0)
     for _ in range(200):

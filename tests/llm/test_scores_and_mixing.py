@@ -61,6 +61,24 @@ def test_mixing_targets(spark, docs):
     assert mixed.count() == sum(r.copies for r in plan)
 
 
+@pytest.mark.parametrize("kind", ["unique", "null", "one", "copies"])
+def test_mixing_takes_near_the_target(spark, kind):
+    """With ids of their own, without ids, under one id, and as full copies of a few rows."""
+    number = F.col("id") % 5 if kind == "copies" else F.col("id")
+    doc_id = {"null": F.lit(None), "one": F.lit(7)}.get(kind, number).cast("long")
+    text = F.concat(F.lit("w"), number.cast("string"), F.lit(" a b c"))
+    docs = spark.range(20_000).select(doc_id.alias("doc_id"), text.alias("text"), F.concat(F.lit("s"), number % 4).alias("source"))
+    plan = mixing.mixing_plan(docs, keep=("source",))
+    found = plan.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("target").alias("target"),
+                                       F.min("copies").alias("least"), F.max("copies").alias("most")).collect()
+    assert len(found) == 4
+    for r in found:  # 5,000 draws of 4 words, but whole shares of full copies
+        part = r.target / 20_000 % 1
+        noise = 4 * math.sqrt((5 if kind == "copies" else 5_000) * part * (1 - part))
+        assert abs(r.taken - r.target) <= 4 * noise + 4 and r.most - r.least <= 1
+    assert Counter(plan.collect()) == Counter(mixing.mixing_plan(docs.repartition(7), keep=("source",)).collect())
+
+
 def test_mixing_empty(spark, docs):
     assert mixing.mixing_plan(docs.limit(0)).count() == 0
     assert mixing.mix(docs.limit(0)).count() == 0
