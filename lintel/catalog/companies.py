@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lintel.catalog.registry import query
-from lintel.operators import resolve
+from lintel.operators import clusters, resolve
 from lintel.plans.similar import similar_pairs
-from lintel.session import ensure_checkpoint_dir
+from lintel.session import ensure_checkpoint_dir, scratch_path, stored
 
 _KEY = """nullif(trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(
     upper(raw_name), '[&/-]', ' ', 'g'), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g')),
@@ -188,6 +188,18 @@ def resolve_companies(t):
     return resolve.resolve_members(t.b_member)[0].select("member_id", "company_id")
 
 
+@query("resolve_in_batches", f"with recursive {_CLUSTERED} select member_id, company_id from clustered")
+def resolve_in_batches(t):
+    """Permit members, then all others, then the merges by score as decided pairs: the clusters of one run over all."""
+    keyed, path = stored(_keyed(t), "keyed"), scratch_path(t.spark, "clusters")
+    permits = F.col("source").eqNullSafe("permit")
+    merges, _ = resolve.resolve_pairs(resolve.candidate_pairs(keyed))
+    clusters.add_members(keyed.filter(permits), path, 1, buckets=64)
+    clusters.add_members(keyed.filter(~permits), path, 2)
+    clusters.add_members(keyed.limit(0), path, 3, merges)
+    return clusters.read_clusters(t.spark, path, "string")
+
+
 def _exact(t):
     keyed = _keyed(t)
     edges = resolve.match_license(keyed).unionByName(resolve.match_name(keyed))
