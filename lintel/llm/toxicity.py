@@ -23,17 +23,13 @@ from lintel.session import stored
 
 #: The model is fitted on about so many labelled documents at most, drawn by a hash of their text.
 FIT_ROWS = 12_000
-#: Entries of the lexicon, those of most evidence first: the size of the model.
-LEXICON = 1_500
-#: Standard deviations by which an entry's toxic documents must exceed what chance gives.
-MIN_Z = 4.0
+#: Entries that chance alone may be expected to give among all that are tested.
+BY_CHANCE = 1.0
 MIN_LOG_ODDS = 1.5
 #: Evidence for one entry counts so much at most.
 MAX_LOG_ODDS = 5.0
 #: An entry must follow so many different words: words of one much-copied document do not.
 MIN_CONTEXTS, CONTEXT_SHARE, MANY_CONTEXTS = 5, 0.5, 40
-#: An entry must stand in so much of the toxic documents of the fit.
-MIN_SHARE = 0.01
 STEMS = (4, 5, 6)
 #: Shorter entries must be met letter by letter.
 FUZZY_WORD, FUZZY_STEM = 5, 6
@@ -187,31 +183,33 @@ def fit_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
             .select("text", "toxic"))
 
 
-def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> Lexicon:
-    """The ``size`` entries with most evidence among those far more frequent in toxic documents.
+def learn_lexicon(rows: DataFrame) -> Lexicon:
+    """All entries that stand in more toxic documents than chance explains, however rare they are.
 
-    Documents decide which entries count, occurrences per word how much: an entry that clean texts
-    hold now and then by chance still weighs if toxic ones are full of it.
+    The chance of so many toxic ones among an entry's documents has a Chernoff bound, and is held against
+    the number of entries tested.  Documents decide which entries count, occurrences per word how much: an entry that
+    clean texts hold now and then by chance still weighs if toxic ones are full of it.  What comes to the
+    driver are the entries that pass, of a sample with a bounded number of rows.
     """
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
     n, bad = totals.n, totals.bad
     if not bad or bad == n:
         return Lexicon({}, {})
     share = F.lit(bad / n)
-    expected = (F.col("t") + F.col("f")) * share
+    seen = F.col("t") / (F.col("t") + F.col("f"))
+    surprise = (F.col("t") * F.log(seen / share)
+                + F.when(F.col("f") > 0, F.col("f") * F.log((1 - seen) / (1 - share))).otherwise(0.0))
     counts = stored(rows.mapInArrow(_entry_counts, "entry string, t long, f long, tt long, ff long").groupBy("entry").agg(
-        *(F.sum(c).alias(c) for c in ("t", "f", "tt", "ff"))).filter(
-            (F.col("t") >= max(2, MIN_SHARE * bad)) | (F.col("entry") == "")), "entries")
+        *(F.sum(c).alias(c) for c in ("t", "f", "tt", "ff"))), "entries")
     words = counts.filter("entry = ''").first()
-    best = (counts.filter("entry <> ''")
-            .withColumn("z", (F.col("t") - expected) / F.sqrt(expected))
+    needed_surprise = math.log(max(counts.count(), 1) / BY_CHANCE)
+    best = (counts.filter("entry <> '' and t > 0").filter(seen > share).filter(surprise >= needed_surprise)
             .withColumn("odds", F.log((F.col("tt") + 0.5) / (words.tt + 1)) - F.log((F.col("ff") + 0.5) / (words.ff + 1)))
-            .filter((F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_LOG_ODDS))
-            .orderBy(F.desc(F.col("odds") * F.col("t")), "entry").limit(size).collect())
+            .filter(F.col("odds") >= MIN_LOG_ODDS).orderBy("entry").collect())
     entries = {r.entry for r in best}
     contexts = {r.entry: r.n for r in (
         rows.filter("toxic = 1").mapInArrow(_contexts(entries), "entry string, before string")
-        .distinct().groupBy("entry").agg(F.count(F.lit(1)).alias("n")).collect())}  # ``size`` rows at most
+        .distinct().groupBy("entry").agg(F.count(F.lit(1)).alias("n")).collect())}  # a row for each of them
     needed = lambda t: max(MIN_CONTEXTS, min(CONTEXT_SHARE * t, MANY_CONTEXTS))
     return Lexicon(*concise({r.entry: (min(r.odds, MAX_LOG_ODDS), r.t) for r in best
                              if contexts.get(r.entry, 0) >= needed(r.t)}))
@@ -274,12 +272,16 @@ def concise(found: dict[str, tuple[float, int]]) -> tuple[dict[str, float], dict
     A stem goes if one word or longer stem makes up most of it; else what begins with it goes.
     """
     stems: dict[str, float] = {}
+    most: dict[str, int] = {}  # by stem, the documents of the most frequent entry that goes on from it
+    for entry, (_, t) in found.items():
+        for n in STEMS:
+            if len(entry) > n:
+                most[entry[:n]] = max(most.get(entry[:n], 0), t)
+    explained = lambda e: any(e[:n] in stems for n in STEMS)
     for stem in sorted((e for e in found if not e.endswith("$")), key=len):
-        longer = [t for e, (_, t) in found.items() if e != stem and e.startswith(stem)]
-        if not any(stem.startswith(s) for s in stems) and max(longer, default=0) < 0.8 * found[stem][1]:
+        if not explained(stem) and most.get(stem, 0) < 0.8 * found[stem][1]:
             stems[stem] = found[stem][0]
-    words = {e[:-1]: odds for e, (odds, _) in found.items()
-             if e.endswith("$") and not any(e.startswith(s) for s in stems)}
+    words = {e[:-1]: odds for e, (odds, _) in found.items() if e.endswith("$") and not explained(e)}
     return words, stems
 
 
@@ -313,13 +315,13 @@ class Model:
         self.lexicon, self.weights = lexicon, weights
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, size: int = LEXICON) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Fit on labelled rows outside the held-out third; labels enter nowhere else.
 
     Without a label of either kind the model is a constant: the smoothed share of toxic labels.
     """
     sample = stored(fit_rows(docs, labels, rows), "labelled")
-    lexicon = learn_lexicon(sample, size)
+    lexicon = learn_lexicon(sample)
     found = _featured(sample, lexicon).toPandas()  # at most about ``rows`` rows of five numbers
     y = found["toxic"].to_numpy(float)
     if not 0 < y.sum() < len(y):

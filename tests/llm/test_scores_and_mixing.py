@@ -168,6 +168,62 @@ def test_bpe_is_the_library(spark):
     assert bpe.bpe_encode(df.limit(0), path).count() == 0
 
 
+def edits(a, b):
+    """Plain edit distance."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_lexicon_against_plain_edit_distance():
+    rng = random.Random(11)
+    word = lambda low, high: "".join(rng.choice("abcé") for _ in range(rng.randint(low, high)))
+    words = {word(3, 9): round(rng.uniform(1, 5), 3) for _ in range(25)}
+    stems = {word(4, 6): round(rng.uniform(1, 5), 3) for _ in range(12)}
+    lexicon = toxicity.Lexicon(words, stems)
+    asked = {word(1, 11) for _ in range(3_000)} | set(words) | {s + word(0, 4) for s in stems for _ in range(5)}
+    for entry in [*words, *stems]:  # one change to each entry at every place
+        for i in range(len(entry) + 1):
+            asked |= {entry[:i] + entry[i + 1:], entry[:i] + "x" + entry[i:], entry[:i] + "x" + entry[i + 1:]}
+    for w in asked:
+        exact = max([words.get(w, 0.0), *(v for s, v in stems.items() if w.startswith(s))])
+        near = max([0.0, *(v for e, v in words.items() if len(e) >= toxicity.FUZZY_WORD and edits(e, w) <= 1),
+                    *(v for s, v in stems.items() if len(s) >= toxicity.FUZZY_STEM
+                      and any(edits(s, w[:n]) <= 1 for n in range(len(w) + 1)))])
+        assert lexicon.weight(w) == pytest.approx(exact or toxicity.MISSPELLED * near), w
+
+
+def test_rare_toxic_words_count_and_chance_does_not(spark):
+    """A word of 0.5% of the toxic documents enters; words that stand anywhere do not; nothing is cut off at a number."""
+    rng = random.Random(5)
+    plain = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    rows = []
+    for i in range(6_000):
+        toxic = int(i % 2 == 0)
+        words = [rng.choice(plain) for _ in range(12)]
+        if toxic:
+            words.insert(rng.randrange(12), f"curse{chr(97 + rng.randrange(26))}zz{chr(97 + rng.randrange(8))}")
+            if i % 400 == 0 or i % 402 == 0:
+                words.insert(rng.randrange(13), "rarest")
+        rows.append((" ".join(words), toxic))
+    assert 20 <= sum("rarest" in t for t, _ in rows) < 0.01 * 3_000  # below the former floor of 1% of toxic documents
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert lexicon.weight("rarest") > 0 and lexicon.weight("cursebzzc") > 0
+    assert sum(lexicon.weight(w) > 0 for w in plain) <= 3
+    assert toxicity.learn_lexicon(spark.createDataFrame(rows[::2], "text string, toxic int")).words == {}  # one kind only
+
+
+def test_very_long_text_scores(spark):
+    long_text = "fine words " * 200_000 + "you idiot " * 5
+    docs = spark.createDataFrame([(1, long_text), (2, "fine words"), (None, None)], "doc_id long, text string")
+    model = toxicity.Model(toxicity.Lexicon({"idiot": 4.0}, {}), np.array([1.0, 1.0, 1.0, 0.0, 0.0, -1.0]))
+    found = {r.doc_id: r.toxicity for r in toxicity.toxicity(docs, model).collect()}
+    assert found[1] > found[2] == found[None]
+
+
 def test_levenshtein_lexicon():
     lexicon = toxicity.Lexicon({"idiot": 3.0, "scum": 2.0}, {"lowei": 1.5, "vequst": 2.5})
     near = {"idiot": 3.0, "scum": 2.0, "loweiab": 1.5, "vequstion": 2.5}
