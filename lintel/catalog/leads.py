@@ -13,7 +13,8 @@ from lintel.config import load_weights
 from lintel.operators import reports, reviews, scoring, seals
 from lintel.operators.filters import niche_match as with_niches
 from lintel.plans import jobs
-from lintel.session import stored
+from lintel.plans.hitters import find_hitters, kept_hitters, write_keyed
+from lintel.session import scratch_path, stored
 
 WEIGHTS = load_weights()
 
@@ -88,12 +89,13 @@ leads as (
 scored_leads as (select *, cast({' + '.join(_P)} as decimal(9,4)) as score from leads)"""
 
 
-def _listed(t):
-    return jobs.target_firms(t.b_company, t.b_license, t.b_party, t.b_permit, AS_OF, _coverage(t), ["board"])
+def _listed(t, hitters=None):
+    return jobs.target_firms(t.b_company, t.b_license, t.b_party, t.b_permit, AS_OF, _coverage(t), ["board"],
+                             hitters=hitters)
 
 
-def _hot(t):
-    return jobs.monitor(t.b_review, AS_OF)
+def _hot(t, hitters=None):
+    return jobs.monitor(t.b_review, AS_OF, hitters=hitters)
 
 
 def _facts(t):
@@ -105,11 +107,12 @@ def _reliance(t):
 
 
 def leads(t, hot=None, listed=None, index=None):
+    parties = find_hitters(t.b_party, *jobs.PARTY_KEYS)
     hot = _hot(t) if hot is None else hot
-    listed = _listed(t) if listed is None else listed
+    listed = _listed(t, parties) if listed is None else listed
     index = sl.dated(t) if index is None else index
     return jobs.score(jobs.lead_facts(t.b_permit, t.b_review, hot), t.b_party, listed,
-                      jobs.reliance(index, t.b_party, AS_OF, limit=4), t.b_contact, WEIGHTS, AS_OF)
+                      jobs.reliance(index, t.b_party, AS_OF, limit=4), t.b_contact, WEIGHTS, AS_OF, parties)
 
 
 @query("points_rejection", f"""with {_STATUS}
@@ -175,6 +178,34 @@ def score_leads(t):
     return leads(t).select("company_id", "jurisdiction_id", "record_number", "score", *scoring.SIGNALS)
 
 
+@query("score_leads_kept_keys", f"""with {_LEADS}
+select company_id, jurisdiction_id, record_number, score, {', '.join(_P)} from scored_leads""")
+def score_leads_kept_keys(t):
+    """The same run over tables that came in two batches and keep their hot keys: no table is scanned for them."""
+    def kept(df, name, first, key_lists):
+        path = scratch_path(t.spark, name)
+        for batch, rows in (("1", df.filter(first)), ("2", df.filter(~first))):
+            write_keyed(rows, path, batch, *key_lists)
+        return t.spark.read.schema(df.schema).parquet(path), kept_hitters(t.spark, path, *key_lists)
+
+    even = F.col("record_number") % 2 == 0
+    reviews_, review_keys = kept(t.b_review, "reviews", even, jobs.REVIEW_KEYS)
+    parties, party_keys = kept(t.b_party, "parties", even, jobs.PARTY_KEYS)
+    candidates, seal_keys = kept(seals.with_license_key(t.b_seal_candidate), "candidates",
+                                 F.col("document_id") % 2 == 0, jobs.SEAL_KEYS)
+    found = _scored(t, reviews_, parties, candidates, review_keys, party_keys, seal_keys)
+    return found.select("company_id", "jurisdiction_id", "record_number", "score", *scoring.SIGNALS)
+
+
+def _scored(t, reviews_, parties, candidates, review_keys=None, party_keys=None, seal_keys=None):
+    listed = jobs.target_firms(t.b_company, t.b_license, parties, t.b_permit, AS_OF, _coverage(t), ["board"],
+                               hitters=party_keys)
+    index = jobs.seal_index(candidates, t.b_license, t.b_document, t.b_permit, t.b_jurisdiction, seal_keys)
+    facts = jobs.lead_facts(t.b_permit, reviews_, jobs.monitor(reviews_, AS_OF, hitters=review_keys))
+    return jobs.score(facts, parties, listed, jobs.reliance(index, parties, AS_OF, limit=4), t.b_contact,
+                      WEIGHTS, AS_OF, party_keys)
+
+
 @query("actionable_leads", f"""with {_LEADS}
 select company_id, record_number, score, 'new' as stage,
   case when pts_contacted < 0 then 'wait: contacted lately' when pts_rejection > 0 then 'call: recent fire review rejection'

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lintel.functions.patterns import is_commercial
 from lintel.operators.validate import guarded
-from lintel.plans.skew import salted_lookup
+from lintel.plans.skew import HotKeys, salted_lookup
 from lintel.schemas import PERMIT_KEY
 
 FP_CONTRACTOR = ("FP_CONTRACTOR",)
@@ -57,14 +57,14 @@ def flag_fp_pe(companies: DataFrame, licenses: DataFrame) -> DataFrame:
 
 
 def permit_volume_12mo(parties: DataFrame, permits: DataFrame, as_of: date,
-                       by: Sequence[str] = ()) -> DataFrame:
-    """Distinct commercial permits of the last twelve months per company."""
+                       by: Sequence[str] = (), hot: HotKeys | None = None) -> DataFrame:
+    """Distinct commercial permits of the last twelve months per company; ``hot`` are the parties' hot permits."""
     day = F.col("applied_date")
     recent = (permits.filter((day > F.add_months(F.lit(as_of), -12)) & (day <= F.lit(as_of)))
               .filter(is_commercial(F.col("record_type"), F.col("description")))
               .select(*PERMIT_KEY, *by).distinct())
     named = parties.dropna(subset=["company_id"]).select("company_id", *PERMIT_KEY).distinct()
-    return (salted_lookup(named, recent, PERMIT_KEY, "inner", counted_on=parties)
+    return (salted_lookup(named, recent, PERMIT_KEY, "inner", hot=hot, counted_on=parties)
             .groupBy("company_id", *by).agg(F.count(F.lit(1)).alias("permit_volume_12mo")))
 
 

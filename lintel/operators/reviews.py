@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintel.functions import patterns as P
-from lintel.plans.skew import checked_broadcast, latest, salted_lookup, split_lag
+from lintel.plans.skew import HotKeys, checked_broadcast, latest, salted_lookup, split_lag
 from lintel.schemas import PERMIT_KEY, REVIEW_KEY
 from lintel.session import stored
 
@@ -196,10 +196,11 @@ def fold_runs(signals: DataFrame, run: str) -> DataFrame:
     )
 
 
-def hot_signals(reviews: DataFrame, as_of: date, history: DataFrame | None = None) -> DataFrame:
-    """The whole monitor over one set of review snapshots."""
+def hot_signals(reviews: DataFrame, as_of: date, history: DataFrame | None = None,
+                hot: HotKeys | None = None) -> DataFrame:
+    """The whole monitor over one set of review snapshots; ``hot`` are their hot review keys, if known."""
     fire = reviews.filter(P.is_fire_department(F.col("department")))
-    rejected = hot_rejections(status_transitions(fire))
+    rejected = hot_rejections(status_transitions(fire, hot=hot))
     baseline = stored(turnaround_baseline(fire), "baseline")
     stalled = stalled_signals(stalled_reviews(fire, baseline, as_of), as_of)
     return emit_hot([rejected, repeat_cycle(fire), stalled], history)

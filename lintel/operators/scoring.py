@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from lintel.functions import patterns as P
 from lintel.functions import points as S
-from lintel.plans.skew import salted_lookup
+from lintel.plans.skew import HotKeys, salted_lookup
 from lintel.schemas import PERMIT_KEY
 
 Weights = Mapping[str, int]
@@ -106,24 +106,28 @@ def company_facts(listed: DataFrame, reliance: DataFrame, contacts: DataFrame) -
     )
 
 
-def lead_candidates(facts: DataFrame, parties: DataFrame, listed: DataFrame) -> DataFrame:
+def lead_candidates(facts: DataFrame, parties: DataFrame, listed: DataFrame,
+                    hot: HotKeys | None = None) -> DataFrame:
     """Companies on a HOT or commercial permit, and listed companies without one.
 
     One row per company and permit, permit null for a listed company that is on
-    none of them.
+    none of them.  ``hot`` are the parties' hot permits, if known.
     """
     worth = facts.filter(F.col("is_hot") | F.col("is_commercial"))
     named = parties.dropna(subset=["company_id"]).select("company_id", *PERMIT_KEY).distinct()
-    on_permit = salted_lookup(named, worth, PERMIT_KEY, "inner", counted_on=parties)
+    on_permit = salted_lookup(named, worth, PERMIT_KEY, "inner", hot=hot, counted_on=parties)
     alone = listed.select("company_id").distinct().join(
         on_permit.select("company_id").distinct(), "company_id", "left_anti")
     return on_permit.unionByName(alone, allowMissingColumns=True)
 
 
 def score_leads(candidates: DataFrame, companies: DataFrame, weights: Weights, as_of: date,
-                counted_on: DataFrame | None = None) -> DataFrame:
-    """Points per signal, their sum, and a breakdown that explains the sum."""
-    facts = salted_lookup(candidates, companies, ["company_id"], "left", counted_on=counted_on)
+                counted_on: DataFrame | None = None, hot: HotKeys | None = None) -> DataFrame:
+    """Points per signal, their sum, and a breakdown that explains the sum.
+
+    ``hot`` are the hot companies of ``counted_on``, if known.
+    """
+    facts = salted_lookup(candidates, companies, ["company_id"], "left", hot=hot, counted_on=counted_on)
     pointed = facts.withColumns({
         "pts_rejection": pts_rejection(weights, as_of), "pts_repeat": pts_repeat(weights),
         "pts_target": pts_target(weights), "pts_niche": pts_niche(weights),

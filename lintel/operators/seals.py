@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from lintel.functions import names as N
 from lintel.functions import patterns as P
 from lintel.functions.points import OVERLOADED_SEALS
-from lintel.plans.skew import salted_lookup
+from lintel.plans.skew import HotKeys, salted_lookup
 from lintel.schemas import EXTRACTION_METHODS, PERMIT_KEY
 
 # Page regions as (x0, y0, x1, y1) shares of the page, and confidences.
@@ -127,12 +127,18 @@ def seal_confidence(method: Column, ocr_confidence: Column) -> Column:
             .when(method == "ocr", F.lit(CONFIDENCE["ocr"]) * F.coalesce(ocr_confidence, F.lit(1.0))))
 
 
+def with_license_key(seals: DataFrame) -> DataFrame:
+    """Seals with ``license_key``, the number as the board spells it."""
+    return seals.withColumn("license_key", N.license_key(F.col("license_number")))
+
+
 def validate_seal(seals: DataFrame, licenses: DataFrame,
                   pe_types: Sequence[str] = ("PE_FP", "PE_OTHER"),
-                  counted_on: DataFrame | None = None) -> DataFrame:
+                  counted_on: DataFrame | None = None, hot: HotKeys | None = None) -> DataFrame:
     """Check each number against the board; missing particulars come from the licence.
 
-    Unknown numbers stay, marked ``validated = false``.
+    Unknown numbers stay, marked ``validated = false``.  ``hot`` are the hot licence keys of
+    ``counted_on``, if known.
     """
     holder = F.max(F.struct((F.lower("status") == "active").alias("active"), "holder_name",
                             "discipline", "state"))
@@ -140,11 +146,8 @@ def validate_seal(seals: DataFrame, licenses: DataFrame,
         licenses.filter(F.col("license_type").isin(*pe_types))
         .groupBy(N.license_key(F.col("license_number")).alias("license_key"))
         .agg(holder.alias("_holder")))
-    def keyed(df):
-        return df.withColumn("license_key", N.license_key(F.col("license_number")))
-
-    found = salted_lookup(keyed(seals), registry, ["license_key"], "left",
-                          counted_on=keyed(seals if counted_on is None else counted_on))
+    found = salted_lookup(with_license_key(seals), registry, ["license_key"], "left", hot=hot,
+                          counted_on=with_license_key(seals if counted_on is None else counted_on))
     read = F.col("engineer_name")
     return (
         found.withColumn("validated", F.col("_holder").isNotNull())
@@ -158,10 +161,10 @@ def validate_seal(seals: DataFrame, licenses: DataFrame,
 
 
 def with_permit(seals: DataFrame, documents: DataFrame,
-                counted_on: DataFrame | None = None) -> DataFrame:
+                counted_on: DataFrame | None = None, hot: HotKeys | None = None) -> DataFrame:
     """Attach permit and date of the document a seal sits on."""
     return salted_lookup(seals, documents.select("document_id", *PERMIT_KEY, "sealed_on"),
-                         ["document_id"], "inner", counted_on=counted_on)
+                         ["document_id"], "inner", hot=hot, counted_on=counted_on)
 
 
 def fire_protection(dated: DataFrame) -> DataFrame:
@@ -191,12 +194,12 @@ def _engineer_permits(dated: DataFrame) -> DataFrame:
 
 
 def engineer_client_map(dated: DataFrame, parties: DataFrame,
-                        roles: Sequence[str] = CLIENT_ROLES) -> DataFrame:
+                        roles: Sequence[str] = CLIENT_ROLES, hot: HotKeys | None = None) -> DataFrame:
     """Edges engineer to client with seal count and first and last date."""
     clients = (parties.filter(F.col("role").isin(*roles)).dropna(subset=["company_id"])
                .select(*PERMIT_KEY, "company_id").distinct())
     return (
-        salted_lookup(_engineer_permits(dated), clients, PERMIT_KEY, "inner", counted_on=dated)
+        salted_lookup(_engineer_permits(dated), clients, PERMIT_KEY, "inner", hot=hot, counted_on=dated)
         .groupBy("license_key", "company_id")
         .agg(F.sum("seals").alias("seals"), F.min("first_on").alias("first_on"),
              F.max("last_on").alias("last_on"))

@@ -2,6 +2,9 @@
 
 Each stage that several later stages read is written to the shared folder once
 (``stored``), the way the tables of the data model are kept between runs.
+
+A job that meets a table under several keys takes its ``hitters`` (``plans.hitters``): the hot keys kept with
+the table by ``keep_hitters`` under REVIEW_KEYS, PARTY_KEYS or SEAL_KEYS.  Without them it looks for hot keys itself.
 """
 
 from __future__ import annotations
@@ -14,9 +17,14 @@ from pyspark.sql import functions as F
 
 from lintel.operators import capability, filters, history, reports, resolve, reviews, scoring, seals
 from lintel.operators.validate import RowCountCheck, validate
-from lintel.schemas import PERMIT_KEY, PERMIT_RULES, FieldRule
+from lintel.plans.hitters import Hitters, find_hitters
+from lintel.schemas import PERMIT_KEY, PERMIT_RULES, REVIEW_KEY, FieldRule
 from lintel.session import exists, stored
 
+REVIEW_KEYS = [REVIEW_KEY]
+PARTY_KEYS = [PERMIT_KEY, ["company_id"]]
+SEAL_KEYS = [["license_key"], ["document_id"]]
+
 
 def harvest(landed: DataFrame, path: str, batch: str, rules: Sequence[FieldRule] = PERMIT_RULES,
             label: str = "harvest") -> DataFrame:
@@ -31,9 +39,10 @@ def harvest(landed: DataFrame, path: str, batch: str, rules: Sequence[FieldRule]
     return rejects
 
 
-def monitor(snapshots: DataFrame, as_of: date, alerts: DataFrame | None = None) -> DataFrame:
+def monitor(snapshots: DataFrame, as_of: date, alerts: DataFrame | None = None,
+            hitters: Hitters | None = None) -> DataFrame:
     """New HOT signals of the review snapshots; ``alerts`` is everything sent before."""
-    return stored(reviews.hot_signals(snapshots, as_of, alerts), "hot")
+    return stored(reviews.hot_signals(snapshots, as_of, alerts, hitters and hitters.of(REVIEW_KEY)), "hot")
 
 
 def alert_history(spark: SparkSession, path: str, before: date | None = None) -> DataFrame | None:
@@ -66,14 +75,15 @@ def monitor_run(snapshots: DataFrame, as_of: date, path: str) -> DataFrame:
 
 def target_firms(companies: DataFrame, licenses: DataFrame, parties: DataFrame, permits: DataFrame,
                  as_of: date, coverage: DataFrame, registries: Sequence[str],
-                 jurisdictions: DataFrame | None = None, county: str | None = None) -> DataFrame:
-    """Firms on list A or B, optionally by permits of one county.
+                 jurisdictions: DataFrame | None = None, county: str | None = None,
+               hitters: Hitters | None = None) -> DataFrame:
+    """Firms on list A or B, optionally by permits of one county; ``hitters`` are those of ``parties``.
 
     The job refuses to call a licence missing while a registry behind it is empty or stale.
     """
     if county is not None:
         permits = filters.by_county(permits, jurisdictions, county)
-    volume = capability.permit_volume_12mo(parties, permits, as_of)
+    volume = capability.permit_volume_12mo(parties, permits, as_of, hot=hitters and hitters.of(PERMIT_KEY))
     flagged = capability.capability(companies, licenses, volume)
     flagged = capability.coverage_guard(flagged, coverage, registries)
     return stored(capability.target_lists(flagged), "targets")
@@ -87,11 +97,17 @@ def companies_of(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def seal_index(candidates: DataFrame, licenses: DataFrame, documents: DataFrame,
-               permits: DataFrame, jurisdictions: DataFrame) -> DataFrame:
-    """Validated seals with permit, date and county; a seal dates from its permit's issue, else from the download."""
-    checked = seals.validate_seal(seals.best_method(candidates), licenses, counted_on=candidates)
+               permits: DataFrame, jurisdictions: DataFrame, hitters: Hitters | None = None) -> DataFrame:
+    """Validated seals with permit, date and county; a seal dates from its permit's issue, else from the download.
+
+    ``hitters`` are those of ``candidates`` with their ``license_key``; without them one scan finds both keys'.
+    """
+    if hitters is None:
+        hitters = find_hitters(seals.with_license_key(candidates), *SEAL_KEYS)
+    by_license, by_document = (hitters.of(keys) for keys in SEAL_KEYS)
+    checked = seals.validate_seal(seals.best_method(candidates), licenses, counted_on=candidates, hot=by_license)
     dated = seals.dated_documents(documents, permits)
-    known = seals.with_permit(checked.filter("validated"), dated, counted_on=candidates)
+    known = seals.with_permit(checked.filter("validated"), dated, counted_on=candidates, hot=by_document)
     return stored(filters.with_county(known, jurisdictions), "seals")
 
 
@@ -107,11 +123,14 @@ def lead_facts(permits: DataFrame, snapshots: DataFrame, hot: DataFrame) -> Data
 
 
 def score(facts: DataFrame, parties: DataFrame, listed: DataFrame, relying: DataFrame,
-          contacts: DataFrame, weights: Mapping[str, int], as_of: date) -> DataFrame:
-    """Scored leads of a run; store them if several steps read them."""
+          contacts: DataFrame, weights: Mapping[str, int], as_of: date,
+          hitters: Hitters | None = None) -> DataFrame:
+    """Scored leads of a run; store them if several steps read them.  ``hitters`` are those of ``parties``."""
+    if hitters is None:
+        hitters = find_hitters(parties, *PARTY_KEYS)
     companies = scoring.company_facts(listed, relying, scoring.last_contacts(contacts, as_of))
-    candidates = scoring.lead_candidates(facts, parties, listed)
-    return scoring.score_leads(candidates, companies, weights, as_of, counted_on=parties)
+    candidates = scoring.lead_candidates(facts, parties, listed, hot=hitters.of(PERMIT_KEY))
+    return scoring.score_leads(candidates, companies, weights, as_of, counted_on=parties, hot=hitters.of(["company_id"]))
 
 
 def digest(run_date: date, hot: DataFrame, permits: DataFrame, leads: DataFrame, listed: DataFrame,

@@ -35,7 +35,7 @@ def checked_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
     return table
 
 
-def _code(df: DataFrame, keys: Sequence[str], like: DataFrame | None = None) -> Column:
+def key_code(df: DataFrame, keys: Sequence[str], like: DataFrame | None = None) -> Column:
     """Hash of the key, computed with the key types of ``like``."""
     types = {f.name: f.dataType for f in (like or df).schema.fields}
     return F.xxhash64(*[F.col(k).cast(types[k]) for k in keys])
@@ -43,7 +43,7 @@ def _code(df: DataFrame, keys: Sequence[str], like: DataFrame | None = None) ->
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> HotKeys:
     """``(hash of key, salts)`` of the hot keys; a salt is worth about ``min_rows`` rows."""
-    codes = df.select(_code(df, keys).alias("code"),
+    codes = df.select(key_code(df, keys).alias("code"),
                       (F.spark_partition_id() % MERGERS).alias("merger"))
     sketches = codes.groupBy("merger").agg(
         F.expr(f"approx_top_k_accumulate(code, {TRACKED_ITEMS})").alias("sketch"))
@@ -75,7 +75,8 @@ def salted_lookup(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: s
     match nothing but are spread the same way instead of piling up in one task.
     Without a hot key this is a plain join.  ``counted_on`` is a cheaper table
     to look for hot keys in: one that has at least the rows of ``big`` under
-    every key, such as the table ``big`` was filtered from.
+    every key, such as the table ``big`` was filtered from.  ``hot`` are its hot
+    keys, if they are known (``plans.hitters``), so nothing is scanned for them.
     """
     keys = list(keys)
     if hot is None:
@@ -84,12 +85,12 @@ def salted_lookup(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: s
         return big.join(lookup, keys, how)
     seen = big if counted_on is None else counted_on
     left = (
-        _with_salts(big, _code(big, keys, seen), hot)
+        _with_salts(big, key_code(big, keys, seen), hot)
         .withColumn("_salt", F.coalesce(F.pmod(_spread(big), F.col("_salts")), F.lit(0)))
         .drop("_salts")
     )
     right = (
-        _with_salts(lookup.dropna(subset=keys), _code(lookup, keys, seen), hot)
+        _with_salts(lookup.dropna(subset=keys), key_code(lookup, keys, seen), hot)
         .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts") - 1, F.lit(0)))))
         .drop("_salts")
     )
@@ -97,22 +98,23 @@ def salted_lookup(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: s
 
 
 def split_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str],
-              slices: Sequence[Column], min_rows: int = HOT_ROWS) -> DataFrame:
+              slices: Sequence[Column], min_rows: int = HOT_ROWS, hot: HotKeys | None = None) -> DataFrame:
     """Add struct ``_prev`` holding ``values`` of the previous row of the key.
 
     ``order`` must be a total order up to fully equal rows and the key columns
     must not be null.  A hot key is cut into ``slices`` -- expressions that
     never decrease along ``order``, such as the day and then the hour -- so no
     task sorts the whole key; the last row of each slice is carried to the
-    next slice of the same key.
+    next slice of the same key.  ``hot`` are the hot keys, if they are known.
     """
     keys, order = list(keys), list(order)
-    hot = hot_keys(df, keys, min_rows)
+    if hot is None:
+        hot = hot_keys(df, keys, min_rows)
     if not hot:
         whole = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn("_prev", F.lag(F.struct(*values)).over(whole))
     sliced = (
-        _with_salts(df, _code(df, keys), hot)
+        _with_salts(df, key_code(df, keys), hot)
         .withColumn("_slice", F.when(
             F.col("_salts").isNotNull(), F.struct(*[s.alias(f"s{i}") for i, s in enumerate(slices)])))
         .drop("_salts")
