@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lintel.catalog.bindings import AS_OF, SNAPSHOT_CUT
 from lintel.catalog.registry import query
 from lintel.functions import patterns as P
-from lintel.operators import filters, history, state
+from lintel.operators import filters, history, partials, state
 from lintel.operators.validate import assert_nonempty, validate
 from lintel.schemas import PARTY_ROLES, PERMIT_RULES, REVIEW_RULES, FieldRule
 from lintel.session import scratch_path
@@ -303,7 +303,7 @@ def pacing_audit(t):
             .select("host", "request_id", "ts", "previous_ts"))
 
 
-@query("source_coverage", """
+_COVERAGE = """
 with expected as (
   select slug as source, source_verified from b_jurisdiction
   union all select distinct concat('registry ', county), true from b_jurisdiction),
@@ -313,13 +313,33 @@ select source, coalesce(n, 0) as rows, newest,
   cast(date_diff('day', newest, date '2001-08-01') as int) as age_days,
   case when coalesce(n, 0) = 0 then 'no rows' when date_diff('day', newest, date '2001-08-01') > 5 then 'stale'
     when not source_verified then 'unverified' else 'ok' end as coverage
-from expected left join seen using (source)""")
-def source_coverage(t):
+from expected left join seen using (source)"""
+
+
+def _sources(t):
+    """Landed rows by source, and the sources that are expected."""
     jurisdictions = t.b_jurisdiction
     landed = (t.b_permit.select("jurisdiction_id", F.col("applied_date").alias("landed_on"))
               .join(jurisdictions.select("jurisdiction_id", F.col("slug").alias("source")), "jurisdiction_id"))
     expected = jurisdictions.select(F.col("slug").alias("source"), "source_verified").unionByName(
         jurisdictions.select(F.concat(F.lit("registry "), "county").alias("source")).distinct()
         .withColumn("source_verified", F.lit(True)))
+    return landed, expected
+
+
+@query("source_coverage", _COVERAGE)
+def source_coverage(t):
+    landed, expected = _sources(t)
     return (history.source_coverage(expected, landed, AS_OF, max_age_days=5)
             .select("source", "rows", "newest", "age_days", "coverage"))
+
+
+@query("source_coverage_kept", _COVERAGE)
+def source_coverage_kept(t):
+    """The same from counts kept by five batches, one of them loaded twice."""
+    landed, expected = _sources(t)
+    path = scratch_path(t.spark, "sources")
+    for batch in (0, 1, 2, 3, 4, 1):
+        partials.add_sources(landed.filter(F.pmod(F.month("landed_on"), F.lit(5)) == batch), path, str(batch))
+    return (partials.kept_coverage(expected, path, AS_OF, max_age_days=5)
+            .select("source", "rows", "newest", "age_days", "coverage"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lintel.catalog.bindings import AS_OF, SNAPSHOT_CUT
 from lintel.catalog.registry import query
-from lintel.operators import reviews
+from lintel.operators import partials, reviews
 from lintel.plans import jobs
 from lintel.session import scratch_path, stored
 
@@ -111,6 +111,26 @@ def turnaround_baseline(t):
     return reviews.turnaround_baseline(t.b_review)
 
 
+def _kept_turnaround(t):
+    """Five batches of the reviews, one of them loaded twice; returns where their counts lie."""
+    path = scratch_path(t.spark, "turnaround")
+    for batch in (0, 1, 2, 3, 4, 2):
+        partials.add_turnaround(t.b_review.filter(F.pmod(F.month("status_date"), F.lit(5)) == batch), path, str(batch))
+    return path
+
+
+@query("turnaround_baseline_kept", f"with {_BASELINE} select * from baseline")
+def turnaround_baseline_kept(t):
+    return partials.kept_baseline(t.b_review, _kept_turnaround(t))
+
+
+@query("hot_signals_kept_baseline", f"with {_ALL} select * from picked")
+def hot_signals_kept_baseline(t):
+    """The monitor with the turnaround kept by batches: no history is read for it."""
+    return (reviews.hot_signals(t.b_review, AS_OF, baseline=partials.kept_baseline(t.b_review, _kept_turnaround(t)))
+            .withColumn("reasons", F.array_join("reasons", ",")))
+
+
 @query("review_opened_on", """
 select r.record_number, r.cycle_number, r.department, r.status_date, r.comment_text, p.applied_date as opened_on
 from b_review r left join b_permit p using (jurisdiction_id, record_number)""")

@@ -127,10 +127,19 @@ def pacing_audit(fetch_log: DataFrame, default_gap: float = 2.0,
     return paced.withColumn("gap", gap).filter(F.col("gap") < F.col("gap_seconds"))
 
 
+def source_counts(landed: DataFrame) -> DataFrame:
+    """Rows and newest day per source; counts of disjoint batches add up."""
+    return landed.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.max("landed_on").alias("newest"))
+
+
 def source_coverage(expected: DataFrame, landed: DataFrame, as_of: date, max_age_days: int = 30) -> DataFrame:
     """What each expected source has really delivered, said plainly."""
-    seen = landed.groupBy("source").agg(F.count(F.lit(1)).alias("rows"),
-                                        F.max("landed_on").alias("newest"))
+    return coverage_of(expected, source_counts(landed), as_of, max_age_days)
+
+
+def coverage_of(expected: DataFrame, counts: DataFrame, as_of: date, max_age_days: int = 30) -> DataFrame:
+    """``source_coverage`` from ``source_counts``, of one batch or of many."""
+    seen = counts.groupBy("source").agg(F.sum("rows").alias("rows"), F.max("newest").alias("newest"))
     return (
         expected.join(seen, "source", "left")
         .withColumn("rows", F.coalesce("rows", F.lit(0)))

@@ -86,22 +86,31 @@ def repeat_cycle(reviews: DataFrame) -> DataFrame:
     )
 
 
-def turnaround_baseline(reviews: DataFrame, by: Sequence[str] = ("jurisdiction_id",)) -> DataFrame:
-    """Exact p50/p90 days of completed fire reviews.
-
-    Rows shrink to one per day count before the percentile, so its state is as
-    small as the number of distinct durations.
-    """
+def turnaround_counts(reviews: DataFrame, by: Sequence[str] = ("jurisdiction_id",)) -> DataFrame:
+    """Completed fire reviews per number of days, ``days`` and ``n``; counts of disjoint batches add up."""
     days = F.datediff("status_date", "opened_on")
     done = reviews.filter(P.is_fire_department(F.col("department"))
                           & ~P.is_open_review(F.col("status")) & (days >= 0))
-    counted = done.groupBy(*by, days.alias("days")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy(*by).agg(
+    return done.groupBy(*by, days.alias("days")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def baseline_of(counts: DataFrame, by: Sequence[str] = ("jurisdiction_id",)) -> DataFrame:
+    """Exact p50/p90 days from ``turnaround_counts``, of one batch or of many."""
+    return counts.groupBy(*by).agg(
         F.percentile("days", 0.5, F.col("n")).alias("p50_days"),
         F.percentile("days", 0.9, F.col("n")).alias("p90_days"),
         F.sum("n").alias("completed"))
 
 
+def turnaround_baseline(reviews: DataFrame, by: Sequence[str] = ("jurisdiction_id",)) -> DataFrame:
+    """Exact p50/p90 days of completed fire reviews.
+
+    Rows shrink to one per day count before the percentile, so its state is as
+    small as the number of distinct durations.
+    """
+    return baseline_of(turnaround_counts(reviews, by), by)
+
+
 def open_fire_reviews(reviews: DataFrame) -> DataFrame:
     """Latest row of each fire review that is still open."""
     fire = reviews.filter(P.is_fire_department(F.col("department")))
@@ -197,11 +206,14 @@ def fold_runs(signals: DataFrame, run: str) -> DataFrame:
 
 
 def hot_signals(reviews: DataFrame, as_of: date, history: DataFrame | None = None,
-                hot: HotKeys | None = None) -> DataFrame:
-    """The whole monitor over one set of review snapshots; ``hot`` are their hot review keys, if known."""
+                hot: HotKeys | None = None, baseline: DataFrame | None = None) -> DataFrame:
+    """The whole monitor over one set of review snapshots.
+
+    ``hot`` are their hot review keys and ``baseline`` their turnaround, if known (``operators.partials``).
+    """
     fire = reviews.filter(P.is_fire_department(F.col("department")))
     rejected = hot_rejections(status_transitions(fire, hot=hot))
-    baseline = stored(turnaround_baseline(fire), "baseline")
+    baseline = stored(turnaround_baseline(fire) if baseline is None else baseline, "baseline")
     stalled = stalled_signals(stalled_reviews(fire, baseline, as_of), as_of)
     return emit_hot([rejected, repeat_cycle(fire), stalled], history)
 

@@ -40,9 +40,10 @@ def harvest(landed: DataFrame, path: str, batch: str, rules: Sequence[FieldRule]
 
 
 def monitor(snapshots: DataFrame, as_of: date, alerts: DataFrame | None = None,
-            hitters: Hitters | None = None) -> DataFrame:
-    """New HOT signals of the review snapshots; ``alerts`` is everything sent before."""
-    return stored(reviews.hot_signals(snapshots, as_of, alerts, hitters and hitters.of(REVIEW_KEY)), "hot")
+            hitters: Hitters | None = None, baseline: DataFrame | None = None) -> DataFrame:
+    """New HOT signals of the review snapshots; ``alerts`` is everything sent before, ``baseline`` a kept turnaround."""
+    hot = hitters and hitters.of(REVIEW_KEY)
+    return stored(reviews.hot_signals(snapshots, as_of, alerts, hot, baseline), "hot")
 
 
 def alert_history(spark: SparkSession, path: str, before: date | None = None) -> DataFrame | None:
@@ -58,7 +59,7 @@ def alert_history(spark: SparkSession, path: str, before: date | None = None) ->
     return reviews.fold_runs(runs, "run_date")
 
 
-def monitor_run(snapshots: DataFrame, as_of: date, path: str) -> DataFrame:
+def monitor_run(snapshots: DataFrame, as_of: date, path: str, baseline: DataFrame | None = None) -> DataFrame:
     """The monitor of one day, with the history of alerts kept at ``path``: returns the new alerts.
 
     A run adds its signals as its own partition, those already sent included, whose reasons are folded into the history.
@@ -67,7 +68,7 @@ def monitor_run(snapshots: DataFrame, as_of: date, path: str) -> DataFrame:
     """
     spark = snapshots.sparkSession
     before = alert_history(spark, path, as_of)
-    picked = stored(reviews.hot_signals(snapshots, as_of), "picked")
+    picked = stored(reviews.hot_signals(snapshots, as_of, baseline=baseline), "picked")
     new = picked if before is None else stored(reviews.not_sent(picked, before), "new-alerts")
     picked.write.mode("overwrite").parquet(f"{path}/run_date={as_of.isoformat()}")
     return new
