@@ -100,3 +100,13 @@ def test_points_travel_instead_of_facts(spark):
     assert [int(r.score) for r in found] == [70]
     join = plan[plan.index("SortMergeJoin"):]
     assert "niches" not in join[:join.index("Exchange hashpartitioning")]
+
+
+def test_page_words_are_not_sorted_before_they_are_dealt(spark):
+    words = spark.createDataFrame([(1, 0, 0.2, 0.1, "c"), (1, 0, 0.1, 0.5, "b"), (1, 0, 0.1, 0.2, "a"), (1, 1, 0.1, 0.1, "d"),
+                                   (None, 0, 0.1, 0.1, "e"), (None, 0, 0.0, 0.1, None)],
+                                  "document_id int, page_number int, y0 double, x0 double, word string")
+    text = seals.page_text(words)
+    plan = text._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("ObjectHashAggregate") < plan.index("Exchange hashpartitioning") and exchanges(text) == 1
+    assert rows(text.select("page_text")) == ["Row(page_text='a b c')", "Row(page_text='d')", "Row(page_text='e')"]
