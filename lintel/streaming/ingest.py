@@ -13,6 +13,7 @@ from lintel.operators.history import current_state
 from lintel.operators.state import merge_into_state, state_version
 from lintel.operators.validate import validate
 from lintel.schemas import PERMIT_KEY, PERMIT_RULES, FieldRule
+from lintel.session import stored
 
 #: How long after the first landing of a file the same lines under the same name are known as repeated.
 RELANDED = "30 days"
@@ -56,7 +57,8 @@ def permit_ingest_stream(spark: SparkSession, landing: str, schema: str, table:
     landed = landed_lines(spark, landing, schema, max_files)
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        for name, rows in zip(("accepted", "rejected"), split_lines(batch, rules)):
+        lines = stored(batch, "lines")  # two tables are written from it, the files and the known lines are read once
+        for name, rows in zip(("accepted", "rejected"), split_lines(lines, rules)):
             rows.write.mode("overwrite").parquet(f"{table}/{name}/batch_id={batch_id}")
 
     return (landed.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
