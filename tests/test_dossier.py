@@ -32,3 +32,17 @@ def test_dossier_names_every_part(spark):
         "person": [("Pat Doe", "PE_FP 11"), ("Sam Roe", "PE_OTHER 12")],
         "permit": [("1 A-1", "owner, Issued, Shell"), ("1 A-2", "owner")],
         "lead": [("", "20.0"), ("1 A-1", "40.0"), ("1 A-2", "55.0")]}
+
+
+def test_parts_read_again_are_worked_out_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(reports, "stored", lambda df, label: kept.append((label, df.count())) or df, raising=False)
+    frame, key = spark.createDataFrame, "jurisdiction_id int, record_number string"
+    parties = frame([("c1", "owner", 1, "A")] * 2 + [("c2", "owner", 1, "A")], f"company_id string, role string, {key}")
+    leads = frame([("c1", 1, "A", 40.0), ("c2", 1, "A", 9.0)], f"company_id string, {key}, score double")
+    company = frame([("c1", "Alpha", "ALPHA", "1")], "company_id string, canonical_name string, normalized_key string, phone string")
+    reports.company_dossier(
+        frame([("alpha",)], "name string"), company, frame([], "company_id string, license_type string, license_number string, status string"),
+        parties, frame([], f"{key}, department string, status string"), frame([], "license_key string, company_id string, seals long"),
+        leads, permits=frame([], f"{key}, status string, description string"))
+    assert kept == [("own", 1), ("own-leads", 1)]

@@ -71,3 +71,11 @@ def test_one_timer_waits_for_the_next_stall():
     found = list(watch.handleExpiredTimer((1, 2), _Clock(9), None))
     assert [(a.cycle_number, a.reason) for a in found] == [(1, "stalled")] and store.timers == [9, 13]
     assert not list(watch.handleExpiredTimer((1, 2), _Clock(20), None)) and store.timers == [9, 13]
+
+
+def test_a_missing_cycle_in_the_history_hides_no_other():
+    watch, store = _watch(("rejection", "repeat_cycle"))
+    kept = {"adverse": None, "status": None, "status_date": None, "stalls_on": None, "comment_text": None, "department": None}
+    watch.handleInitialState((1, 2), Row(known=[{**kept, "cycle_number": None, "sent": "rejection"},
+                                                {**kept, "cycle_number": 7, "sent": "repeat_cycle"}]), None)
+    assert not list(watch.handleInputRows((1, 2), iter([_row(7, 5, "Approved")]), None))
