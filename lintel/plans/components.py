@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from lintel.plans.skew import HOT_ROWS, salted_lookup
 from lintel.session import ensure_checkpoint_dir
 
+#: Edges of one task, and tasks of a round at least: a round over few edges is not cut into as many files as a large one.
+TASK_EDGES, LEAST_TASKS = 50_000, 8
+
+
+def _tasks(rows: int) -> int:
+    return max(LEAST_TASKS, -(-rows // TASK_EDGES))
+
 
 def _lowest(edges: DataFrame, rows: int) -> DataFrame:
     """Per node ``u`` the lowest of itself and its neighbours ``v``, joined back to its edges.
@@ -16,7 +23,7 @@ def _lowest(edges: DataFrame, rows: int) -> DataFrame:
     """
     lowest = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return salted_lookup(edges, lowest, ["u"], "inner", hot=None if rows >= HOT_ROWS else [],
-                         min_rows=HOT_ROWS)
+                         min_rows=HOT_ROWS).coalesce(_tasks(rows))
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -51,13 +58,14 @@ def connected_components(edges: DataFrame, left: str = "left_id", right: str = "
              .filter("u <> v").distinct().checkpoint())
     total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     before = stars.agg(total.alias("s"), F.count(F.lit(1)).alias("n")).first()
+    stars = stars.coalesce(_tasks(before.n))
     for _ in range(max_rounds):
-        stars = _small_star(_large_star(stars, before.n), before.n).distinct().checkpoint()
+        stars = _small_star(_large_star(stars, before.n), before.n).distinct().coalesce(_tasks(before.n)).checkpoint()
         after = stars.agg(total.alias("s"), F.count(F.lit(1)).alias("n")).first()
         if after == before:
             break
         before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().coalesce(_tasks(before.n))
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
