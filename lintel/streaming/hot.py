@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import sys
-from collections.abc import Iterable, Iterator, Sequence
+from collections import namedtuple
+from collections.abc import Collection, Iterable, Iterator, Sequence
 from datetime import date, timedelta
 
 from pyspark import cloudpickle
@@ -30,12 +32,18 @@ LAST = "adverse boolean, status string, status_date date, stalls_on date, commen
 #: What is kept of a permit.
 STATE = ("sent array<struct<cycle: int, reason: string>>, last array<struct<cycle: int, department: string, "
          + LAST.replace(" ", ": ").replace(",: ", ", ") + ">>")
+#: Permits are dealt to so many groups by their hash, those of a group to so many slots: half a million in all.
+GROUPS, SLOTS = 16_384, 32
+#: Up to so many slots of a group are read one by one; for more the group is read at once.
+SINGLE_READS = 8
 _KEPT = [f.split()[0] for f in LAST.split(", ")]
 _ROW = ["status_date", "observed_at", "comment_text", "due_date", "opened_on", "reviewer_name", "status",
         "department", "cycle_number", "adverse", "stalls_on"]
+_REVIEW = namedtuple("Review", _ROW)
 _KNOWN = ["cycle_number", "department", "sent", *_KEPT]
 _DAY_MS = 86_400_000
 _EPOCH = date(1970, 1, 1)
+_EPOCH_ORDINAL = _EPOCH.toordinal()
 
 
 class ReviewWatch(StatefulProcessor):
@@ -120,6 +128,124 @@ class ReviewWatch(StatefulProcessor):
                       department=department, status=status, signal_date=day, comment_text=comment)
 
 
+class _Slot:
+    """What the permits of a slot keep, as the handle that ``ReviewWatch`` asks; ``permit`` is the one it follows.
+
+    A permit's state is text until it is asked for: each typed value of a store costs a conversion on both sides.
+    """
+
+    def __init__(self, value: tuple | None):
+        self.permits = {(jurisdiction, record): text for jurisdiction, record, text in value[0]} if value else {}
+        self.permit, self.changed, self.day = None, False, None
+
+    def getValueState(self, *_) -> _Slot:
+        return self
+
+    def get(self) -> tuple | None:
+        text = self.permits.get(self.permit)
+        if text is None:
+            return None
+        sent, last = json.loads(text)
+        return sent, [(*place, adverse, status, _date(day), _date(stalls), comment)
+                      for *place, adverse, status, day, stalls, comment in last]
+
+    def update(self, value: tuple) -> None:
+        sent, last = value
+        last = [(*place, adverse, status, _number(day), _number(stalls), comment)
+                for *place, adverse, status, day, stalls, comment in last]
+        self.permits[self.permit], self.changed = json.dumps((sent, last)), True
+
+    def registerTimer(self, at: int) -> None:
+        day = at // _DAY_MS
+        self.day = day if self.day is None else min(self.day, day)
+
+
+class PermitsWatch(StatefulProcessor):
+    """Follows a group of permits, each by the rules of ``ReviewWatch``.
+
+    A call, of Python or of the state store, costs far more than a permit's rules.  So a trigger calls once per group,
+    reads and writes slots of a few permits, and has one timer per group; ``due`` tells for which slots it is.
+    """
+
+    def __init__(self, rules: Sequence[str], permit: str):
+        self.watch, self.permit = ReviewWatch(rules), permit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.slots = handle.getMapState("slots", "slot int", f"permits array<struct<{self.permit}, state: string>>")
+        self.due = handle.getValueState("due", "days array<int>")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        dealt: dict[int, dict[tuple, list]] = {}
+        for row in initialState.known:
+            known = json.loads(row["_values"])
+            known |= {c: _date(known[c]) for c in ("status_date", "stalls_on")}
+            dealt.setdefault(row["_slot"], {}).setdefault(tuple(row[c] for c in PERMIT_KEY), []).append(known)
+        list(self._followed(dealt, lambda permit, of: self.watch.handleInitialState(permit, Row(known=of), timerValues)))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        dealt: dict[int, dict[tuple, list]] = {}
+        for row in rows:
+            slot, *permit, text = row[-2 - len(PERMIT_KEY):]  # as _dealt() gives them
+            day, *values, stalls = json.loads(text).values()
+            dealt.setdefault(slot, {}).setdefault(tuple(permit), []).append(_REVIEW(_date(day), *values, _date(stalls)))
+        yield from self._followed(dealt, lambda permit, of: self.watch.handleInputRows(permit, of, timerValues))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        today = timerValues.getCurrentWatermarkInMs() // _DAY_MS
+        late = {slot: None for slot, day in enumerate(self._due()) if day is not None and day <= today}
+        yield from self._followed(late, lambda permit, _: self.watch.handleExpiredTimer(permit, timerValues, expiredTimerInfo))
+
+    def close(self) -> None:
+        pass
+
+    def _followed(self, dealt: dict[int, dict[tuple, list] | None], follow) -> Iterator[Row]:
+        """Follow the permits dealt to slots; a slot without any has its day reached: all it keeps are followed."""
+        kept, days = self._read(dealt), {}
+        for number, permits in dealt.items():
+            slot = _Slot(kept.get(number))
+            self.watch.init(slot)
+            for permit, rows in (dict.fromkeys(slot.permits) if permits is None else permits).items():
+                slot.permit = permit
+                yield from follow(permit, rows) or ()
+            if slot.changed:
+                self.slots.updateValue((number,), ([(*permit, text) for permit, text in slot.permits.items()],))
+            if slot.day is not None or permits is None:
+                days[number] = (slot.day, permits is None)
+        self._wait(days)
+
+    def _read(self, wanted: Collection[int]) -> dict[int, tuple]:
+        if len(wanted) > SINGLE_READS:
+            return {slot: value for (slot,), value in self.slots.iterator() if slot in wanted}
+        return {slot: value for slot in wanted if (value := self.slots.getValue((slot,)))}
+
+    def _due(self) -> list[int | None]:
+        value = self.due.get()
+        return [*value[0]] if value else [None] * SLOTS
+
+    def _wait(self, days: dict[int, tuple[int | None, bool]]) -> None:
+        """Wake at the first day of the group's slots; a new day replaces one that was reached, else the earlier holds."""
+        if not days:
+            return
+        before = self._due()
+        due = [*before]
+        for slot, (day, reached) in days.items():
+            if reached or due[slot] is None or day < due[slot]:
+                due[slot] = day
+        if due != before:
+            self.due.update((due,))
+            if any(day is not None for day in due):
+                self.handle.registerTimer(min(day for day in due if day is not None) * _DAY_MS)
+
+
+def _date(number: int | None) -> date | None:
+    return None if number is None else date.fromordinal(_EPOCH_ORDINAL + number)
+
+
+def _number(day: date | None) -> int | None:
+    return None if day is None else day.toordinal() - _EPOCH_ORDINAL
+
+
 def _reasons(new: dict[int, tuple]) -> dict[int, str]:
     return {cycle: RULES[signal[0] - 1] for cycle, signal in new.items()}
 
@@ -167,6 +293,15 @@ def _watched(reviews: DataFrame, baseline: DataFrame | None) -> DataFrame:
     return stalls_on(fire, baseline).withColumn("adverse", F.coalesce(is_adverse(F.col("status")), F.lit(False)))
 
 
+def _dealt(df: DataFrame, values: Sequence[str]) -> DataFrame:
+    """Permits with their group and slot, and the other values as one text, which Python takes faster than columns."""
+    code, kinds = F.xxhash64(*PERMIT_KEY), dict(df.dtypes)
+    numbers = {"date": F.unix_date, "timestamp": F.unix_micros}
+    text = F.to_json(F.struct(*(numbers.get(kinds[c], F.col)(c).alias(c) for c in values)), {"ignoreNullFields": "false"})
+    return df.select(F.pmod(code, F.lit(GROUPS)).cast("int").alias("_group"),
+                     F.pmod(F.shiftright(code, 32), F.lit(SLOTS)).cast("int").alias("_slot"), *PERMIT_KEY, text.alias("_values"))
+
+
 def known_state(reviews: DataFrame, alerts: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
     """What a new stream must know of the past: each review's newest row, and every cycle that has alerted."""
     newest = latest(_watched(reviews, baseline), REVIEW_KEY, ["status_date", "observed_at"])
@@ -196,12 +331,14 @@ def hot_stream(reviews: DataFrame, rules: Sequence[str] = ("rejection",), known:
     timed = "stalled" in rules
     if timed:  # the clock is a column of its own, so that rows behind it are not taken for late ones
         rows = rows.withColumn("_clock", F.col("observed_at")).withWatermark("_clock", delay).drop("_clock")
-    if known is not None:  # one row per permit, as each row of an initial state is handed over on its own
+    if known is not None:  # one row per group, as each row of an initial state is handed over on its own
         kinds = {f.name: f.dataType for f in rows.schema.fields}
         known = known.select(*(F.col(c).cast(kinds[c]).alias(c) if c in KEYS else F.col(c) for c in known.columns))
-        known = known.groupBy(*PERMIT_KEY).agg(F.collect_list(F.struct(*_KNOWN)).alias("known")).groupBy(*PERMIT_KEY)
-    return rows.groupBy(*PERMIT_KEY).transformWithState(
-        ReviewWatch(rules), signal, "append", "EventTime" if timed else "None", known)
+        known = (_dealt(known, _KNOWN).groupBy("_group")
+                 .agg(F.collect_list(F.struct("_slot", *PERMIT_KEY, "_values")).alias("known")).groupBy("_group"))
+    permit = ", ".join(f"{c}: {reviews.schema[c].dataType.simpleString()}" for c in PERMIT_KEY)
+    return _dealt(rows, _ROW).groupBy("_group").transformWithState(
+        PermitsWatch(rules, permit), signal, "append", "EventTime" if timed else "None", known)
 
 
 def undated(reviews: DataFrame) -> DataFrame:
