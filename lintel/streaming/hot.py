@@ -320,7 +320,7 @@ def hot_stream(reviews: DataFrame, rules: Sequence[str] = ("rejection",), known:
     followed.  ``known`` is the past, see ``known_state``: without it what has been alerted before is alerted again.
 
     Only fire departments reach the state.  State is one reason per cycle and a few values per cycle and
-    department; it never expires.  A task sees at most one trigger's rows of a permit; bound the trigger at the source with
+    department; it never expires.  A task holds one trigger's rows of a group of permits at a time; bound the trigger at the source with
     ``maxFilesPerTrigger``.  Keys keep the types they come in.  Rows without a date have no place in
     the order of a permit's reviews; ``undated`` gives them for the rejects.
     """
